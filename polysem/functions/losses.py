@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polysem.functions.vectors import let
+
 
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
@@ -16,8 +18,11 @@ def minus_log_sigmoid(x: Column) -> Column:
 
 
 def log_sum_exp(xs: Column) -> Column:
-    top = F.array_max(xs)
-    return top + F.log(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+
+    def of(top: Column) -> Column:
+        return top + F.log(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+
+    return let(F.array_max(xs), of)
 
 
 def log_softmax(x: Column, others: Column) -> Column:
@@ -32,5 +37,5 @@ def softmax_slope(x: Column, others: Column) -> Column:
 
 def softmax_slopes_of_others(x: Column, others: Column) -> Column:
     """Derivatives of -log_softmax with respect to each element of `others`."""
-    lse = log_sum_exp(F.concat(F.array(x), others))
-    return F.transform(others, lambda y: F.exp(y - lse))
+    everything = log_sum_exp(F.concat(F.array(x), others))
+    return let(everything, lambda lse: F.transform(others, lambda y: F.exp(y - lse)))

@@ -12,6 +12,12 @@ def _d(x: Column) -> Column:
     return x.cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row. Without it an
+    expression used inside a lambda is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + _d(x))
 
@@ -33,8 +39,9 @@ def multiply(a: Column, b: Column) -> Column:
 
 
 def scale(v: Column, factor: Column | float) -> Column:
-    f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.transform(v, lambda x: _d(x) * f)
+    if not isinstance(factor, Column):
+        return F.transform(v, lambda x: _d(x) * F.lit(float(factor)))
+    return let(factor, lambda f: F.transform(v, lambda x: _d(x) * f))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,22 +62,23 @@ def distance(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector has no length."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths == 0.0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
+    return let(norm(a) * norm(b), lambda n: F.when(n == 0.0, F.lit(0.0)).otherwise(dot(a, b) / n))
 
 
 def angle(a: Column, b: Column) -> Column:
     """Angle in radians, -1 if either vector has no length."""
-    lengths = norm(a) * norm(b)
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / lengths))
-    return F.when(lengths == 0.0, F.lit(-1.0)).otherwise(F.acos(c))
+
+    def of(n: Column) -> Column:
+        c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n))
+        return F.when(n == 0.0, F.lit(-1.0)).otherwise(F.acos(c))
+
+    return let(norm(a) * norm(b), of)
 
 
 def set_length(v: Column, length: Column | float) -> Column:
     """Rescale to exactly `length`; a vector without length stays as it is."""
     target = length if isinstance(length, Column) else F.lit(float(length))
-    n = norm(v)
-    return F.when(n == 0.0, scale(v, 1.0)).otherwise(scale(v, target / n))
+    return scale(v, let(norm(v), lambda n: F.when(n == 0.0, F.lit(1.0)).otherwise(target / n)))
 
 
 def normalize(v: Column) -> Column:
@@ -80,8 +88,7 @@ def normalize(v: Column) -> Column:
 def limit_length(v: Column, length: Column | float) -> Column:
     """Rescale to `length` only if longer."""
     bound = length if isinstance(length, Column) else F.lit(float(length))
-    n = norm(v)
-    return F.when(n > bound, scale(v, bound / n)).otherwise(scale(v, 1.0))
+    return scale(v, let(norm(v), lambda n: F.when(n > bound, bound / n).otherwise(F.lit(1.0))))
 
 
 def between(a: Column, b: Column, share: Column | float) -> Column:

@@ -109,9 +109,9 @@ def weight_decay(model: DataFrame, decay: float, share: float) -> DataFrame:
 def limit_norm(model: DataFrame, max_squared: float) -> DataFrame:
     """Scale vectors whose squared length exceeds the bound to just below it."""
     square = fv.squared_norm(F.col("vec"))
-    limited = square > F.lit(max_squared)
-    vec = F.when(limited, fv.scale(F.col("vec"), F.sqrt(F.lit(NORM_MARGIN * max_squared) / square)))
-    return model.withColumn("limited", limited).withColumn("vec", vec.otherwise(fv.scale(F.col("vec"), 1.0)))
+    marked = model.withColumn("limited", square > F.lit(max_squared))
+    factor = F.when(F.col("limited"), F.sqrt(F.lit(NORM_MARGIN * max_squared) / square)).otherwise(F.lit(1.0))
+    return marked.withColumn("vec", fv.scale(F.col("vec"), factor))
 
 
 def as_floats(model: DataFrame) -> DataFrame:

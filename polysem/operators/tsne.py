@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from polysem.functions import vectors as fv
 from polysem.functions.hashing import uniform
 from polysem.operators.joins import lookup_join
-from polysem.operators.vector_table import matrix, n_blocks, upper_cells, vector_mean
+from polysem.operators.vector_table import center_vectors, matrix, n_blocks, upper_cells
 from polysem.session import cut
 
 # Fixed values.
@@ -115,9 +115,9 @@ def gradient(affinity: DataFrame, coords: DataFrame, rows: int, dims: int = 2, e
     pulls = _sums(ends.select("i", pull.alias("pull")), "pull", dims)
     pushes = cut(_sums(repulsion(coords, rows), "push", dims, F.sum("z").alias("z")))
     z = pushes.agg(F.sum("z").alias("z")).scalar()
-    joined = pushes.join(pulls, "i", "left")
+    joined = pushes.join(pulls, "i", "left").withColumn("_z", z)
     none = F.array_repeat(F.lit(0.0), dims)
-    grad = fv.subtract(fv.scale(F.coalesce("pull", none), 4.0), fv.scale(F.col("push"), F.lit(4.0) / z))
+    grad = fv.subtract(fv.scale(F.coalesce("pull", none), 4.0), fv.scale(F.col("push"), F.lit(4.0) / F.col("_z")))
     return joined.select("i", grad.alias("grad"))
 
 
@@ -130,8 +130,7 @@ def update(state: DataFrame, grads: DataFrame, momentum: float) -> DataFrame:
     step = fv.scale(fv.multiply(F.col("gain"), F.col("grad")), -LEARNING_RATE)
     stepped = stepped.withColumn("inc", fv.add(fv.scale(F.col("inc"), momentum), step))
     stepped = stepped.withColumn("y", fv.add(F.col("y"), F.col("inc"))).select("i", "y", "inc", "gain")
-    mean = vector_mean(stepped, [], "y").scalar()
-    return stepped.withColumn("y", fv.subtract(F.col("y"), mean))
+    return center_vectors(stepped, "y")
 
 
 def start_state(coords: DataFrame, dims: int) -> DataFrame:

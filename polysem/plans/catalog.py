@@ -951,9 +951,10 @@ def max_sim(t: Inputs) -> DataFrame:
 
 @query
 def pair_similarity_job(t: Inputs) -> DataFrame:
-    upper = t.known_pairs.withColumn("word1", F.initcap("word1"))
-    same = upper.where(F.lower("word1") == F.lower(F.initcap(F.lower("word1"))))
-    return _rounded(similarity.pair_similarity_job(same, t.inputs, t.vocab_rows, DIM), "score")
+    """Words written in capitals where they are plain letters."""
+    capitals = F.when(F.col("word1").rlike("^[a-z]+$"), F.upper("word1")).otherwise(F.col("word1"))
+    written = t.known_pairs.withColumn("word1", capitals)
+    return _rounded(similarity.pair_similarity_job(written, t.inputs, t.vocab_rows, DIM), "score")
 
 
 @query

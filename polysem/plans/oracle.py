@@ -38,7 +38,7 @@ def cosine(a: str, b: str) -> str:
 
 
 def doubles(v: str) -> str:
-    return f"list_transform({v}, e -> e::double)"
+    return f"list_transform({v}, lambda e: e::double)"
 
 
 PARTS = {
@@ -74,7 +74,7 @@ PARTS = {
     "negs": "SELECT doc_id, line, pos, j::int AS j, c.word_id AS neg_id FROM draws d ASOF JOIN cdf c ON d.at >= c.lo",
     "senses": "SELECT word_id, unnest(range(n_senses))::int AS sense FROM vocab",
     "model": f"""SELECT mat, word_id, sense, list_transform(range({P['dim']}),
-        k -> (({u('42', "'init'", 'mat', 'word_id', 'sense', 'k')} - 0.5) * 2)::float) AS vec
+        lambda k: (({u('42', "'init'", 'mat', 'word_id', 'sense', 'k')} - 0.5) * 2)::float) AS vec
         FROM (SELECT 0 AS mat, * FROM senses UNION ALL SELECT 1, word_id, 0 FROM vocab)""",
     "v_in": f"SELECT word_id, sense, {doubles('vec')} AS v FROM model WHERE mat = 0",
     "v_out": f"SELECT word_id, {doubles('vec')} AS v FROM model WHERE mat = 1",
@@ -164,7 +164,7 @@ PARTS = {
         SELECT ts::date AS day, avg(value) AS loss FROM events GROUP BY day)""",
     "cosines": f"SELECT a.vec_id AS i, b.vec_id AS j, {cosine('a.v', 'b.v')} AS c FROM emb a JOIN emb b ON a.vec_id <> b.vec_id",
     "aff": "SELECT i, j, greatest(c, 0) / sum(greatest(c, 0)) OVER () AS p FROM cosines",
-    "coords": f"""SELECT vec_id AS i, list_transform(range(2), k -> sqrt(-2 * ln(1 - {u('42', "'y1'", 'vec_id', 'k')}))
+    "coords": f"""SELECT vec_id AS i, list_transform(range(2), lambda k: sqrt(-2 * ln(1 - {u('42', "'y1'", 'vec_id', 'k')}))
         * cos(2 * pi() * {u('42', "'y2'", 'vec_id', 'k')})) AS y FROM embeddings""",
     "nums": """SELECT a.i, b.i AS j, a.y AS yi, b.y AS yj,
         1 / (1 + pow(a.y[1] - b.y[1], 2) + pow(a.y[2] - b.y[2], 2)) AS num FROM coords a JOIN coords b ON a.i <> b.i""",
@@ -172,7 +172,7 @@ PARTS = {
     "tgrad": """SELECT i, [4 * sum((greatest(p, 1e-100) - q) * num * (yi[1] - yj[1])),
                            4 * sum((greatest(p, 1e-100) - q) * num * (yi[2] - yj[2]))] AS g
         FROM tq JOIN aff USING (i, j) GROUP BY i""",
-    "inc": f"SELECT vec_id AS i, list_transform(range(2), k -> {u('42', "'inc'", 'vec_id', 'k')} - 0.5) AS inc FROM embeddings",
+    "inc": f"SELECT vec_id AS i, list_transform(range(2), lambda k: {u('42', "'inc'", 'vec_id', 'k')} - 0.5) AS inc FROM embeddings",
 }
 
 
@@ -187,6 +187,7 @@ def sql(select: str) -> str:
                 if name not in order:
                     order.append(name)
 
+    select = select.replace("round(", "0 + round(")  # minus zero becomes zero
     visit(select)
     if not order:
         return select
@@ -292,12 +293,12 @@ QUERIES: dict[str, str] = {
     "vec_distance": "SELECT id, round(list_distance(a, b), 6) AS value FROM two",
     "vec_cosine": f"SELECT id, round({cosine('a', 'b')}, 6) AS value FROM two",
     "vec_angle": f"SELECT id, round(acos(greatest(-1, least(1, {cosine('a', 'b')}))), 6) AS value FROM two",
-    "vec_normalize": _dims(f"(SELECT vec_id AS id, list_transform(v, e -> e / sqrt({dot('v', 'v')})) AS v FROM emb)", "id"),
+    "vec_normalize": _dims(f"(SELECT vec_id AS id, list_transform(v, lambda e: e / sqrt({dot('v', 'v')})) AS v FROM emb)", "id"),
     "vec_limit_length": _dims(
-        f"""(SELECT id, CASE WHEN n > 2.5 THEN list_transform(v, e -> e * 2.5 / n) ELSE v END AS v FROM (
+        f"""(SELECT id, CASE WHEN n > 2.5 THEN list_transform(v, lambda e: e * 2.5 / n) ELSE v END AS v FROM (
             SELECT id, v, sqrt({dot('v', 'v')}) AS n FROM (
-              SELECT vec_id AS id, list_transform(v, e -> e * (1 + vec_id % 5)) AS v FROM emb)))""", "id"),
-    "vec_set_length": _dims(f"(SELECT vec_id AS id, list_transform(v, e -> e * 3.0 / sqrt({dot('v', 'v')})) AS v FROM emb)", "id"),
+              SELECT vec_id AS id, list_transform(v, lambda e: e * (1 + vec_id % 5)) AS v FROM emb)))""", "id"),
+    "vec_set_length": _dims(f"(SELECT vec_id AS id, list_transform(v, lambda e: e * 3.0 / sqrt({dot('v', 'v')})) AS v FROM emb)", "id"),
     "vec_between": """SELECT id, k::int AS k, round(x + (y - x) * 0.25, 6) AS x FROM (
         SELECT id, unnest(a) AS x, unnest(b) AS y, generate_subscripts(a, 1) - 1 AS k FROM two)""",
     "vec_elementwise": """SELECT id, k::int AS k, round(x + y, 6) AS plus, round(x - y, 6) AS minus, round(x * y, 6) AS times,
@@ -305,7 +306,7 @@ QUERIES: dict[str, str] = {
     "sigmoid": f"SELECT id, round(1 / (1 + exp(-10 * {dot('a', 'b')})), 6) AS value FROM two",
     "log_softmax": f"""SELECT id, round(d - lse, 6) AS log_p, round(exp(d - lse) - 1, 6) AS dx, k::int AS k, round(exp(x - lse), 6) AS dy FROM (
         SELECT id, d, lse, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS k FROM (
-          SELECT id, a, {dot('a', 'b')} AS d, ln(exp({dot('a', 'b')}) + list_sum(list_transform(a, e -> exp(e)))) AS lse FROM two))""",
+          SELECT id, a, {dot('a', 'b')} AS d, ln(exp({dot('a', 'b')}) + list_sum(list_transform(a, lambda e: exp(e)))) AS lse FROM two))""",
     # vector tables
     "vector_sum": """SELECT label, k::int AS k, round(sum(x), 6) AS x FROM (
         SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k FROM emb) GROUP BY label, k""",
