@@ -17,6 +17,9 @@ from polysem.operators.corpus import ENCODE
 
 # Fixed values.
 MAX_SWEEPS = 10
+# Times alpha: how far one row may move on values from before a batch. With
+# squared lengths up to 15 the score slope stays below 2.
+STEP_LIMIT = 0.5
 # Tokens evaluated at a time: bounds the memory of gathered vectors.
 BLOCK = 8192
 
@@ -183,39 +186,77 @@ def sweep_senses(bucket: Bucket, inputs: Rows, outputs: Rows) -> tuple[np.ndarra
     codes = bucket.codes.copy()
     n_senses = objective.sense_numbers(codes // ENCODE)
     neg_at = outputs.index(bucket.negs)
-    for s in range(n_sentences):
-        a, b = bucket.starts[s], bucket.starts[s + 1]
-        open_positions = [i for i in range(a, b) if n_senses[i] > 1]
-        while open_positions and sweeps[s] < MAX_SWEEPS:
-            changed = False
-            for i in open_positions:
-                context = [j for j in range(max(a, i - objective.window), min(b, i + objective.window + 1)) if j != i]
-                if not context:
-                    candidates_loss = np.zeros(n_senses[i])
-                else:
-                    word = codes[i] // ENCODE
-                    v = inputs.vectors[inputs.index(word * ENCODE + np.arange(n_senses[i]))]
-                    x = v @ outputs.vectors[outputs.index(codes[context])].T
-                    y = np.einsum("sd,mkd->smk", v, outputs.vectors[neg_at[context]])
-                    m = len(context)
-                    flat = pair_loss(x.reshape(-1), y.reshape(len(v) * m, -1), objective.softmax)
-                    candidates_loss = flat.reshape(len(v), m).sum(axis=1)
-                if np.isnan(candidates_loss).all():
-                    continue
-                code = codes[i] // ENCODE * ENCODE + int(np.nanargmin(candidates_loss))
-                if code != codes[i]:
-                    codes[i], changed = code, True
-            if not changed:
-                break
-            sweeps[s] += 1
+    out_at = outputs.index(objective.output_codes(codes))
+    lengths = np.diff(bucket.starts)
+    active = np.arange(n_sentences)
+    for _ in range(MAX_SWEEPS):
+        changed = np.zeros(n_sentences, dtype=bool)
+        # Position after position, each for all sentences at once: sentences do
+        # not depend on each other, positions of one sentence do.
+        for t in range(int(lengths[active].max(initial=0))):
+            active_here = active[lengths[active] > t]
+            at = bucket.starts[active_here] + t
+            at = at[n_senses[at] > 1]
+            if not len(at):
+                continue
+            chosen = _best_here(bucket, inputs, outputs, at, codes[at], n_senses[at], out_at, neg_at)
+            moved = chosen != codes[at]
+            if moved.any():
+                codes[at[moved]] = chosen[moved]
+                out_at[at[moved]] = outputs.index(objective.output_codes(chosen[moved]))
+                changed[bucket.sentence[at[moved]]] = True
+        active = np.flatnonzero(changed)
+        sweeps[active] += 1
+        if not len(active):
+            break
     return codes, sweeps
 
 
+def _best_here(bucket, inputs, outputs, at, current, n_senses, out_at, neg_at):
+    """Best codes of the positions `at` under the outputs as they are now."""
+    best, chosen, words = np.full(len(at), np.inf), current.copy(), current // ENCODE
+    for sense in range(int(n_senses.max())):
+        k = np.flatnonzero(n_senses > sense)
+        candidate = words[k] * ENCODE + sense
+        v = inputs.vectors[inputs.index(candidate)]
+        loss = np.zeros(len(k))
+        for d in bucket.offsets():
+            inside, j = bucket.neighbours(at[k], d)
+            if len(j):
+                x, y = pair_scores(v[inside], outputs.vectors, out_at[j], neg_at[j])
+                loss[inside] += pair_loss(x, y, bucket.objective.softmax)
+        better = loss < best[k]
+        best[k[better]] = loss[better]
+        chosen[k[better]] = candidate[better]
+    return chosen
+
+
+def segments(at: np.ndarray):
+    """Order that brings equal rows together, where each starts, how many."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return order, ordered[first], first, np.diff(np.append(first, len(at)))
+
+
+def segment_sums(values: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows. Most segments are short, so the k-th rows of
+    all segments are added at once, and only long segments one by one."""
+    sums = values[first]
+    k, longer = 1, np.flatnonzero(times > 1)
+    while len(longer) and k < 4:
+        sums[longer] += values[first[longer] + k]
+        k += 1
+        longer = longer[times[longer] > k]
+    for q in longer:
+        sums[q] += values[first[q] + k : first[q] + times[q]].sum(axis=0)
+    return sums
+
+
 def scatter_add(target: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     """target[at] += values, adding up repeated rows."""
-    order = np.argsort(at, kind="stable")
-    rows, first = np.unique(at[order], return_index=True)
-    target[rows] += np.add.reduceat(values[order], first, axis=0)
+    order, rows, first, times = segments(at)
+    target[rows] += segment_sums(values[order], first, times)
 
 
 def pair_slopes(x: np.ndarray, y: np.ndarray, softmax: bool):
@@ -228,12 +269,10 @@ def pair_slopes(x: np.ndarray, y: np.ndarray, softmax: bool):
     return share[:, 0] - 1.0, share[:, 1:]
 
 
-def add_pair_gradients(v, v_at, out_at, neg_at, inputs_grad, outputs, outputs_grad, softmax, factor=1.0):
-    """Add `factor` times the gradient of a batch of pairs at fixed parameters;
-    returns the losses."""
+def add_pair_gradients(v, v_at, out_at, neg_at, inputs_grad, outputs, outputs_grad, softmax):
+    """Add the gradient of a batch of pairs at fixed parameters; returns the losses."""
     x, y = pair_scores(v, outputs, out_at, neg_at)
     gx, gy = pair_slopes(x, y, softmax)
-    gx, gy = factor * gx, factor * gy
     targets = np.concatenate((out_at, neg_at.ravel()))
     slopes = np.concatenate((gx, gy.ravel()))
     centre = np.concatenate((np.arange(len(v)), np.repeat(np.arange(len(v)), neg_at.shape[1])))
@@ -274,8 +313,9 @@ def sgd_sequential(bucket: Bucket, inputs: Rows, outputs: Rows, alpha: float) ->
     ordered = np.sort(targets, axis=1)
     repeated = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
     wanted = np.zeros(targets.shape[1])
-    wanted[0] = 1.0
+    wanted[0] = alpha
     exp, outer = np.exp, np.multiply.outer
+    targets, repeated, in_at = list(targets), repeated.tolist(), in_at.tolist()
     loss, n = 0.0, 0
     for s in range(len(bucket.starts) - 1):
         a, b = int(bucket.starts[s]), int(bucket.starts[s + 1])
@@ -291,12 +331,15 @@ def sgd_sequential(bucket: Bucket, inputs: Rows, outputs: Rows, alpha: float) ->
                 elif repeated[j]:
                     scores.append(_repeated_step(v, U, at, alpha))
                 else:
-                    rows = U[at]
-                    x = rows @ v
-                    g = wanted - 1.0 / (1.0 + exp(-x))
-                    g *= alpha
-                    U[at] = rows + outer(g, v)
-                    v += g @ rows
+                    rows = U.take(at, 0)
+                    x = rows.dot(v)
+                    g = exp(-x)
+                    g += 1.0
+                    g = wanted - alpha / g
+                    change = g.dot(rows)
+                    rows += outer(g, v)
+                    U[at] = rows
+                    v += change
                     scores.append(x)
         if scores:
             x = np.array(scores)
@@ -331,9 +374,12 @@ def _softmax_step(v, U, at, alpha):
 
 def sgd_batched(bucket: Bucket, inputs: Rows, outputs: Rows, alpha: float, batch: int) -> tuple[float, int]:
     """SGD in mini-batches of pairs taken side by side from many sentences, so
-    that the pairs of a batch rarely share rows."""
-    in_at, out_at = inputs.index(bucket.codes), outputs.index(bucket.output_codes())
-    neg_at = outputs.index(bucket.negs)
+    that the pairs of a batch rarely share rows. A row shared by more than
+    STEP_LIMIT / alpha targets of one batch moves by the mean of its steps that
+    many times: steps from one old value would otherwise overshoot."""
+    V, U = inputs.vectors.astype(np.float32), outputs.vectors.astype(np.float32)
+    in_at = inputs.index(bucket.codes)
+    targets = np.column_stack((outputs.index(bucket.output_codes()), outputs.index(bucket.negs)))
     at, pos = np.arange(bucket.n), bucket.pos()
     centres, contexts = [], []
     for d in bucket.offsets():
@@ -343,11 +389,32 @@ def sgd_batched(bucket: Bucket, inputs: Rows, outputs: Rows, alpha: float, batch
     i, j = np.concatenate(centres), np.concatenate(contexts)
     order = np.lexsort((bucket.sentence[i], j - i, pos[i]))
     i, j = i[order], j[order]
+    limit = max(1.0, STEP_LIMIT / alpha)
+    width = targets.shape[1]
     loss = 0.0
     for first in range(0, len(i), batch):
-        here, there = in_at[i[first : first + batch]], j[first : first + batch]
-        loss += add_pair_gradients(
-            inputs.vectors[here], here, out_at[there], neg_at[there], inputs.vectors,
-            outputs.vectors, outputs.vectors, bucket.objective.softmax, -alpha,
-        ).sum()
-    return float(loss), len(i) * bucket.predictions
+        here, there = in_at[i[first : first + batch]], targets[j[first : first + batch]]
+        v, rows = V.take(here, 0), U.take(there, 0)
+        scores = np.einsum("md,mkd->mk", v, rows)
+        gx, gy = pair_slopes(scores[:, 0], scores[:, 1:], bucket.objective.softmax)
+        steps = -alpha * np.column_stack((gx, gy)).astype(np.float32)
+        loss += float(pair_loss(scores[:, 0], scores[:, 1:], bucket.objective.softmax).sum())
+        _add_rows(V, here, np.arange(len(here)), np.einsum("mk,mkd->md", steps, rows), None, limit)
+        flat = there.ravel()
+        _add_rows(U, flat, np.arange(len(flat)) // width, v, steps.ravel(), limit)
+    inputs.vectors, outputs.vectors = V.astype(np.float64), U.astype(np.float64)
+    return loss, len(i) * bucket.predictions
+
+
+def _add_rows(target, at, source, values, factors, limit):
+    """target[at[r]] += factors[r] * values[source[r]], repeated rows added up
+    and held to `limit` mean steps."""
+    order, rows, first, times = segments(at)
+    added = values[source[order]]
+    if factors is not None:
+        added *= factors[order, None]
+    sums = segment_sums(added, first, times)
+    many = times > limit
+    if many.any():
+        sums[many] *= (limit / times[many])[:, None].astype(sums.dtype)
+    target[rows] += sums

@@ -89,10 +89,10 @@ def check_stored(vocab: DataFrame, stored: DataFrame, dim: int) -> None:
         raise ValueError(f"stored vector does not fit the vocabulary: {bad[0]['word']} {bad[0]['sense']}")
 
 
-def average_parameters(model: DataFrame, updates: DataFrame, n_parts: int) -> DataFrame:
+def average_parameters(model: DataFrame, updates: DataFrame, n_parts: int, dim: int) -> DataFrame:
     """Mean of the models of all parts, given what each part changed: a part
     that did not touch a row counts with the old row."""
-    changes = sum_vectors(updates.where(F.col("mat") != SUMMARY), ["mat", "code"], F.col("vec"), "change")
+    changes = sum_vectors(updates.where(F.col("mat") != SUMMARY), ["mat", "code"], "vec", dim, "change")
     changes = changes.select("mat", word_of(F.col("code")).alias("word_id"), sense_of(F.col("code")).alias("sense"), "change")
     moved = F.zip_with("vec", "change", lambda x, c: x.cast("double") + c / F.lit(float(n_parts)))
     vec = F.when(F.col("change").isNull(), F.col("vec").cast("array<double>")).otherwise(moved)

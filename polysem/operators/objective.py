@@ -13,8 +13,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,10 +205,12 @@ def corpus_loss(coded: DataFrame, model: DataFrame, objective: K.Objective, mode
     return scored.agg(F.sum(F.col("n") * fl.minus_log_sigmoid(signed)).alias("loss"), F.sum("n").alias("n_pred"))
 
 
-def sum_vectors(df: DataFrame, keys: list[str], vec: Column, alias: str = "vec") -> DataFrame:
-    """Element-wise sum per key with map-side partial sums."""
-    total = Summarizer.sum(array_to_vector(vec))
-    return df.groupBy(*keys).agg(vector_to_array(total).alias(alias))
+def sum_vectors(df: DataFrame, keys: list[str], vec: str, dim: int, alias: str = "vec", agg=F.sum) -> DataFrame:
+    """Element-wise sum per key: one hash aggregation over `dim` number columns,
+    summed up before the shuffle. (A vector-valued aggregate would sort.)"""
+    numbers = df.select(*keys, *[F.col(vec)[k].cast("double").alias(f"_{k}") for k in range(dim)])
+    sums = numbers.groupBy(*keys).agg(*[agg(f"_{k}").alias(f"_{k}") for k in range(dim)])
+    return sums.select(*keys, F.array(*[f"_{k}" for k in range(dim)]).alias(alias))
 
 
 def sgns_gradient(coded: DataFrame, model: DataFrame, objective: K.Objective, model_rows: int, dim: int) -> DataFrame:
@@ -221,7 +221,7 @@ def sgns_gradient(coded: DataFrame, model: DataFrame, objective: K.Objective, mo
         F.struct(F.lit(INPUT).alias("mat"), F.col("in_code").alias("code"), fv.scale(F.col("u"), slope).alias("g")),
         F.struct(F.lit(OUTPUT).alias("mat"), F.col("out_code").alias("code"), fv.scale(F.col("v"), slope).alias("g")),
     )
-    return sum_vectors(scored.select(F.explode(parts).alias("p")).select("p.*"), ["mat", "code"], F.col("g"))
+    return sum_vectors(scored.select(F.explode(parts).alias("p")).select("p.*"), ["mat", "code"], "g", dim)
 
 
 def _row_table(mat: int, rows: K.Rows, values: np.ndarray) -> pa.Table:
@@ -264,9 +264,9 @@ def bucket_gradients(coded, model, objective: K.Objective, n_buckets: int, seed:
     return per_bucket(coded, model, objective, n_buckets, seed, kernel, UPDATES)
 
 
-def softmax_gradient(coded, model, objective: K.Objective, n_buckets: int, seed: int) -> DataFrame:
+def softmax_gradient(coded, model, objective: K.Objective, n_buckets: int, seed: int, dim: int) -> DataFrame:
     parts = bucket_gradients(coded, model, objective, n_buckets, seed).where(F.col("mat") != SUMMARY)
-    return sum_vectors(parts, ["mat", "code"], F.col("vec"))
+    return sum_vectors(parts, ["mat", "code"], "vec", dim)
 
 
 # --- SGD ------------------------------------------------------------------------

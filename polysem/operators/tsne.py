@@ -121,7 +121,7 @@ def gradient(affinity: DataFrame, coords: DataFrame, rows: int, dims: int = 2, e
     return joined.select("i", grad.alias("grad"))
 
 
-def update(state: DataFrame, grads: DataFrame, momentum: float) -> DataFrame:
+def update(state: DataFrame, grads: DataFrame, momentum: float, dims: int = 2) -> DataFrame:
     """One step of (i, y, inc, gain); coordinates are centred afterwards."""
     joined = state.join(grads, "i")
     turned = fv.elementwise(F.col("grad"), F.col("inc"), lambda g, v: (F.signum(g) != F.signum(v)).cast("double"))
@@ -130,7 +130,7 @@ def update(state: DataFrame, grads: DataFrame, momentum: float) -> DataFrame:
     step = fv.scale(fv.multiply(F.col("gain"), F.col("grad")), -LEARNING_RATE)
     stepped = stepped.withColumn("inc", fv.add(fv.scale(F.col("inc"), momentum), step))
     stepped = stepped.withColumn("y", fv.add(F.col("y"), F.col("inc"))).select("i", "y", "inc", "gain")
-    return center_vectors(stepped, "y")
+    return center_vectors(stepped, "y", dims)
 
 
 def start_state(coords: DataFrame, dims: int) -> DataFrame:
@@ -146,7 +146,7 @@ def fit(affinity: DataFrame, rows: int, dims: int = 2, seed: int = 42, max_iter:
     momentum, exaggeration = FIRST_MOMENTUM, EXAGGERATION
     for iteration in range(max_iter):
         grads = gradient(affinity, state, rows, dims, exaggeration)
-        state = cut(update(state, grads, momentum))
+        state = cut(update(state, grads, momentum, dims))
         if iteration == MOMENTUM_SWITCH:
             momentum = LAST_MOMENTUM
         if iteration == EXAGGERATION_END:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polysem.functions import losses as fl
@@ -518,7 +518,7 @@ def loss_per_prediction(t: Inputs) -> DataFrame:
 @query
 def average_parameters(t: Inputs) -> DataFrame:
     updates = objective.bucket_gradients(t.with_negatives, t.model, t.objective(), BUCKETS, SEED)
-    return _dims(model.average_parameters(t.model, updates, BUCKETS), "mat", "word_id", "sense", digits=4)
+    return _dims(model.average_parameters(t.model, updates, BUCKETS, DIM), "mat", "word_id", "sense", digits=4)
 
 
 # --- joins ------------------------------------------------------------------------
@@ -688,18 +688,18 @@ def log_softmax(t: Inputs) -> DataFrame:
 
 @query
 def vector_sum(t: Inputs) -> DataFrame:
-    return _dims(vector_table.vector_sum(t.table("embeddings"), ["label"], "embedding"), "label")
+    return _dims(vector_table.vector_sum(t.table("embeddings"), ["label"], "embedding", EMBEDDING_DIM), "label")
 
 
 @query
 def vector_mean(t: Inputs) -> DataFrame:
-    return _dims(vector_table.vector_mean(t.table("embeddings"), ["label"], "embedding"), "label")
+    return _dims(vector_table.vector_mean(t.table("embeddings"), ["label"], "embedding", EMBEDDING_DIM), "label")
 
 
 @query
 def center_vectors(t: Inputs) -> DataFrame:
     rows = t.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return _dims(vector_table.center_vectors(rows), "id")
+    return _dims(vector_table.center_vectors(rows, "vec", EMBEDDING_DIM), "id")
 
 
 @query
@@ -801,7 +801,7 @@ def sgns_gradient(t: Inputs) -> DataFrame:
 
 @query
 def softmax_gradient(t: Inputs) -> DataFrame:
-    grads = objective.softmax_gradient(t.with_negatives, t.model, t.objective(softmax=True), BUCKETS, SEED)
+    grads = objective.softmax_gradient(t.with_negatives, t.model, t.objective(softmax=True), BUCKETS, SEED, DIM)
     return _gradient_rows(grads)
 
 
@@ -813,7 +813,7 @@ def _epoch(t: Inputs, softmax: bool, batch: int = 1) -> DataFrame:
     summary = updates.where(F.col("mat") == objective.SUMMARY).agg(
         F.sum("loss").alias("loss"), F.sum("n_pred").alias("n_pred"), F.sum("n_tokens").alias("n_tokens")
     )
-    trained = model.average_parameters(start, updates, BUCKETS)
+    trained = model.average_parameters(start, updates, BUCKETS, DIM)
     length = F.sum(fv.squared_norm(F.col("vec")))
     totals = trained.groupBy("mat").agg(F.count("*").alias("n_rows"), length.alias("square"))
     return totals.select(
@@ -874,8 +874,8 @@ def validate_model(t: Inputs) -> DataFrame:
 
 @query
 def early_stop(t: Inputs) -> DataFrame:
-    # a history has one row per iteration of one training run
-    rows = t.daily.withColumn("before", F.lag("loss").over(Window.orderBy("it")))
+    before = t.daily.select((F.col("it") + 1).alias("it"), F.col("loss").alias("before"))
+    rows = t.daily.join(before, "it", "left")
     stop = rows.where(F.col("loss") > F.col("before")).agg(F.min("it").alias("it")).scalar()
     last = F.coalesce(stop, F.col("it") + 1)
     kept = rows.select("it", F.round("loss", 6).alias("vali_loss"), (F.col("it") < last).alias("is_saved"), last.alias("last"))

@@ -195,7 +195,7 @@ def fit(
             (F.sum("loss") / F.sum("n_pred")).alias("loss"), F.sum("n_tokens").alias("n")
         ).first()
         row["train_loss"], row["n_tokens"] = seen["loss"], seen["n"]
-        params = model.average_parameters(params, updates, buckets)
+        params = model.average_parameters(params, updates, buckets, s.dim)
         params = model.weight_decay(params, s.weight_decay, n_sentences / max(all_sentences, 1))
         limited = cut(model.limit_norm(params, s.max_squared_norm))
         row["n_limited"] = limited.where("limited").count()
