@@ -70,7 +70,8 @@ def _slices(queries: DataFrame, row_bytes: int) -> list[pa.Table]:
     """The queries in parts small enough for every task to hold one."""
     n = max(1, math.ceil(queries.count() * row_bytes / QUERY_BYTES))
     part = F.pmod(F.xxhash64("query"), F.lit(n))
-    return [queries.where(part == i).toArrow() if n > 1 else queries.toArrow() for i in range(n)]
+    slices = [queries.where(part == i).toArrow() if n > 1 else queries.toArrow() for i in range(n)]
+    return [s for s in slices if s.num_rows]
 
 
 def _similarities(rows: np.ndarray, queries: np.ndarray, cosine: bool) -> np.ndarray:
@@ -84,6 +85,8 @@ def _each_slice(table: DataFrame, queries: DataFrame, dim: int, task, schema: st
     for part in _slices(queries.select("query", "vec"), 8 * (dim + BATCH_ROWS)):
         shared = table.sparkSession.sparkContext.broadcast((part["query"].to_pylist(), unit_rows(matrix(part["vec"]))))
         results.append(table.mapInArrow(lambda batches, s=shared: task(*s.value, batches), schema))
+    if not results:
+        return table.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, results)
 
 
@@ -164,7 +167,8 @@ def neighbors_report(vectors: DataFrame, terms: DataFrame, k: int, dim: int, cos
     query's name if the term is a one-sense word, and of a neighbour's if its
     word has one sense."""
     queries = query_vectors(parse_search_terms(terms, vectors), vectors)
-    near = top_k_neighbors(vectors, queries, k, dim, cosine)
+    # two terms may ask for the same sense
+    near = top_k_neighbors(vectors, queries.dropDuplicates(["query"]), k, dim, cosine)
     words = senses_of_words(vectors)
     first = F.element_at(F.split("key", tx.KEY_SEPARATOR), 1)
     named = near.join(words.select(F.col("word").alias("nb_word"), F.col("n_senses").alias("nb_n")), first == F.col("nb_word"))
