@@ -189,6 +189,8 @@ def sweep_senses(bucket: Bucket, inputs: Rows, outputs: Rows) -> tuple[np.ndarra
     out_at = outputs.index(objective.output_codes(codes))
     lengths = np.diff(bucket.starts)
     active = np.arange(n_sentences)
+    # A position needs a look only if an output around it changed since the last.
+    stale = n_senses > 1
     for _ in range(MAX_SWEEPS):
         changed = np.zeros(n_sentences, dtype=bool)
         # Position after position, each for all sentences at once: sentences do
@@ -196,15 +198,19 @@ def sweep_senses(bucket: Bucket, inputs: Rows, outputs: Rows) -> tuple[np.ndarra
         for t in range(int(lengths[active].max(initial=0))):
             active_here = active[lengths[active] > t]
             at = bucket.starts[active_here] + t
-            at = at[n_senses[at] > 1]
+            at = at[stale[at]]
             if not len(at):
                 continue
+            stale[at] = False
             chosen = _best_here(bucket, inputs, outputs, at, codes[at], n_senses[at], out_at, neg_at)
             moved = chosen != codes[at]
             if moved.any():
                 codes[at[moved]] = chosen[moved]
                 out_at[at[moved]] = outputs.index(objective.output_codes(chosen[moved]))
                 changed[bucket.sentence[at[moved]]] = True
+                for d in bucket.offsets():
+                    near = bucket.neighbours(at[moved], d)[1]
+                    stale[near] = n_senses[near] > 1
         active = np.flatnonzero(changed)
         sweeps[active] += 1
         if not len(active):
