@@ -25,14 +25,18 @@ def _required(senses: Column, word: Column) -> Column:
     return F.when(senses.isNull(), F.raise_error(message).cast("array<struct<sense:int,vec:array<float>>>")).otherwise(senses)
 
 
-def with_senses(pairs: DataFrame, vectors: DataFrame, n_words: int, dim: int) -> DataFrame:
-    """Both words of every pair with their senses; unknown words are errors."""
+def _row_bytes(dim: int) -> int:
+    return 8 * dim + 64
+
+
+def with_senses(pairs: DataFrame, vectors: DataFrame, n_vectors: int, dim: int) -> DataFrame:
+    """Both words of every pair with their senses; unknown words are errors.
+    `n_vectors`, the rows of `vectors` (or more), bounds what is broadcast."""
     words = senses_by_word(vectors)
-    row_bytes = 8 * dim * 4 + 64
     joined = pairs
     for side in ("1", "2"):
         table = words.select(F.col("word").alias("word" + side), F.col("senses").alias("senses" + side))
-        joined = lookup_join(joined, table, ["word" + side], n_words, row_bytes, "left")
+        joined = lookup_join(joined, table, ["word" + side], n_vectors, _row_bytes(dim), "left")
     return joined.select(
         *pairs.columns,
         _required(F.col("senses1"), F.col("word1")).alias("senses1"),
@@ -58,13 +62,13 @@ def max_sim(joined: DataFrame, *keep: str) -> DataFrame:
     return joined.select(*keep, "id", "word1", "word2", value.alias("score"))
 
 
-def pair_similarity_job(pairs: DataFrame, vectors: DataFrame, n_words: int, dim: int, *keep: str) -> DataFrame:
+def pair_similarity_job(pairs: DataFrame, vectors: DataFrame, n_vectors: int, dim: int, *keep: str) -> DataFrame:
     lower = pairs.withColumn("word1", F.lower("word1")).withColumn("word2", F.lower("word2"))
-    return avg_sim(with_senses(lower, vectors, n_words, dim), *keep)
+    return avg_sim(with_senses(lower, vectors, n_vectors, dim), *keep)
 
 
 def disambiguate_in_context(
-    occurrences: DataFrame, inputs: DataFrame, outputs: DataFrame, n_words: int, dim: int
+    occurrences: DataFrame, inputs: DataFrame, outputs: DataFrame, n_vectors: int, dim: int
 ) -> DataFrame:
     """(id, word, context) -> (id, word, sense): the sense under which the known
     context words are most probable, the lowest on ties. Occurrences of unknown
@@ -74,16 +78,15 @@ def disambiguate_in_context(
     context = base.select("id", "word", F.explode(tx.tokens(F.col("context"))).alias("ctx"))
     context = context.groupBy("id", "word", "ctx").agg(F.count("*").alias("n"))
     known = outputs.where("sense = 0").select(F.col("word").alias("ctx"), F.col("vec").alias("u"))
-    context = lookup_join(context, known, ["ctx"], n_words, 8 * dim + 64)
+    context = lookup_join(context, known, ["ctx"], n_vectors, _row_bytes(dim))
     senses = senses_by_word(inputs)
-    row_bytes = 8 * dim * 4 + 64
-    scored = lookup_join(context, senses, ["word"], n_words, row_bytes).select(
+    scored = lookup_join(context, senses, ["word"], n_vectors, _row_bytes(dim)).select(
         "id", "word", "n", "u", F.explode("senses").alias("s")
     )
     score = -F.col("n") * fl.minus_log_sigmoid(fv.dot(F.col("s.vec"), F.col("u")))
     scored = scored.select("id", "word", F.col("s.sense").alias("sense"), score.alias("score"))
     # every sense starts at probability one, so that no known context gives sense 0
-    start = lookup_join(base.select("id", "word"), senses, ["word"], n_words, row_bytes)
+    start = lookup_join(base.select("id", "word"), senses, ["word"], n_vectors, _row_bytes(dim))
     start = start.select("id", "word", F.explode("senses.sense").alias("sense"), F.lit(0.0).alias("score"))
     totals = scored.unionByName(start).groupBy("id", "word", "sense").agg(F.sum("score").alias("score"))
     best = F.max_by("sense", F.struct("score", -F.col("sense")))
@@ -91,7 +94,7 @@ def disambiguate_in_context(
 
 
 def contextual_similarity(
-    pairs: DataFrame, inputs: DataFrame, outputs: DataFrame, n_words: int, dim: int
+    pairs: DataFrame, inputs: DataFrame, outputs: DataFrame, n_vectors: int, dim: int
 ) -> DataFrame:
     """(id, word1, word2, context1, context2) -> (id, word1, sense1, word2,
     sense2, score): 10 x cosine of the senses chosen in context. Pairs with an
@@ -99,8 +102,8 @@ def contextual_similarity(
     sides = []
     for side in ("1", "2"):
         occurrence = pairs.select("id", F.lower("word" + side).alias("word"), F.col("context" + side).alias("context"))
-        chosen = disambiguate_in_context(occurrence, inputs, outputs, n_words, dim)
-        chosen = lookup_join(chosen, inputs.select("word", "sense", "vec"), ["word", "sense"], n_words, 8 * dim + 64)
+        chosen = disambiguate_in_context(occurrence, inputs, outputs, n_vectors, dim)
+        chosen = lookup_join(chosen, inputs.select("word", "sense", "vec"), ["word", "sense"], n_vectors, _row_bytes(dim))
         sides.append(chosen.select("id", *[F.col(c).alias(c + side) for c in ("word", "sense", "vec")]))
     score = CONTEXT_SCALE * fv.cosine(F.col("vec1"), F.col("vec2"))
     joined = sides[0].join(sides[1], "id")

@@ -175,7 +175,7 @@ class Inputs:
 
     @cached_property
     def pair_scores(self) -> DataFrame:
-        return similarity.pair_similarity_job(self.known_pairs, self.inputs, self.vocab_rows, DIM)
+        return similarity.pair_similarity_job(self.known_pairs, self.inputs, self.model_rows, DIM)
 
     # embeddings
     @cached_property
@@ -320,7 +320,7 @@ def write_flat_model(t: Inputs) -> DataFrame:
     writers.write_flat_model(t.inputs, index_path, vectors_path)
     parts = F.split("value", " ")
     index = t.spark.read.text(index_path).select(parts[0].alias("key"), parts[1].cast("bigint").alias("idx"))
-    rows = readers._numbered_lines(t.spark, vectors_path)[0]
+    rows = readers.numbered_lines(t.spark, vectors_path)[0]
     rows = rows.select(F.col("line_no").alias("idx"), parts.cast("array<float>").alias("vec"))
     return _dims(index.join(rows, "idx"), "key", "idx")
 
@@ -939,13 +939,13 @@ def neighbors_report(t: Inputs) -> DataFrame:
 
 @query
 def avg_sim(t: Inputs) -> DataFrame:
-    joined = similarity.with_senses(t.known_pairs, t.inputs, t.vocab_rows, DIM)
+    joined = similarity.with_senses(t.known_pairs, t.inputs, t.model_rows, DIM)
     return _rounded(similarity.avg_sim(joined), "score")
 
 
 @query
 def max_sim(t: Inputs) -> DataFrame:
-    joined = similarity.with_senses(t.known_pairs, t.inputs, t.vocab_rows, DIM)
+    joined = similarity.with_senses(t.known_pairs, t.inputs, t.model_rows, DIM)
     return _rounded(similarity.max_sim(joined), "score")
 
 
@@ -954,7 +954,7 @@ def pair_similarity_job(t: Inputs) -> DataFrame:
     """Words written in capitals where they are plain letters."""
     capitals = F.when(F.col("word1").rlike("^[a-z]+$"), F.upper("word1")).otherwise(F.col("word1"))
     written = t.known_pairs.withColumn("word1", capitals)
-    return _rounded(similarity.pair_similarity_job(written, t.inputs, t.vocab_rows, DIM), "score")
+    return _rounded(similarity.pair_similarity_job(written, t.inputs, t.model_rows, DIM), "score")
 
 
 @query

@@ -20,7 +20,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Lines of one or more text files with their dense number in file order."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
@@ -38,7 +38,7 @@ def read_eval_words(spark: SparkSession, path: str) -> DataFrame:
 def read_sense_vectors(spark: SparkSession, path: str) -> DataFrame:
     """`word sense f1 .. fD` lines -> (line_no, word, sense, vec). The width is
     that of the first line; a line of another width is an error."""
-    lines, _ = _numbered_lines(spark, path)
+    lines, _ = numbered_lines(spark, path)
     parts = F.split(F.rtrim("value"), " ")
     lines = lines.withColumn("parts", parts)
     width = lines.agg(F.min_by(F.size("parts"), "line_no").alias("w")).scalar()
@@ -54,14 +54,14 @@ def read_sense_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def read_word_pairs(spark: SparkSession, path: str) -> DataFrame:
     """`word1,word2[,..]` lines -> (id, word1, word2)."""
-    lines, _ = _numbered_lines(spark, path)
+    lines, _ = numbered_lines(spark, path)
     parts = F.split("value", ",", -1)
     return lines.select(F.col("line_no").alias("id"), parts[0].alias("word1"), parts[1].alias("word2"))
 
 
 def read_context_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Four tab-separated fields -> (id, word1, word2, context1, context2)."""
-    lines, _ = _numbered_lines(spark, path)
+    lines, _ = numbered_lines(spark, path)
     parts = F.split("value", "\t", -1)
     names = ("word1", "word2", "context1", "context2")
     return lines.select(F.col("line_no").alias("id"), *[parts[k].alias(name) for k, name in enumerate(names)])
@@ -69,7 +69,7 @@ def read_context_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_series(spark: SparkSession, path: str, name: str = "x") -> DataFrame:
     """One number per line -> (idx, x)."""
-    lines, _ = _numbered_lines(spark, path)
+    lines, _ = numbered_lines(spark, path)
     return lines.select(F.col("line_no").alias("idx"), F.col("value").cast("double").alias(name))
 
 

@@ -72,7 +72,8 @@ def write_tagged_corpus(tagged: DataFrame, path: str) -> None:
 def write_neighbor_lists(per_word: DataFrame, path: str) -> None:
     """One folder of neighbour keys per query word. The keys of one word are at
     most (neighbours x senses), so a word goes to one task and one file."""
-    lists = per_word.select("query_word", F.col("key").alias("value")).repartition("query_word")
+    tasks = per_word.sparkSession.sparkContext.defaultParallelism
+    lists = per_word.select("query_word", F.col("key").alias("value")).repartition(tasks, "query_word")
     lists.write.partitionBy("query_word").text(path)
 
 

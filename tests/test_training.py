@@ -147,7 +147,7 @@ def test_flat_and_w2v_files(spark):
     rows = spark.createDataFrame([("b", 0, [1.5, -2.0]), ("a", 1, [0.25, 3.0]), ("a", 0, [1.0, 1.0])], "word string, sense int, vec array<float>")
     path = fresh_path(spark, "w2v")
     writers.write_w2v_text(rows, 2, path)
-    text = readers._numbered_lines(spark, path)[0].orderBy("line_no").collect()
+    text = readers.numbered_lines(spark, path)[0].orderBy("line_no").collect()
     assert [r["value"] for r in text] == ["3 2", "a_0 1.0 1.0", "a_1 0.25 3.0", "b_0 1.5 -2.0"]
     index, flat = fresh_path(spark, "flat"), fresh_path(spark, "flat")
     writers.write_flat_model(rows, index, flat)
