@@ -48,7 +48,8 @@ def test_save_load_and_multi_sense(spark, lines, one_sense):
     names = {r["word"]: tuple(r["vec"]) for r in stored.collect()}
     assert names == {r["word"]: tuple(r["vec"]) for r in one_sense.vectors().collect()}
     fitted = tr.fit_multi_sense(lines, settings(epochs=1), tr.stored_start(spark, path, settings()))
-    assert {r["n_senses"] for r in fitted.vocab.collect()} == {1, 2} or fitted.vocab_rows
+    for r in fitted.vocab.collect():
+        assert r["n_senses"] == (2 if r["cn"] >= 15 else 1)
     sums = fitted.probs.groupBy("word_id").agg(F.sum("prob").alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 for r in sums)
     assert all(r["n_reset"] is not None for r in fitted.history)
