@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from polysem.llm import bpe, exact
+from polysem.llm import bpe, exact, sharding
 
 TOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,5 +26,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_exact_dedup, op9_byte_bpe, op10_shard_minimax)}
