@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from polysem.llm import bpe, exact, extract, sharding
+from polysem.llm import bpe, exact, extract, langid, sharding
 
 TOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find(table(spark, sf_dir, "documents"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -35,4 +39,4 @@ def op10_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
+    return {f.__name__: f for f in (op3_exact_dedup, op6_language_mixture, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
