@@ -12,5 +12,53 @@ FROM d
 """
 
 
+OP1 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag,
+         'sha256:' || sha256(coalesce(html, '')) AS digest,
+         regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS rest
+  FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)),
+              '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host,
+         regexp_extract(rest, '^[^/?]*(/[^?]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+              lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))) AS params
+  FROM p
+), c AS (
+  SELECT page_id, body, tag, digest, host || CASE WHEN path = '' THEN '/' ELSE path END
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url
+  FROM q
+), s AS (
+  SELECT page_id * 4 AS record_id, url, (page_id * 7919) % 1000000 AS ts, tag, digest, octet_length(encode(body)) AS size
+  FROM c QUALIFY row_number() OVER (PARTITION BY url, (page_id * 7919) % 1000000 ORDER BY page_id DESC) = 1
+), r AS (
+  SELECT page_id * 4 + 1 AS record_id, url, (page_id * 7919 + 250007) % 1000000 AS ts,
+         CASE WHEN page_id % 5 = 0 THEN '"new"' ELSE 'W/' || tag END AS etag, NULL AS modified, NULL AS digest,
+         't' || (page_id * 7919 + 260007) % 1000000 AS expires, NULL AS cache FROM c
+  UNION ALL
+  SELECT page_id * 4 + 2, url, (page_id * 7919 + 500009) % 1000000, NULL, 't' || (page_id * 7919) % 1000000, NULL,
+         NULL, 'no-cache' FROM c
+  UNION ALL
+  SELECT page_id * 4 + 3, url, (page_id * 7919 + 750011) % 1000000, NULL, NULL, digest, NULL, NULL FROM c
+), m AS (
+  SELECT r.record_id, r.url AS canonical_url, s.record_id AS target_id, r.ts - s.ts AS age, r.ts, r.etag, r.expires,
+         r.cache, s.ts AS s_ts, s.tag, s.digest, s.size,
+         CASE WHEN s.ts IS NULL THEN 'orphan'
+              WHEN r.etag IS NOT NULL THEN CASE WHEN regexp_replace(r.etag, '^W/', '') = s.tag THEN 'resolved' ELSE 'mismatch' END
+              WHEN r.modified IS NOT NULL THEN CASE WHEN r.modified = 't' || s.ts THEN 'resolved' ELSE 'mismatch' END
+              ELSE CASE WHEN r.digest = s.digest THEN 'resolved' ELSE 'mismatch' END END AS outcome
+  FROM r ASOF LEFT JOIN s ON r.url = s.url AND r.ts > s.ts
+)
+SELECT record_id, canonical_url, target_id, age, outcome,
+       CASE WHEN outcome = 'resolved' THEN
+         'cache-control: ' || coalesce(cache, 'max-age=60') || chr(10) || 'content-length: ' || size || chr(10)
+         || 'date: t' || ts || chr(10) || 'etag: ' || coalesce(etag, tag) || chr(10)
+         || coalesce('expires: ' || expires || chr(10), '') || 'last-modified: t' || s_ts || chr(10)
+         || 'warc-payload-digest: ' || digest END AS merged
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op1_warc_revisits": OP1, "op3_exact_dedup": OP3}
