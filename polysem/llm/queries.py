@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysem.llm import bpe, exact, extract, langid, sharding, warc
+from polysem.llm import bpe, decontaminate, exact, extract, langid, sharding, warc
 
 TOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -65,6 +65,10 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -80,4 +84,4 @@ def op10_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op3_exact_dedup, op6_language_mixture, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
+    return {f.__name__: f for f in (op1_warc_revisits, op3_exact_dedup, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
