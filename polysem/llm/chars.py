@@ -65,21 +65,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded characters, running sums of character x base^place, and what moves
+    a difference of these to place 0."""
+    seen = folding()[points]
+    size = 1 << max(20, int(len(points)).bit_length())  # few sizes, so that powers are kept
+    return seen, np.cumsum(seen * powers(BASE, size)[: len(points)], dtype=np.uint64), powers(UNBASE, size)
+
+
 def words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every run of letters and digits: the number of its text, its start and end
-    within `points`, and a 64-bit hash of its folded characters. Hashes are
-    differences of running sums of code point x base^place, moved to place 0."""
-    seen = folding()[points]
+    within `points`, and a 64-bit hash of its folded characters."""
+    seen, sums, back = _sums(points)
     solid = seen != SPACE
     change = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     begin, end = change[::2], change[1::2]
-    size = 1 << max(20, int(len(points)).bit_length())  # few sizes, so that powers are kept
-    sums = np.cumsum(seen * powers(BASE, size)[: len(points)], dtype=np.uint64)
-    value = (sums[end - 1] - sums[begin - 1]) * powers(UNBASE, size)[begin]
+    value = (sums[end - 1] - sums[begin - 1]) * back[begin]
     owner = np.searchsorted(starts, begin, side="right") - 1
     return owner, begin, end, mixed(value + (end - begin).astype(np.uint64))
 
 
+def inner_grams(points: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every n characters in a row within a word: number of the text, start, and
+    a hash that no word has on purpose."""
+    seen, sums, back = _sums(points)
+    runs = np.cumsum(seen != SPACE)
+    begin = np.flatnonzero(runs[n:] - runs[:-n] == n) + 1
+    value = (sums[begin + n - 1] - sums[begin - 1]) * back[begin]
+    return np.searchsorted(starts, begin, side="right") - 1, begin, mixed(value + np.uint64((n << 40) + 1))
+
+
 def word_hash(word: str) -> int:
     """The hash of one word, as above."""
     points, starts = code_points([word])

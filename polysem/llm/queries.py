@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysem.llm import bpe, decontaminate, exact, extract, langid, privacy, sharding, warc
+from polysem.llm import bpe, decontaminate, exact, extract, langid, privacy, sharding, toxicity, warc
 
 TOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,6 +66,10 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -89,4 +93,4 @@ def op10_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op3_exact_dedup, op4_disclosure, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
+    return {f.__name__: f for f in (op1_warc_revisits, op3_exact_dedup, op4_disclosure, op5_toxic_neighbours, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
