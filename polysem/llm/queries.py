@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysem.llm import bpe, decontaminate, exact, extract, langid, privacy, sharding, toxicity, warc
+from polysem.llm import bpe, decontaminate, exact, extract, langid, minhash, privacy, sharding, toxicity, warc
 
 TOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,6 +57,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("merged", F.array_join(lines, "\n"))
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.find(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find(table(spark, sf_dir, "documents"))
 
@@ -93,4 +97,4 @@ def op10_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op3_exact_dedup, op4_disclosure, op5_toxic_neighbours, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_dart_minhash, op3_exact_dedup, op4_disclosure, op5_toxic_neighbours, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax)}
