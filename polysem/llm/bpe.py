@@ -4,9 +4,9 @@ A rank file (base64 token, rank per line) becomes a `tokenizers` model: the
 256 bytes are mapped to printable characters, every way in which a token falls
 into two shorter tokens becomes a merge, in the order of the ranks. Texts are
 encoded in Arrow batches, slice by slice, so that memory does not follow the
-size of the batch. Decoding looks the
-bytes of each id up in the reversed table; a character whose bytes lie in
-several tokens is put together again, and offsets of all these tokens cover it.
+size of the batch. Decoding looks the bytes of each id up in the reversed table;
+a character whose bytes lie in several tokens is put together again, and the
+offsets of all these tokens cover it.
 
 Nulls: a null text is empty. An empty text has no tokens. Repeated rows give
 repeated results; other columns pass through unchanged.
@@ -140,9 +140,9 @@ class Codec:
         starts = ends - self.width[ids]
         return ids, [char_at[b] for b in starts], [char_at[b - 1] + 1 for b in ends]
 
-    def summary(self, piece: str, ids: list[int]) -> tuple[int, str, bytes]:
-        """Number of ids, the ids as text, and the bytes to which they decode."""
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+    def summary(self, piece: str, ids: list[int]) -> tuple[list[int], str, bytes]:
+        """The ids, the ids as text, and the bytes to which they decode."""
+        return ids, ",".join(map(str, ids)), self.decode(ids)
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:
@@ -223,10 +223,12 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> Dat
     return df.mapInArrow(work, schema)
 
 
-def digests(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(
+    df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
     """One row per document: number of tokens, SHA-256 of the ids (decimal,
-    joined by commas) and of the bytes to which the ids decode. Ids are used up
-    where they are made, so neither they nor the texts leave the task."""
+    joined by commas) and of the bytes to which the ids decode, and the ids if
+    asked for. The texts do not leave the task."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     rows = df.select(df[key].cast("bigint").alias("doc_id"), df[text].alias("text"))
 
@@ -234,15 +236,21 @@ def digests(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", te
         coder = codec(shared.value, pattern, "digests")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes, codes, backs = [], [], []
+            sizes, codes, backs, flat = [], [], [], []
             for pieces, kept in coder.pieces_of(texts, coder.summary):
                 found = [kept[p] for p in pieces]
-                sizes.append(sum(n for n, _, _ in found))
+                sizes.append(sum(len(i) for i, _, _ in found))
                 codes.append(hashlib.sha256(",".join([c for _, c, _ in found]).encode()).hexdigest())
                 backs.append(hashlib.sha256(b"".join([b for _, _, b in found])).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes), pa.array(backs)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return rows.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    flat.append(np.fromiter(chain.from_iterable([i for i, _, _ in found]), np.int32, sizes[-1]))
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.string()), pa.array(backs, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                every = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
+                arrays, names = [*arrays, pa.ListArray.from_arrays(ends, every)], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    ids = ", ids array<int>" if with_ids else ""
+    return rows.mapInArrow(work, f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{ids}")

@@ -216,3 +216,22 @@ def _scored(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarra
             [*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string()), pa.array(mains, pa.float64())],
             names=[*batch.schema.names[1:], "lang_pred", "score", "languages", "main_share"],
         )
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """`docs` without documents that have no letters or of which no language has
+    `least`. Learns from the documents that are not held out."""
+    rows = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang"), held_out(docs[id_col], 4, 2).alias("_held"))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows.where("not _held")))
+    place = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, logs = shared.value
+        for batch in batches:
+            kept: list[bool] = []
+            for _, texts in text_slices([t or "" for t in batch.column(place).to_pylist()]):
+                shares, _ = proportions(texts, logs)
+                kept += (shares.max(axis=1, initial=0) >= least).tolist()
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
