@@ -169,20 +169,15 @@ def _with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([*arrays, *new.values()], names=[*batch.schema.names, *new])
 
 
-def _extended(df: DataFrame, *fields: T.StructField) -> T.StructType:
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    return T.StructType([*df.schema.fields, *fields])
-
-
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """Add `ids` and, if asked for, `starts` and `ends`: the code points of the
-    text that each token covers, end exclusive. Other columns stay."""
+    text that each token covers, end exclusive. Other columns stay; of the same name
+    only the new ones."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     longs = T.ArrayType(T.IntegerType())
     names = ["ids", "starts", "ends"] if offsets else ["ids"]
-    schema = _extended(df, *[T.StructField(n, longs) for n in names])
+    df = df.drop(*names)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, longs) for n in names]])
     place = df.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +199,12 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Add `decoded`, the bytes of `ids`, and `decoded_text`, which has U+FFFD
-    where the bytes are no UTF-8 (ids cut inside a character). Null ids: empty."""
+    where the bytes are no UTF-8 (ids cut inside a character). Null ids: empty.
+    Columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
-    schema = _extended(
-        df, T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())
-    )
+    df = df.drop("decoded", "decoded_text")
+    new = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
+    schema = T.StructType([*df.schema.fields, *new])
     place = df.columns.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,7 +344,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """`docs` with one document of each class. Only rows that a bit table of the
     others does not clear are joined."""
     gone = stored(find(docs, id_col, text_col).where("not kept").select(F.col("row_key").alias("_gone")).distinct(), "dropped")
+    # Own columns stand beside a row as a whole, so that no names clash.
     key = F.xxhash64(docs[id_col].cast("bigint"), docs[text_col])
-    tested = maybe_in(docs.withColumn("_key", key), F.col("_key"), gone)
-    doubtful = tested.where("_maybe").join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    return tested.where("not _maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    tested = maybe_in(docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")), F.col("key"), gone)
+    doubtful = tested.where("_maybe").join(gone, F.col("key") == F.col("_gone"), "left_anti")
+    return tested.where("not _maybe").select("row.*").unionByName(doubtful.select("row.*"))

@@ -94,7 +94,7 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
     counts = examples.select("text", "toxic").mapInArrow(work, "term bigint, bad bigint, good bigint")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = F.lit(float(sizes.get(1, 0))), F.lit(float(sizes.get(0, 0)))
+    n1, n0 = (F.lit(float(max(1, sizes.get(c, 0)))) for c in (1, 0))
     a, b = F.col("bad").cast("double"), F.col("good").cast("double")
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     n, both = n1 + n0, a + b
