@@ -157,26 +157,27 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) of every vertex of the edges (a, b): the smallest vertex that
-    it is connected with. Labels move along edges and then to the label of the
-    label, until nothing changes."""
-    both = stored(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "v"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["v"] == near["a"]).select(
-            "v", F.least("label", "near").alias("low"), F.col("label").alias("was")
-        )
-        lower = stored(lower, "labels")
-        jump = lower.select(F.col("v").alias("low"), F.col("low").alias("next"))
-        after = stored(
-            lower.join(jump, "low", "left").select("v", F.least("low", F.coalesce("next", "low")).alias("label"), "was"), "labels"
-        )
-        if not after.where("label <> was").limit(1).count():
-            return after.select("v", "label")
-        labels = after.select("v", "label")
+    """(v, label) of every vertex of the edges (a, b): a vertex that stands for all
+    that it is connected with. In each round a vertex takes the smallest of
+    itself and its neighbours, then what that one took; edges are then drawn
+    between what their ends took, so they get fewer and fewer."""
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = stored(ordered(edges), "edges")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("a", "near").alias("low")), "low")
+        took = low.join(low.toDF("low", "lower"), "low").select(F.col("a").alias("v"), F.col("lower").alias("label"))
+        rounds.append(stored(took, "labels"))
+        ends = left.join(rounds[-1].toDF("a", "la"), "a").select("b", "la").join(rounds[-1].toDF("b", "lb"), "b")
+        left = stored(ordered(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "edges")
+    if not rounds:
+        return left.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    labels = rounds[0]
+    for later in rounds[1:]:
+        met = labels.join(later.toDF("label", "next"), "label", "left")
+        labels = met.select("v", F.coalesce("next", "label").alias("label"))
+    return stored(labels, "components")
 
 
 def agreement(a: str, b: str) -> Column:
@@ -197,7 +198,7 @@ def ties(reps: DataFrame) -> DataFrame:
     bucket = F.xxhash64("band", F.expr(f"substring(signature, band * {2 * ROWS} + 1, {2 * ROWS})"))
     members = reps.select("rep", "signature", band).select("rep", "band", bucket.alias("bucket"))
     # The same few documents are picked in all buckets in which they are.
-    pick = F.xxhash64("rep", F.col("band") % 2)
+    pick = F.xxhash64("rep")
     heads = members.groupBy("bucket").agg(F.min_by("rep", pick).alias("low"), F.max_by("rep", pick).alias("high"))
     heads = stored(heads.where("low <> high"), "heads")
     met = members.join(heads, "bucket").select("rep", F.explode(F.array("low", "high")).alias("head")).where("rep <> head")
@@ -314,14 +315,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = keyed(rows, "doc_id", "text")
     signed = stored(signatures(rows), "signatures")
     reps = stored(
-        signed.where("set_id is not null").groupBy("set_id").agg(F.first("signature").alias("signature"))
-        .withColumnRenamed("set_id", "rep"), "sets",
+        signed.where("set_id is not null").groupBy(F.col("set_id").alias("rep"))
+        .agg(F.first("signature").alias("signature"), F.min("row_key").alias("row_key")), "sets",
     )
     clusters = components(ties(reps))
-    wanted = (
-        signed.select("set_id", "row_key").join(clusters, F.col("set_id") == F.col("v"))
-        .groupBy(F.col("v").alias("rep"), F.col("label").alias("cluster")).agg(F.min("row_key").alias("row_key"))
-    )
+    wanted = reps.join(clusters, reps["rep"] == clusters["v"]).select("rep", "row_key", F.col("label").alias("cluster"))
     sets = stored(element_sets(rows, stored(wanted, "wanted")), "elements")
     classes = components(links(sets))
     group = F.coalesce("label", "set_id").alias("group")
