@@ -58,7 +58,7 @@ def main() -> None:
     )
     start = cut(model.init_random(t.vocab, DIM, catalog.SEED))
     o = Objective(WINDOW, N_NEG, tuple(t.cuts))
-    buckets = training.bucket_count(tokens, training.Settings(), cpus)
+    buckets = training.bucket_count(tokens, training.Settings())
 
     def loss_pairs(row):
         return row["n_pred"] / (1 + N_NEG)

@@ -10,6 +10,7 @@ LINE_BREAK = r"\r\n|\r|\n"
 TOKEN_SEPARATOR = " "
 OUTER_NON_LETTERS = r"^[^\p{L}]+|[^\p{L}]+$"
 KEY_SEPARATOR = "_"
+KEY = "^(.*)_([0-9]{1,9})$"
 
 # The stretch from the first to the last letter of one space-separated token.
 WORD = r"(\p{L}(?:[^ ]*\p{L})?)"
@@ -36,3 +37,12 @@ def words(text: Column) -> Column:
 
 def sense_key(word: Column, sense: Column) -> Column:
     return F.concat_ws(KEY_SEPARATOR, word, sense.cast("string"))
+
+
+def key_word(key: Column) -> Column:
+    """The word of a key: all before the last separator, as words have some too."""
+    return F.regexp_extract(key, KEY, 1)
+
+
+def key_sense(key: Column) -> Column:
+    return F.regexp_extract(key, KEY, 2).cast("int")

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 from polysem.session import fits
 
-SALTS = 16
-
 
 def lookup_join(
     facts: DataFrame, table: DataFrame, on: list[str], table_rows: int, row_bytes: int, how: str = "inner"
 ) -> DataFrame:
     """Join facts with a table that is unique on `on`. Small tables are
-    broadcast; otherwise both sides are shuffled with the facts of one key
-    spread over SALTS tasks, because one word may own a third of all tokens."""
+    broadcast. Otherwise both sides are shuffled, and since one word may own a
+    third of all tokens, Spark splits the facts of a large partition over tasks
+    of bounded size (adaptive skew join). For that the table should be
+    materialised: next to an aggregate a join is not split."""
     if fits(table_rows, row_bytes):
         return facts.join(F.broadcast(table), on, how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted_table = table.withColumn("_salt", copies)
-    return salted_facts.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    return facts.join(table, on, how)

@@ -17,7 +17,7 @@ from polysem.operators.corpus import ENCODE
 
 # Fixed values.
 MAX_SWEEPS = 10
-# Times alpha: how far one row may move on values from before a batch. With
+# Times alpha: how often one row may be hit on values from before a step. With
 # squared lengths up to 15 the score slope stays below 2.
 STEP_LIMIT = 0.5
 # Tokens evaluated at a time: bounds the memory of gathered vectors.
@@ -380,9 +380,9 @@ def _softmax_step(v, U, at, alpha):
 
 def sgd_batched(bucket: Bucket, inputs: Rows, outputs: Rows, alpha: float, batch: int) -> tuple[float, int]:
     """SGD in mini-batches of pairs taken side by side from many sentences, so
-    that the pairs of a batch rarely share rows. A row shared by more than
-    STEP_LIMIT / alpha targets of one batch moves by the mean of its steps that
-    many times: steps from one old value would otherwise overshoot."""
+    that the pairs of a batch rarely share rows. Where a row is hit more than
+    STEP_LIMIT / alpha times, the batch is done in several steps: sums from one
+    old value would otherwise overshoot. Every gradient counts in full."""
     V, U = inputs.vectors.astype(np.float32), outputs.vectors.astype(np.float32)
     in_at = inputs.index(bucket.codes)
     targets = np.column_stack((outputs.index(bucket.output_codes()), outputs.index(bucket.negs)))
@@ -395,32 +395,45 @@ def sgd_batched(bucket: Bucket, inputs: Rows, outputs: Rows, alpha: float, batch
     i, j = np.concatenate(centres), np.concatenate(contexts)
     order = np.lexsort((bucket.sentence[i], j - i, pos[i]))
     i, j = i[order], j[order]
-    limit = max(1.0, STEP_LIMIT / alpha)
+    limit = max(1, int(STEP_LIMIT / alpha))
     width = targets.shape[1]
     loss = 0.0
     for first in range(0, len(i), batch):
-        here, there = in_at[i[first : first + batch]], targets[j[first : first + batch]]
-        v, rows = V.take(here, 0), U.take(there, 0)
-        scores = np.einsum("md,mkd->mk", v, rows)
-        gx, gy = pair_slopes(scores[:, 0], scores[:, 1:], bucket.objective.softmax)
-        steps = -alpha * np.column_stack((gx, gy)).astype(np.float32)
-        loss += float(pair_loss(scores[:, 0], scores[:, 1:], bucket.objective.softmax).sum())
-        _add_rows(V, here, np.arange(len(here)), np.einsum("mk,mkd->md", steps, rows), None, limit)
-        flat = there.ravel()
-        _add_rows(U, flat, np.arange(len(flat)) // width, v, steps.ravel(), limit)
+        for here, there in steps_of(in_at[i[first : first + batch]], targets[j[first : first + batch]], limit):
+            v, rows = V.take(here, 0), U.take(there, 0)
+            scores = np.einsum("md,mkd->mk", v, rows)
+            gx, gy = pair_slopes(scores[:, 0], scores[:, 1:], bucket.objective.softmax)
+            steps = -alpha * np.column_stack((gx, gy)).astype(np.float32)
+            loss += float(pair_loss(scores[:, 0], scores[:, 1:], bucket.objective.softmax).sum())
+            _add_rows(V, here, np.arange(len(here)), np.einsum("mk,mkd->md", steps, rows), None)
+            flat = there.ravel()
+            _add_rows(U, flat, np.arange(len(flat)) // width, v, steps.ravel())
     inputs.vectors, outputs.vectors = V.astype(np.float64), U.astype(np.float64)
     return loss, len(i) * bucket.predictions
 
 
-def _add_rows(target, at, source, values, factors, limit):
-    """target[at[r]] += factors[r] * values[source[r]], repeated rows added up
-    and held to `limit` mean steps."""
+def _earlier(rows: np.ndarray) -> np.ndarray:
+    """How many equal entries stand before each one."""
+    order, _, first, times = segments(rows)
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.arange(len(rows)) - np.repeat(first, times)
+    return out
+
+
+def steps_of(here: np.ndarray, there: np.ndarray, limit: int):
+    """The pairs of a batch in steps in which no row occurs more than `limit`
+    times, unless within one pair."""
+    while len(here):
+        late = (_earlier(here) >= limit) | (_earlier(there.ravel()).reshape(there.shape) >= limit).any(axis=1)
+        late[0] = False
+        yield here[~late], there[~late]
+        here, there = here[late], there[late]
+
+
+def _add_rows(target, at, source, values, factors):
+    """target[at[r]] += factors[r] * values[source[r]], repeated rows added up."""
     order, rows, first, times = segments(at)
     added = values[source[order]]
     if factors is not None:
         added *= factors[order, None]
-    sums = segment_sums(added, first, times)
-    many = times > limit
-    if many.any():
-        sums[many] *= (limit / times[many])[:, None].astype(sums.dtype)
-    target[rows] += sums
+    target[rows] += segment_sums(added, first, times)

@@ -3,9 +3,6 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,11 +10,11 @@ from pyspark.sql import functions as F
 
 from polysem.functions import text as tx
 from polysem.functions import vectors as fv
-from polysem.operators.vector_table import matrix, unit_rows
+from polysem.operators.vector_table import block_no, matrix, n_blocks, unit_rows
+from polysem.session import cut
 
-# Query vectors (and their products with one batch of rows) held by a task.
-QUERY_BYTES = 64 * 1024 * 1024
-BATCH_ROWS = 10_000
+# Queries and stored vectors per side of one cell.
+BLOCK_ROWS = 4096
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
@@ -41,104 +38,95 @@ def get_vector(vectors: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def parse_search_terms(terms: DataFrame, vectors: DataFrame) -> DataFrame:
-    """`apple` means all its senses, `apple_1` that sense. Anything else, or an
-    unknown word or sense, is an error."""
-    parts = F.split("term", tx.KEY_SEPARATOR, -1)
-    split = terms.withColumn("parts", parts).withColumn("word", F.element_at(parts, 1))
-    known = split.join(senses_of_words(vectors), "word", "left")
-    every = F.sequence(F.lit(0), F.col("n_senses") - 1)
-    number = F.expr("try_cast(try_element_at(parts, 2) AS INT)")
-    error = (
-        F.when(F.size("parts") > 2, F.lit("wrong search entry"))
-        .when(F.col("n_senses").isNull(), F.lit("not in vocabulary"))
-        .when((F.size("parts") == 2) & ~F.coalesce(number.between(0, F.col("n_senses") - 1), F.lit(False)), F.lit("not in vocabulary"))
+    """`apple` means all its senses, `apple_1` that sense: (term, word, n_senses,
+    sense, whole). A term that is itself a word is taken whole, whatever
+    separators it has. An unknown word or sense is an error."""
+    words = cut(senses_of_words(vectors))
+    as_key = F.col("term").rlike(tx.KEY)
+    split = terms.withColumn("part", F.when(as_key, tx.key_word(F.col("term")))).withColumn(
+        "number", F.when(as_key, tx.key_sense(F.col("term")))
     )
-    senses = (
-        F.when(error.isNotNull(), F.raise_error(F.concat(error, F.lit(": "), F.col("term"))).cast("array<int>"))
-        .when(F.size("parts") == 1, every)
-        .otherwise(F.array(number))
+    whole = words.select(F.col("word").alias("term"), F.col("n_senses").alias("whole_n"))
+    known = split.join(whole, "term", "left").join(words.select(F.col("word").alias("part"), F.col("n_senses").alias("part_n")), "part", "left")
+    has_sense = F.coalesce(F.col("number") < F.col("part_n"), F.lit(False))
+    every = F.sequence(F.lit(0), F.col("whole_n") - 1)
+    error = _fail("not in vocabulary", F.col("term")).cast("array<int>")
+    taken = F.col("whole_n").isNotNull()
+    senses = F.when(taken, every).when(has_sense, F.array("number")).otherwise(error)
+    return known.select(
+        "term", F.when(taken, F.col("term")).otherwise(F.col("part")).alias("word"), F.coalesce("whole_n", "part_n").alias("n_senses"),
+        F.explode(senses).alias("sense"), taken.alias("whole"),
     )
-    return known.select("term", "word", "n_senses", F.explode(senses).alias("sense"))
 
 
 def query_vectors(parsed: DataFrame, vectors: DataFrame) -> DataFrame:
     joined = parsed.join(vectors, ["word", "sense"])
-    return joined.select("term", "n_senses", tx.sense_key(F.col("word"), F.col("sense")).alias("query"), "vec")
+    return joined.select("term", "whole", "n_senses", tx.sense_key(F.col("word"), F.col("sense")).alias("query"), "vec")
 
 
-def _slices(queries: DataFrame, row_bytes: int) -> list[pa.Table]:
-    """The queries in parts small enough for every task to hold one."""
-    n = max(1, math.ceil(queries.count() * row_bytes / QUERY_BYTES))
-    part = F.pmod(F.xxhash64("query"), F.lit(n))
-    slices = [queries.where(part == i).toArrow() if n > 1 else queries.toArrow() for i in range(n)]
-    return [s for s in slices if s.num_rows]
+def _similarities(rows: np.ndarray, queries: np.ndarray, cosine: bool) -> np.ndarray:
+    return (unit_rows(rows) if cosine else rows) @ unit_rows(queries).T
 
 
-def _similarities(rows: np.ndarray, queries: np.ndarray, cosine: bool) -> np.ndarray:
-    return (unit_rows(rows) if cosine else rows) @ queries.T
+def _cells(vectors: DataFrame, queries: DataFrame, task, schema: str) -> DataFrame:
+    """Run `task(query names, query rows, keys, rows)` for every block of queries
+    with every block of stored vectors. A row goes to one cell for each block of
+    the other side; nothing passes through the driver, each side is read once."""
+    table = keyed(vectors).select("key", "vec")
+    rows, asked = n_blocks(vectors.count(), BLOCK_ROWS), n_blocks(queries.count(), BLOCK_ROWS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Both may come from one table, so each side has column names of its own.
+    left = queries.select(
+        F.col("query").alias("q"), F.col("vec").alias("q_vec"), block_no(F.col("query"), asked).alias("qb"), every(rows).alias("vb")
+    )
+    right = table.select(
+        F.col("key").alias("v"), F.col("vec").alias("v_vec"), every(asked).alias("qb2"), block_no(F.col("key"), rows).alias("vb2")
+    )
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return pa.table({"query": pa.array([], pa.string()), "key": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
+        return task(q["q"], matrix(q["q_vec"]), v["v"], matrix(v["v_vec"]))
+
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb2", "vb2")).applyInArrow(run, schema)
 
 
-def _each_slice(table: DataFrame, queries: DataFrame, dim: int, task, schema: str) -> DataFrame:
-    """Run `task(query names, unit query rows, batches)` over the partitions of
-    the table, once per slice of the queries. The table is not shuffled."""
-    results = []
-    for part in _slices(queries.select("query", "vec"), 8 * (dim + BATCH_ROWS)):
-        shared = table.sparkSession.sparkContext.broadcast((part["query"].to_pylist(), unit_rows(matrix(part["vec"]))))
-        results.append(table.mapInArrow(lambda batches, s=shared: task(*s.value, batches), schema))
-    if not results:
-        return table.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, results)
+PAIR = "query string, key string, sim double"
 
 
 def cross_similarity(vectors: DataFrame, queries: DataFrame, dim: int, cosine: bool = True) -> DataFrame:
     """Similarity of every stored vector with every query: (query, key, sim)."""
 
-    def task(names, q, batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = _similarities(matrix(batch.column("vec")), q, cosine)
-            keys = batch.column("key").take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names * batch.num_rows, pa.string()), keys, pa.array(sims.ravel())], names=["query", "key", "sim"]
-            )
+    def task(names, q, keys, rows):
+        sims = _similarities(rows, q, cosine)
+        row, col = np.divmod(np.arange(sims.size), sims.shape[1])
+        return pa.table({"query": names.take(pa.array(col)), "key": keys.take(pa.array(row)), "sim": sims.ravel()})
 
-    table = keyed(vectors).select("key", "vec")
-    return _each_slice(table, queries, dim, task, "query string, key string, sim double")
+    return _cells(vectors, queries, task, PAIR)
 
 
 def top_k_neighbors(vectors: DataFrame, queries: DataFrame, k: int, dim: int, cosine: bool = True) -> DataFrame:
     """The k+1 most similar rows per query (the query itself is among them):
-    (query, rank, key, sim), ties by key. Every task keeps its best k+1 only."""
+    (query, rank, key, sim), ties by key. Every cell keeps its best k+1 only, so
+    the ranking of a query sees k+1 rows for each block of stored vectors."""
     keep = k + 1
 
-    def best(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("q", "ascending"), ("sim", "descending"), ("key", "ascending")])
-        q = table["q"].to_numpy()
-        first = np.searchsorted(q, q, side="left")
-        return table.filter(pa.array(np.arange(len(q)) - first < keep))
-
-    def task(names, q, batches):
-        found = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = _similarities(matrix(batch.column("vec")), q, cosine)
-            if len(sims) > keep:
-                edge = np.partition(sims, len(sims) - keep, axis=0)[len(sims) - keep]
-                row, col = np.nonzero(sims >= edge)
-            else:
-                row, col = np.divmod(np.arange(sims.size), sims.shape[1])
-            new = pa.table({"q": col, "key": batch.column("key").take(pa.array(row)), "sim": sims[row, col]})
-            found = best(new if found is None else pa.concat_tables([found, new]))
-        if found is not None and found.num_rows:
-            query = pa.array(names, pa.string()).take(found["q"].combine_chunks())
-            yield from pa.table({"query": query, "key": found["key"], "sim": found["sim"]}).to_batches()
+    def task(names, q, keys, rows):
+        sims = _similarities(rows, q, cosine)
+        if len(sims) > keep:
+            edge = np.partition(sims, len(sims) - keep, axis=0)[len(sims) - keep]
+            row, col = np.nonzero(sims >= edge)
+        else:
+            row, col = np.divmod(np.arange(sims.size), sims.shape[1])
+        near = pa.table({"q": col, "key": keys.take(pa.array(row)), "sim": sims[row, col]})
+        near = near.sort_by([("q", "ascending"), ("sim", "descending"), ("key", "ascending")])
+        at = near["q"].to_numpy()
+        best = np.arange(len(at)) - np.searchsorted(at, at, side="left") < keep
+        near = near.filter(pa.array(best))
+        return pa.table({"query": names.take(near["q"].combine_chunks()), "key": near["key"], "sim": near["sim"]})
 
-    table = keyed(vectors).select("key", "vec")
-    candidates = _each_slice(table, queries, dim, task, "query string, key string, sim double")
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "key")
-    ranked = candidates.withColumn("rank", F.row_number().over(order))
+    ranked = _cells(vectors, queries, task, PAIR).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= keep).select("query", "rank", "key", "sim")
 
 
@@ -149,8 +137,7 @@ def distinct_neighbors(neighbors: DataFrame) -> DataFrame:
 
 def neighbors_per_word(neighbors: DataFrame) -> DataFrame:
     """Per query word the keys near any of its senses."""
-    word = F.element_at(F.split("query", tx.KEY_SEPARATOR), 1)
-    return neighbors.select(word.alias("query_word"), "key").distinct()
+    return neighbors.select(tx.key_word(F.col("query")).alias("query_word"), "key").distinct()
 
 
 def sense_similarity_matrix(vectors: DataFrame) -> DataFrame:
@@ -170,9 +157,9 @@ def neighbors_report(vectors: DataFrame, terms: DataFrame, k: int, dim: int, cos
     # two terms may ask for the same sense
     near = top_k_neighbors(vectors, queries.dropDuplicates(["query"]), k, dim, cosine)
     words = senses_of_words(vectors)
-    first = F.element_at(F.split("key", tx.KEY_SEPARATOR), 1)
+    first = tx.key_word(F.col("key"))
     named = near.join(words.select(F.col("word").alias("nb_word"), F.col("n_senses").alias("nb_n")), first == F.col("nb_word"))
-    plain = F.instr("term", tx.KEY_SEPARATOR) == 0
+    plain = F.col("whole")
     header = F.when(plain & (F.col("n_senses") == 1), F.col("term")).otherwise(F.col("query"))
     lists = queries.drop("vec").join(named, "query").select(
         "term", F.lit("neighbor").alias("part"), header.alias("query"), "rank",
@@ -180,7 +167,7 @@ def neighbors_report(vectors: DataFrame, terms: DataFrame, k: int, dim: int, cos
     )
     several = queries.where(plain & (F.col("n_senses") > 1))
     right = several.select("term", F.col("query").alias("other"), F.col("vec").alias("other_vec"))
-    sense = F.element_at(F.split("other", tx.KEY_SEPARATOR), 2).cast("int")
+    sense = tx.key_sense(F.col("other"))
     senses = several.join(right, "term").select(
         "term", F.lit("senses").alias("part"), "query", sense.alias("rank"), "other",
         fv.cosine(F.col("vec"), F.col("other_vec")).alias("sim"),

@@ -123,12 +123,14 @@ def negatives_by_join(
     draws = (
         lookup_join(tokens, own, ["word_id"], vocab_rows, 40)
         .withColumn("us", _draws(n, seed, purpose, F.col("pos")))
-        .select("doc_id", "line", "pos", "own_lo", "own_hi", F.posexplode("us").alias("j", "u"))
+        .select("doc_id", "line", "pos", "word_id", "own_lo", "own_hi", F.posexplode("us").alias("j", "u"))
         .withColumn("at", F.when(scaled >= F.col("own_lo"), scaled + p).otherwise(scaled))
         .withColumn("cell", cell(F.col("at")))
     )
     hits = draws.join(spans, "cell").where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
-    return hits.select("doc_id", "line", "pos", "j", "neg_id")
+    other = F.when(F.col("word_id") < vocab_rows - 1, F.col("word_id") + 1).otherwise(F.col("word_id") - 1)
+    drawn = F.when(F.col("neg_id") == F.col("word_id"), other).otherwise(F.col("neg_id"))  # only by rounding, as in memory
+    return hits.select("doc_id", "line", "pos", "j", drawn.cast("int").alias("neg_id"))
 
 
 def negative_samples(

@@ -11,6 +11,8 @@ from polysem.operators.ordering import number_rows, running_share, running_total
 SMOOTHING_POWER = 0.75
 # Rows per window when summing up the word distribution.
 SHARE_BLOCK = 65536
+# Word and sense are packed into one number with room for so many senses.
+MAX_SENSES = 100
 
 
 def word_count(words: DataFrame) -> DataFrame:
@@ -53,6 +55,8 @@ def build_vocab(
 ) -> tuple[DataFrame, int]:
     """(word, cn, word_id, n_senses), ids ranked by count then word. Returns the
     materialised table and its size."""
+    if len(thresholds) + 1 > MAX_SENSES:
+        raise ValueError(f"{len(thresholds) + 1} senses: a word has at most {MAX_SENSES}")
     kept = vocab_predicate(counts, min_count, eval_words)
     numbered, rows = number_rows(kept, F.desc("cn"), F.asc("word"), column="word_id")
     vocab = numbered.select(

@@ -21,8 +21,11 @@ from polysem.session import cut, fresh_path, spread
 from polysem.sources import readers, writers
 
 SEED, MIN_COUNT, THRESHOLDS = 42, 5, [50, 200]
-WINDOW, N_NEG, DIM, BUCKETS, CHUNKS, TOP = 2, 3, 8, 8, 20, 10
+WINDOW, N_NEG, DIM, CHUNKS, TOP = 2, 3, 8, 20, 10
+TOKENS_PER_BUCKET = 25_000
 EMBEDDING_DIM = 64
+# Room for the places within one item, so that packed ids do not collide.
+PLACES = 1 << 32
 # Entries of the test model are uniform in +-1: with the tiny entries of a
 # fresh model every loss would be the same.
 MODEL_SCALE = 2.0 * DIM
@@ -116,6 +119,12 @@ class Inputs:
             sampling.with_negatives(self.coded, self.unigram, self.vocab_rows, N_NEG, self.cuts, True, SEED)
         )
 
+    @cached_property
+    def buckets(self) -> int:
+        """Groups of sentences of bounded size, however large the corpus is."""
+        tokens = self.with_negatives.agg(F.sum(F.size("codes"))).first()[0] or 0
+        return max(1, -(-tokens // TOKENS_PER_BUCKET))
+
     def objective(self, **changes) -> Objective:
         return Objective(**{"window": WINDOW, "n_neg": N_NEG, "cuts": tuple(self.cuts), **changes})
 
@@ -138,7 +147,7 @@ class Inputs:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return objective.assign_senses(self.with_negatives, self.model, self.objective(), BUCKETS, SEED)
+        return objective.assign_senses(self.with_negatives, self.model, self.objective(), self.buckets, SEED)
 
     @cached_property
     def probs(self) -> DataFrame:
@@ -153,7 +162,7 @@ class Inputs:
         )
         some = self.benchmark_words.where(F.size("words") > 1)
         pair = some.select("item_id", F.posexplode(following).alias("pos", "p"))
-        return pair.select((F.col("item_id") * 100000 + F.col("pos")).alias("id"), "p.word1", "p.word2")
+        return pair.select((F.col("item_id") * PLACES + F.col("pos")).alias("id"), "p.word1", "p.word2")
 
     @cached_property
     def known_pairs(self) -> DataFrame:
@@ -168,7 +177,7 @@ class Inputs:
         turns = turns.where(F.size("words") > 0)
         nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("next"))
         return turns.join(nxt, ["conv_id", "turn"]).select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+            (F.col("conv_id") * PLACES + F.col("turn")).alias("id"),
             F.element_at("words", 1).alias("word1"), F.element_at("next", 1).alias("word2"),
             F.array_join("words", " ").alias("context1"), F.array_join("next", " ").alias("context2"),
         )
@@ -344,7 +353,8 @@ def write_tagged_corpus(t: Inputs) -> DataFrame:
 def write_neighbor_lists(t: Inputs) -> DataFrame:
     path = t.scratch("neighbors")
     writers.write_neighbor_lists(neighbors.neighbors_per_word(t.eval_neighbors), path)
-    return t.spark.read.schema("value string, query_word string").text(path).select("query_word", "value")
+    parts = F.split("value", "\t", -1)
+    return t.spark.read.text(f"{path}/per_word").select(parts[0].alias("query_word"), parts[1].alias("value"))
 
 
 @query
@@ -517,8 +527,8 @@ def loss_per_prediction(t: Inputs) -> DataFrame:
 
 @query
 def average_parameters(t: Inputs) -> DataFrame:
-    updates = objective.bucket_gradients(t.with_negatives, t.model, t.objective(), BUCKETS, SEED)
-    return _dims(model.average_parameters(t.model, updates, BUCKETS, DIM), "mat", "word_id", "sense", digits=4)
+    updates = objective.bucket_gradients(t.with_negatives, t.model, t.objective(), t.buckets, SEED)
+    return _dims(model.average_parameters(t.model, updates, t.buckets, DIM), "mat", "word_id", "sense", digits=4)
 
 
 # --- joins ------------------------------------------------------------------------
@@ -755,19 +765,19 @@ def _per_word_sense(t: Inputs, losses: DataFrame, *extra: Column) -> DataFrame:
 
 @query
 def sgns_pair_loss(t: Inputs) -> DataFrame:
-    losses = objective.pair_loss(t.with_negatives, t.model, t.objective(), BUCKETS, SEED)
+    losses = objective.pair_loss(t.with_negatives, t.model, t.objective(), t.buckets, SEED)
     return _per_word_sense(t, losses, F.sum("n_pred").alias("n_pred"))
 
 
 @query
 def softmax_pair_loss(t: Inputs) -> DataFrame:
-    losses = objective.pair_loss(t.with_negatives, t.model, t.objective(softmax=True), BUCKETS, SEED)
+    losses = objective.pair_loss(t.with_negatives, t.model, t.objective(softmax=True), t.buckets, SEED)
     return _per_word_sense(t, losses)
 
 
 @query
 def sentence_loss(t: Inputs) -> DataFrame:
-    losses = objective.sentence_loss(t.with_negatives, t.model, t.objective(), BUCKETS, SEED)
+    losses = objective.sentence_loss(t.with_negatives, t.model, t.objective(), t.buckets, SEED)
     return _rounded(losses, "loss", digits=4)
 
 
@@ -784,7 +794,7 @@ def assign_senses_sweeps(t: Inputs) -> DataFrame:
     """Outputs with senses of their own: positions depend on each other."""
     two_sided = model.init_random(t.vocab, DIM, SEED, False, MODEL_SCALE, MODEL_SCALE)
     noisy = cut(sampling.with_negatives(t.coded, t.unigram, t.vocab_rows, N_NEG, t.cuts, False, SEED))
-    assigned = objective.assign_senses(noisy, two_sided, t.objective(one_sense_output=False), BUCKETS, SEED)
+    assigned = objective.assign_senses(noisy, two_sided, t.objective(one_sense_output=False), t.buckets, SEED)
     return assigned.select("doc_id", "line", _int_list(F.col("codes")).alias("codes"), "n_adjust")
 
 
@@ -801,19 +811,19 @@ def sgns_gradient(t: Inputs) -> DataFrame:
 
 @query
 def softmax_gradient(t: Inputs) -> DataFrame:
-    grads = objective.softmax_gradient(t.with_negatives, t.model, t.objective(softmax=True), BUCKETS, SEED, DIM)
+    grads = objective.softmax_gradient(t.with_negatives, t.model, t.objective(softmax=True), t.buckets, SEED, DIM)
     return _gradient_rows(grads)
 
 
 def _epoch(t: Inputs, softmax: bool, batch: int = 1) -> DataFrame:
     start = model.init_random(t.vocab, DIM, SEED)
     updates = cut(
-        objective.sgd_epoch(t.with_negatives, start, t.objective(softmax=softmax), BUCKETS, SEED, 0.05, batch)
+        objective.sgd_epoch(t.with_negatives, start, t.objective(softmax=softmax), t.buckets, SEED, 0.05, batch)
     )
     summary = updates.where(F.col("mat") == objective.SUMMARY).agg(
         F.sum("loss").alias("loss"), F.sum("n_pred").alias("n_pred"), F.sum("n_tokens").alias("n_tokens")
     )
-    trained = model.average_parameters(start, updates, BUCKETS, DIM)
+    trained = model.average_parameters(start, updates, t.buckets, DIM)
     length = F.sum(fv.squared_norm(F.col("vec")))
     totals = trained.groupBy("mat").agg(F.count("*").alias("n_rows"), length.alias("square"))
     return totals.select(
@@ -867,7 +877,7 @@ def learning_rate_schedule(t: Inputs) -> DataFrame:
 def validate_model(t: Inputs) -> DataFrame:
     assigned = cut(t.assigned)
     again = assigned.select("doc_id", "line", "codes").join(t.with_negatives.select("doc_id", "line", "negs"), ["doc_id", "line"])
-    losses = objective.sentence_loss(cut(again), t.model, t.objective(), BUCKETS, SEED)
+    losses = objective.sentence_loss(cut(again), t.model, t.objective(), t.buckets, SEED)
     result = objective.loss_per_prediction(losses).withColumn("adjust_rate", objective.adjust_rate(assigned).select("adjust_rate").scalar())
     return _rounded(result, "loss_per_prediction", "adjust_rate")
 
@@ -885,7 +895,7 @@ def early_stop(t: Inputs) -> DataFrame:
 def _settings(**changes) -> training.Settings:
     values = {
         "min_count": MIN_COUNT, "thresholds": tuple(THRESHOLDS), "window": WINDOW, "n_neg": N_NEG, "dim": DIM,
-        "chunks": 2, "epochs": 1, "alpha": 0.05, "validate_every": 2, "buckets": BUCKETS, "seed": SEED,
+        "chunks": 2, "epochs": 1, "alpha": 0.05, "validate_every": 2, "tokens_per_bucket": TOKENS_PER_BUCKET, "seed": SEED,
     }
     return training.Settings(**{**values, **changes})
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 
 P = {  # the parameters of polysem.plans.catalog
-    "seed": 42, "min_count": 5, "window": 2, "n_neg": 3, "dim": 8, "buckets": 8,
+    "seed": 42, "min_count": 5, "window": 2, "n_neg": 3, "dim": 8, "tokens_per_bucket": 25_000,
 }
 
 
@@ -135,7 +135,7 @@ PARTS = {
     "emb": f"SELECT vec_id, label, 'v' || vec_id AS word, 'v' || vec_id || '_' || label AS key, {doubles('embedding')} AS v FROM embeddings",
     "two": f"SELECT a.vec_id AS id, a.v AS a, b.v AS b FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1",
     "sv": "SELECT v.word, v.word_id, i.sense, v.word || '_' || i.sense AS key, v.n_senses, i.v FROM v_in i JOIN vocab v USING (word_id)",
-    "bpairs": """SELECT item_id * 100000 + a.pos AS id, a.word AS word1, b.word AS word2
+    "bpairs": """SELECT item_id * 4294967296 + a.pos AS id, a.word AS word1, b.word AS word2
         FROM bench_w a JOIN bench_w b USING (item_id) WHERE b.pos = a.pos + 1""",
     "kpairs": "SELECT * FROM bpairs WHERE word1 IN (SELECT word FROM vocab) AND word2 IN (SELECT word FROM vocab)",
     "psims": f"""SELECT id, word1, word2, avg({cosine('a.v', 'b.v')}) AS avg_sim, greatest(max({cosine('a.v', 'b.v')}), -1) AS max_sim
@@ -150,7 +150,7 @@ PARTS = {
           SELECT conv_id, turn, unnest(a) AS raw, generate_subscripts(a, 1) AS p
           FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '\r\n|\r|\n', ' ', 'g'), ' ') AS a FROM conversations)))
         WHERE word <> '' GROUP BY ALL""",
-    "ctx_pairs": """SELECT a.conv_id * 1000 + a.turn AS id, a.words[1] AS word1, b.words[1] AS word2,
+    "ctx_pairs": """SELECT a.conv_id * 4294967296 + a.turn AS id, a.words[1] AS word1, b.words[1] AS word2,
         array_to_string(a.words, ' ') AS context1, array_to_string(b.words, ' ') AS context2
         FROM turns a JOIN turns b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",
     "occ": "SELECT id, 1 AS side, word1 AS word, context1 AS context FROM ctx_pairs UNION ALL SELECT id, 2, word2, context2 FROM ctx_pairs",
@@ -221,7 +221,7 @@ QUERIES: dict[str, str] = {
         SELECT key, v, row_number() OVER (ORDER BY word, sense) - 1 AS idx FROM sv))""",
     "write_history": """SELECT it, CASE WHEN it % 2 = 1 THEN round(loss, 6) ELSE 0 END AS vali_loss, 0.0::double AS vali_adjust FROM hist""",
     "write_tagged_corpus": "SELECT string_agg(word || '_' || sense, ' ' ORDER BY pos) AS value FROM coded GROUP BY doc_id, line",
-    "write_neighbor_lists": "SELECT DISTINCT string_split(query, '_')[1] AS query_word, key AS value FROM nb",
+    "write_neighbor_lists": "SELECT DISTINCT regexp_extract(query, '^(.*)_[0-9]+$', 1) AS query_word, key AS value FROM nb",
     "write_scores": "SELECT id, round(avg_sim, 6) AS score FROM psims",
     # text
     "tokenize": "SELECT doc_id, line, raw_pos, raw FROM tok",
@@ -263,7 +263,7 @@ QUERIES: dict[str, str] = {
     "adjust_rate": """SELECT round(avg(a), 6) AS adjust_rate, count(*) AS n_sentences
         FROM (SELECT max((sense <> old)::int) AS a FROM assigned GROUP BY doc_id, line)""",
     "loss_per_prediction": "SELECT round(sum(loss) / count(*), 6) AS loss_per_prediction, count(*) AS n_pred FROM terms",
-    "average_parameters": f"""SELECT m.mat, m.word_id, m.sense, m.k::int AS k, round(m.x + coalesce(g.g, 0) / {P['buckets']}, 4) AS x
+    "average_parameters": f"""SELECT m.mat, m.word_id, m.sense, m.k::int AS k, round(m.x + coalesce(g.g, 0) / (SELECT greatest(1, ceil(count(*) / {P['tokens_per_bucket']}.0)) FROM enc), 4) AS x
         FROM (SELECT mat, word_id, sense, {vec_at(doubles('vec'))} FROM model) m LEFT JOIN grad g USING (mat, word_id, sense, k)""",
     # joins
     "join_vocab": "SELECT doc_id, line, pos, word_id FROM enc",

@@ -8,6 +8,7 @@ cuts its lineage into the shared folder.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -43,10 +44,11 @@ class Settings:
     weight_decay: float = 0.1
     one_sense_output: bool = True
     softmax: bool = False
-    # Tokens per bucket of one SGD pass; one bucket is one task. A bucket of a
-    # million tokens and its negatives takes about 100 MB.
-    tokens_per_bucket: int = 1_000_000
-    # Number of buckets; 0 derives it from tokens_per_bucket and the cluster.
+    # Tokens per bucket of one SGD pass; one bucket is one task and one of the
+    # models that are averaged. With its negatives a bucket touches at most
+    # (1 + n_neg) rows per token and matrix.
+    tokens_per_bucket: int = 100_000
+    # Number of buckets; 0 derives it from tokens_per_bucket.
     buckets: int = 0
     # Pairs per SGD step; 1 is plain sequential SGD.
     batch: int = 1
@@ -83,7 +85,9 @@ def learning_rate(alpha0: float, gamma: float, iteration: int) -> float:
 
 
 def must_stop(losses: list[float]) -> bool:
-    """The last validation was worse than the one before."""
+    """The last validation was worse than the one before, or no number at all."""
+    if losses and math.isnan(losses[-1]):
+        return True
     return len(losses) > 1 and losses[-1] > losses[-2]
 
 
@@ -145,11 +149,10 @@ class _Corpus:
         )
 
 
-def bucket_count(tokens: int, s: Settings, parallelism: int) -> int:
-    """Enough buckets to use the cluster and to keep each one small."""
-    if s.buckets:
-        return s.buckets
-    return max(math.ceil(tokens / s.tokens_per_bucket), min(parallelism, math.ceil(tokens / 1000)), 1)
+def bucket_count(tokens: int, s: Settings) -> int:
+    """Enough buckets to keep each one small. As it is the number of averaged
+    models too, it follows the corpus and the settings and not the cluster."""
+    return s.buckets or max(math.ceil(tokens / s.tokens_per_bucket), 1)
 
 
 def fit(
@@ -160,7 +163,6 @@ def fit(
     starting model; without it the start is random."""
     lines = spread(lines, "doc_id", "line")
     data = _Corpus(lines, s, one_sense, eval_words)
-    parallelism = lines.sparkSession.sparkContext.defaultParallelism
     if initial is None:
         start = model.init_random(data.vocab, s.dim, s.seed, s.one_sense_output)
     else:
@@ -175,7 +177,7 @@ def fit(
         chunk = it % s.chunks
         row = {"it": it, "alpha": learning_rate(s.alpha, s.gamma, it), "saved": False}
         n_tokens, n_sentences = data.tokens.get(chunk, 0), data.sentences.get(chunk, 0)
-        buckets = bucket_count(n_tokens, s, parallelism)
+        buckets = bucket_count(n_tokens, s)
         if not one_sense:
             noisy = cut(data.with_negatives(data.chunks[chunk], s, f"assign{it}"))
             assigned = cut(objective.assign_senses(noisy, params, data.objective, buckets, s.seed))
@@ -201,7 +203,7 @@ def fit(
         row["n_limited"] = limited.where("limited").count()
         params = model.as_floats(limited)
         if (it + 1) % s.validate_every == 0 or it + 1 == iterations:
-            row["vali_loss"], row["vali_adjust"] = validate(data, params, s, one_sense, parallelism)
+            row["vali_loss"], row["vali_adjust"] = validate(data, params, s, one_sense)
             losses.append(row["vali_loss"])
             if not must_stop(losses):
                 row["saved"] = True
@@ -214,10 +216,10 @@ def fit(
     return result
 
 
-def validate(data: _Corpus, params: DataFrame, s: Settings, one_sense: bool, parallelism: int) -> tuple[float, float]:
+def validate(data: _Corpus, params: DataFrame, s: Settings, one_sense: bool) -> tuple[float, float]:
     """Loss per prediction of the held-out set under its best senses, and how
     many sweeps per sentence changed a sense. Its negatives never change."""
-    buckets = bucket_count(data.vali_tokens, s, parallelism)
+    buckets = bucket_count(data.vali_tokens, s)
     rate = 0.0
     if not one_sense:
         assigned = cut(objective.assign_senses(data.held_out, params, data.objective, buckets, s.seed))
@@ -233,11 +235,35 @@ def validate(data: _Corpus, params: DataFrame, s: Settings, one_sense: bool, par
 
 
 def save(result: Fit, path: str) -> None:
-    """Write a model folder: word index and both matrices."""
+    """Write a model folder: word index, both matrices, the input vectors as
+    word2vec text, and the history."""
+    spark = result.model.sparkSession
     writers.write_word_index(result.vocab, f"{path}/word_index")
     for mat, name in ((objective.INPUT, "input"), (objective.OUTPUT, "output")):
         rows = writers.named_rows(result.model, result.vocab, mat)
         writers.write_sense_vectors(rows, f"{path}/{name}", "word_id", "sense")
+    writers.write_w2v_text(result.vectors(), result.settings.dim, f"{path}/w2v")
+    writers.write_history(result.history_table(spark), f"{path}/history")
+
+
+def saver(path: str) -> Callable[[Fit], None]:
+    """Saves a model that validated well in a folder of its own while training
+    goes on. A folder counts once it is listed in `index`, after all of it is
+    written, so an interrupted save leaves the one before in force."""
+
+    def write(result: Fit) -> None:
+        it = result.history[-1]["it"]
+        folder = f"{path}/it{it:05d}-{uuid.uuid4().hex[:8]}"
+        save(result, folder)
+        row = [(it, folder)]
+        result.model.sparkSession.createDataFrame(row, "it int, folder string").write.mode("append").parquet(f"{path}/index")
+
+    return write
+
+
+def last_saved(spark: SparkSession, path: str) -> str:
+    """The folder of the last complete save under `path`."""
+    return spark.read.parquet(f"{path}/index").orderBy(F.desc("it")).first()["folder"]
 
 
 def stored_start(spark: SparkSession, path: str, s: Settings) -> Callable[[DataFrame], DataFrame]:
@@ -269,8 +295,10 @@ def run_stages(
     lines: DataFrame, s: Settings, spec: str, one_sense_path: str, multi_sense_path: str,
     eval_words: DataFrame | None = None, resume_from: str | None = None,
 ) -> Fit | None:
-    """Both stages as `spec` says. Results go to new folders; `resume_from` is
-    the stored model a resumed stage starts from. A multi-sense stage that is
+    """Both stages as `spec` says. Results go to new folders, and while a stage
+    runs, every model that validated well to a folder under `<path>_saved`;
+    `resume_from` is the stored model a resumed stage starts from (after a
+    failure `last_saved` of that path). A multi-sense stage that is
     not resumed starts from the one-sense model at `one_sense_path`."""
     spark = lines.sparkSession
     one, many = parse_epochs(spec)
@@ -279,10 +307,10 @@ def run_stages(
     result = None
     if one.epochs:
         start = stored_start(spark, resume_from, s) if one.resume else None
-        result = fit(lines, replace(s, epochs=one.epochs), True, start, eval_words)
+        result = fit(lines, replace(s, epochs=one.epochs), True, start, eval_words, saver(f"{one_sense_path}_saved"))
         save(result, one_sense_path)
     if many.epochs:
         start = stored_start(spark, resume_from if many.resume else one_sense_path, s)
-        result = fit(lines, replace(s, epochs=many.epochs), False, start, eval_words)
+        result = fit(lines, replace(s, epochs=many.epochs), False, start, eval_words, saver(f"{multi_sense_path}_saved"))
         save(result, multi_sense_path)
     return result

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,14 @@ def get_spark(app: str = "polysem", cores: str | int = "*") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. A cluster names it in
-    `spark.checkpoint.dir`; only where that is unset (tests) a local one is made."""
+    """The folder every executor can reach. A cluster must name it in
+    `spark.checkpoint.dir`; only a session that is one process (tests) makes a
+    local one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="polysem-"))
     return named or context.getCheckpointDir()
 

@@ -75,9 +75,9 @@ def read_series(spark: SparkSession, path: str, name: str = "x") -> DataFrame:
 
 def read_word_index(spark: SparkSession, path: str) -> DataFrame:
     """`word_id_nsenses` lines."""
-    parts = F.split("value", "_", -1)
+    field = lambda k: F.regexp_extract("value", "^(.*)_([0-9]+)_([0-9]+)$", k)
     return spark.read.text(path).select(
-        parts[0].alias("word"), parts[1].cast("int").alias("word_id"), parts[2].cast("int").alias("n_senses")
+        field(1).alias("word"), field(2).cast("int").alias("word_id"), field(3).cast("int").alias("n_senses")
     )
 
 

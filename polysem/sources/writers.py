@@ -70,11 +70,11 @@ def write_tagged_corpus(tagged: DataFrame, path: str) -> None:
 
 
 def write_neighbor_lists(per_word: DataFrame, path: str) -> None:
-    """One folder of neighbour keys per query word. The keys of one word are at
-    most (neighbours x senses), so a word goes to one task and one file."""
-    tasks = per_word.sparkSession.sparkContext.defaultParallelism
-    lists = per_word.select("query_word", F.col("key").alias("value")).repartition(tasks, "query_word")
-    lists.write.partitionBy("query_word").text(path)
+    """`word<tab>key` lines by word under `per_word`, and under `all` every key
+    near any word once."""
+    line = F.concat_ws("\t", "query_word", "key")
+    _write(per_word.orderBy("query_word", "key").select(line.alias("value")), f"{path}/per_word")
+    write_key_list(per_word.select("key").distinct(), f"{path}/all")
 
 
 def write_key_list(keys: DataFrame, path: str) -> None:

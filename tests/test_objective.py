@@ -197,6 +197,31 @@ def test_batch_of_one_is_one_step_of_the_gradient():
     assert np.allclose(V.vectors, before - alpha * d_in, atol=1e-5)
 
 
+def test_steps_hold_back_no_gradient():
+    rng = np.random.default_rng(3)
+    here, there = rng.integers(0, 4, 60), rng.integers(0, 30, (60, 3))
+    parts = list(K.steps_of(here, there, 5))
+    assert sorted(map(tuple, np.column_stack((here, there)).tolist())) == sorted(
+        tuple(r) for a, b in parts for r in np.column_stack((a, b)).tolist())
+    for a, b in parts:
+        assert np.bincount(a).max() <= 5 and np.bincount(b.ravel()).max() <= 5
+    assert len(parts) > 1
+
+
+def test_a_row_in_every_pair_moves_as_far_as_one_pair_at_a_time():
+    """A frequent word gets all its gradient: batches end where single pairs do."""
+    o = K.Objective(2, 2)
+    b = make_bucket(o, lengths=(40, 40, 40))
+    ends = []
+    for batch in (1, 64):
+        V, U = make_rows(o), make_rows(o, seed=2, output=True)
+        for _ in range(3):
+            K.sgd_batched(b, V, U, 0.1, batch)
+        ends.append((V.vectors, U.vectors))
+    for x, y in zip(*ends):
+        assert np.corrcoef(x.ravel(), y.ravel())[0, 1] > 0.97
+
+
 def test_segment_sums():
     rng = np.random.default_rng(0)
     at = rng.choice(20, 400, p=np.arange(1, 21) / 210)

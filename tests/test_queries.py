@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from polysem.functions import losses as fl
 from polysem.functions import vectors as fv
-from polysem.operators import neighbors, similarity, tsne, vector_table
+from polysem import session
+from polysem.operators import joins, neighbors, similarity, tsne, vector_table
+from polysem.plans import catalog
 from polysem.session import cut, fresh_path
-from polysem.sources import readers
+from polysem.sources import readers, writers
 
 WORDS = [("apple", 0), ("apple", 1), ("bank", 0), ("bank", 1), ("bank", 2), ("day", 0)]
 
@@ -58,9 +60,9 @@ def test_search_terms(spark, table):
 
 
 @pytest.mark.parametrize("cosine", [True, False])
-@pytest.mark.parametrize("limit", [64 * 1024 * 1024, 100_000])  # one slice of queries, or several
-def test_top_k(table, arrays, cosine, limit, monkeypatch):
-    monkeypatch.setattr(neighbors, "QUERY_BYTES", limit)
+@pytest.mark.parametrize("rows", [4096, 2])  # one cell, or several
+def test_top_k(table, arrays, cosine, rows, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", rows)
     queries = neighbors.keyed(table).select(F.col("key").alias("query"), "vec")
     got = neighbors.top_k_neighbors(table.repartition(3), queries, 2, 5, cosine).collect()
     assert len(got) == 6 * 3
@@ -72,7 +74,8 @@ def test_top_k(table, arrays, cosine, limit, monkeypatch):
         assert [m[1] for m in mine] == want and np.allclose([m[2] for m in mine], [sims[k] for k in want])
 
 
-def test_top_k_with_many_equal_rows(spark):
+def test_top_k_with_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 500)
     rows = [(f"w{i:04d}", 0, [1.0, 0.0]) for i in range(3000)] + [("x", 0, [0.0, 1.0])]
     table = spark.createDataFrame(rows, "word string, sense int, vec array<float>").repartition(4)
     query = spark.createDataFrame([("q", [2.0, 0.0])], "query string, vec array<float>")
@@ -90,6 +93,94 @@ def test_report_hides_senses_of_one_sense_words(spark, table):
     assert sum(r["part"] == "senses" for r in got) == 4
 
 
+def test_words_with_separators(spark):
+    """Cleaning keeps separators inside a word, so keys are cut at the last one."""
+    rows = [("foo_bar", 0, [1.0, 0.1]), ("foo_bar_1", 0, [0.9, 0.3]), ("a_b_c", 0, [0.8, 0.5]), ("a_b_c", 1, [0.1, 1.0]), ("day", 0, [1.0, 0.0])]
+    table = cut(spark.createDataFrame(rows, "word string, sense int, vec array<float>"))
+
+    def parse(*terms):
+        df = spark.createDataFrame([(t,) for t in terms], "term string")
+        return sorted((r["term"], r["word"], r["sense"]) for r in neighbors.parse_search_terms(df, table).collect())
+
+    assert parse("foo_bar", "foo_bar_0", "a_b_c", "a_b_c_1") == [
+        ("a_b_c", "a_b_c", 0), ("a_b_c", "a_b_c", 1), ("a_b_c_1", "a_b_c", 1), ("foo_bar", "foo_bar", 0), ("foo_bar_0", "foo_bar", 0)]
+    assert parse("foo_bar_1") == [("foo_bar_1", "foo_bar_1", 0)]  # a word of its own
+    for bad in ("foo_bar_2", "foo", "a_b", "_0"):
+        with pytest.raises(Exception, match="not in vocabulary"):
+            parse(bad)
+
+    terms = spark.createDataFrame([("day",), ("a_b_c",)], "term string")
+    report = neighbors.neighbors_report(table, terms, 4, 2).collect()
+    near = [(r["rank"], r["other"]) for r in report if r["term"] == "day" and r["part"] == "neighbor"]
+    assert sorted(near) == [(1, "day"), (2, "foo_bar"), (3, "foo_bar_1"), (4, "a_b_c_0"), (5, "a_b_c_1")]
+    assert sorted(r["rank"] for r in report if r["part"] == "senses") == [0, 0, 1, 1]
+
+    queries = neighbors.keyed(table).select(F.col("key").alias("query"), "vec")
+    per_word = neighbors.neighbors_per_word(neighbors.top_k_neighbors(table, queries, 1, 2))
+    path = fresh_path(spark, "lists")
+    writers.write_neighbor_lists(per_word, path)
+    lines = [r["value"].split("\t") for r in spark.read.text(f"{path}/per_word").collect()]
+    assert {w for w, _ in lines} == {"foo_bar", "foo_bar_1", "a_b_c", "day"}
+    every = [r["value"] for r in spark.read.text(f"{path}/all").collect()]
+    assert sorted(every) == sorted({k for _, k in lines})
+
+    vocab = spark.createDataFrame([("foo_bar", 0, 1), ("a_b_c", 1, 2), ("x_1_2", 2, 3)], "word string, word_id int, n_senses int")
+    writers.write_word_index(vocab, f"{path}/index")
+    assert sorted(map(tuple, readers.read_word_index(spark, f"{path}/index").collect())) == sorted(map(tuple, vocab.collect()))
+
+
+@pytest.mark.parametrize("name", [
+    "negative_samples", "filter_oov", "join_vocab", "write_tagged_corpus", "avg_sim", "contextual_similarity", "loss_per_prediction",
+])
+def test_results_do_not_depend_on_what_is_broadcast(spark, monkeypatch, name):
+    run = lambda: sorted(map(str, catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+    small = run()
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 0)
+    assert run() == small and small
+
+
+def test_a_hot_word_is_split_over_tasks(spark, monkeypatch):
+    """A word with a third of all tokens: with both sides shuffled, Spark splits it."""
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 0)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(0, 300_000, 1, 16).select(
+            F.col("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).alias("word_id")
+        )
+        words = cut(spark.range(1000).select(F.col("id").alias("word_id"), F.hash("id").alias("h")))
+        met = joins.lookup_join(facts, words, ["word_id"], 1000, 16)
+        sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 300_000 and max(sizes) < 100_000  # the word alone has more
+    finally:
+        for k in conf:
+            spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
 def test_pair_similarity(spark, table, arrays):
     pairs = spark.createDataFrame([(1, "Apple", "BANK"), (2, "day", "day")], "id bigint, word1 string, word2 string")
     got = {r["id"]: r["score"] for r in similarity.pair_similarity_job(pairs, table, 3, 5).collect()}

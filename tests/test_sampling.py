@@ -64,6 +64,25 @@ def test_negatives_differ_from_the_word_and_follow_the_distribution(spark):
     assert np.abs(got.reindex(range(4), fill_value=0) / got.sum() - p / p.sum()).max() < 6e-3
 
 
+def test_a_million_draws_follow_the_distribution(spark):
+    counts = np.array([40, 25, 20, 10, 5])
+    vocab = spark.createDataFrame([(i, int(c)) for i, c in enumerate(counts)], "word_id int, cn bigint")
+    unigram = vocabulary.unigram_distribution(vocab)
+    sents = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("line"), F.array_repeat(F.lit(2), 10).alias("ids"))
+    drawn = sampling.negative_samples(sents, unigram, 5, 10, 7)
+    got = drawn.select(F.explode(F.flatten("neg_ids")).alias("w")).groupBy("w").count().toPandas().set_index("w")["count"]
+    assert got.sum() == 1_000_000
+    p = counts**0.75
+    p[2] = 0
+    assert np.abs(got.reindex(range(5), fill_value=0) / got.sum() - p / p.sum()).max() < 2e-3
+
+
+def test_more_senses_than_codes_is_an_error(encoded):
+    _, vocab, _ = encoded
+    with pytest.raises(ValueError, match="senses"):
+        vocabulary.build_vocab(vocab.select("word", "cn"), 1, list(range(100)))
+
+
 def test_one_word_has_no_negatives(encoded):
     coded, _, _ = encoded
     assert sampling.negative_samples(coded, None, 1, 5, 42).select(F.flatten("neg_ids").alias("f")).first()["f"] == []

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polysem.functions import vectors as fv
-from polysem.operators import model, senses
+from polysem.operators import model, objective, senses
 from polysem.plans import training as tr
 from polysem.session import cut, fresh_path
 from polysem.sources import readers, writers
@@ -65,6 +65,43 @@ def test_resume(spark, lines):
         tr.run_stages(lines, s, "R1_0", paths[2], paths[3])
 
 
+def test_interrupted_training_goes_on_from_the_last_save(spark, lines, monkeypatch):
+    paths = [fresh_path(spark, "test-saved") for _ in range(2)]
+    s = settings(epochs=4, chunks=1, validate_every=1)
+    losses = iter([0.5, 0.4])
+
+    def validate(*args):
+        return next(losses), 0.0  # the third call fails
+
+    monkeypatch.setattr(tr, "validate", validate)
+    with pytest.raises((StopIteration, RuntimeError)):
+        tr.run_stages(lines, s, "4_0", paths[0], paths[1])
+    last = tr.last_saved(spark, f"{paths[0]}_saved")
+    assert "it00001" in last
+    history = readers.read_history(spark, f"{last}/history").orderBy("it").collect()
+    assert [(r["it"], r["vali_loss"]) for r in history] == [(0, 0.5), (1, 0.4)]
+    words = spark.read.text(f"{last}/w2v").collect()
+    assert words[0]["value"].split()[1] == str(s.dim) and int(words[0]["value"].split()[0]) == len(words) - 1
+    monkeypatch.setattr(tr, "validate", lambda *a: (0.3, 0.0))
+    resumed = tr.run_stages(lines, s, "R1_0", f"{paths[0]}-again", paths[1], resume_from=last)
+    assert resumed.history[0]["saved"]
+
+
+def test_buckets_follow_the_corpus_and_not_the_cluster():
+    s = settings(buckets=0, tokens_per_bucket=1000)
+    assert [tr.bucket_count(n, s) for n in (0, 1, 1000, 1001, 2000, 2_000_000)] == [1, 1, 1, 2, 2, 2000]
+
+
+def test_the_largest_group_does_not_grow_with_the_corpus(spark):
+    def largest(n):
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).alias("line"))
+        buckets = tr.bucket_count(n * 10, settings(buckets=0, tokens_per_bucket=10_000))
+        placed = rows.groupBy(objective.bucket_of(buckets, 1)).count()
+        return placed.agg(F.max("count")).first()[0]
+
+    assert largest(20_000) < 1.2 * largest(10_000)
+
+
 def test_epoch_specs():
     assert tr.parse_epochs("5_10") == (tr.Stage(5, False), tr.Stage(10, False))
     assert tr.parse_epochs("0_R5")[1] == tr.Stage(5, True)
@@ -79,6 +116,8 @@ def test_schedule_and_stop():
     assert np.isclose(tr.learning_rate(0.1, 0.9, 2), 0.081)
     assert tr.learning_rate(0.1, 0.9, 10_000) == 1e-5
     assert not tr.must_stop([0.3]) and not tr.must_stop([0.3, 0.25]) and tr.must_stop([0.3, 0.25, 0.26])
+    nan = float("nan")
+    assert tr.must_stop([nan]) and tr.must_stop([0.3, nan])
 
 
 def test_early_stop_keeps_the_last_good_model(lines, monkeypatch):
