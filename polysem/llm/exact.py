@@ -29,14 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polysem.llm.sketch import maybe_in
 from polysem.session import stored
 
 # Rows of one source; a task with more makes several.
 SOURCE_ROWS = 1 << 17
 # Fingerprints per owner, about.
 OWNER_ROWS = 1 << 20
-# Bits of the broadcast sketch of suspects' fingerprints (16 MB at most).
-SKETCH_BITS = 27
 WHITE = r"[ \t-\r]+"
 
 
@@ -180,28 +179,12 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketch_bit(digest: Column) -> Column:
-    """The leading bits of a digest in hex."""
-    return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), 32 - SKETCH_BITS)
-
-
 def with_suspicion(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """Add `_norm` (normalised text), `_digest` and `_suspect`, which is true for
-    every suspect of `found` and for few other rows. The suspects reach the
-    scan as a bit table of at most 2^SKETCH_BITS bits, so no other text moves;
-    when they are too many for it, more texts are shuffled, with equal results."""
-    bit = _sketch_bit(F.hex("digest"))
-    words = (
-        found.where("suspect")
-        .select(F.shiftright(bit, 6).alias("_word"), F.expr("1L").alias("one"), bit.bitwiseAND(F.lit(63)).cast("int").alias("at"))
-        .groupBy("_word")
-        .agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("at"))).alias("_bits"))
-    )
+    """Add `_norm` (normalised text), `_digest` and `_maybe`, which is true for
+    every suspect of `found` and for few other rows."""
     norm = docs.withColumn("_norm", normalised(docs[text_col])).withColumn("_digest", F.sha2("_norm", 256))
-    at = _sketch_bit(F.col("_digest"))
-    met = norm.withColumn("_word", F.shiftright(at, 6)).join(F.broadcast(words), "_word", "left")
-    hit = F.call_function("shiftright", F.col("_bits"), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    return met.withColumn("_suspect", F.coalesce(hit == 1, F.lit(False))).drop("_word", "_bits")
+    suspects = found.where("suspect").select(F.xxhash64(F.lower(F.hex("digest"))))
+    return maybe_in(norm, F.xxhash64("_digest"), suspects)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_bits: int = 64) -> DataFrame:
@@ -211,7 +194,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_bit
     # Texts are grouped by their bytes; equal ones meet within tasks first.
     classes = (
         with_suspicion(rows, found, "text")
-        .where("_suspect")
+        .where("_maybe")
         .groupBy("_norm")
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.unhex(F.sha2("_norm", 256)).alias("digest"), "keep_id", "group_size")
@@ -221,7 +204,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_bit
     first = suspects.groupBy("digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no"))["row_no"].alias("first_row")
     )
-    groups = suspects.join(classes.join(first, "digest"), "digest", "left")
+    # Written, so that a hot class on the other side can be split.
+    known = stored(classes.join(first, "digest"), "classes")
+    groups = suspects.join(known, "digest", "left")
     named = lambda df, keep, size, kept: df.select(
         F.col("id").alias("doc_id"), keep.alias("keep_id"), size.cast("bigint").alias("group_size"),
         kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -242,12 +227,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp
     rows that share it the one with the smallest hash of all columns. Rows
     without suspicion never move."""
     found = stored(exchange(docs, id_col, text_col, fp_bits), "suspects")
-    flagged = with_suspicion(docs, found, text_col)
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*docs.columns))
-    ones = (
-        flagged.where("_suspect")
-        .groupBy("_norm")
-        .agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-        .select("row.*")
-    )
-    return flagged.where("not _suspect").select(*docs.columns).unionByName(ones)
+    # Own columns stand beside a row as a whole, so that no names clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    flagged = with_suspicion(rows, found, "text")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
+    ones = flagged.where("_maybe").groupBy("_norm").agg(F.min_by("row", order).alias("row"))
+    return flagged.where("not _maybe").select("row.*").unionByName(ones.select("row.*"))
