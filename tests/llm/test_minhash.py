@@ -59,7 +59,7 @@ def near_copies(seed):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_classes_against_brute_force(frame, seed, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", [400_000, 2_000][seed])
+    monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", [100_000, 2_000][seed])
     rows = near_copies(seed)
     got = minhash.find(frame(rows).repartition(3)).collect()
     assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == brute(rows)
