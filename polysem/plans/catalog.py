@@ -561,9 +561,11 @@ def expand_senses(t: Inputs) -> DataFrame:
 
 @query
 def lookup_embeddings(t: Inputs) -> DataFrame:
-    codes = t.coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    rows = objective.with_codes(t.model).where(F.col("mat") == objective.INPUT).drop("mat")
-    return _dims(codes.join(rows, "code"), "code", "n")
+    """Input rows of all tokens, and their output rows, of which a word has one."""
+    tokens = t.coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    outputs = tokens.groupBy(objective.output_code(F.col("code"), t.objective()).cast("bigint").alias("code")).agg(F.sum("n").alias("n"))
+    codes = tokens.withColumn("mat", F.lit(objective.INPUT)).unionByName(outputs.withColumn("mat", F.lit(objective.OUTPUT)))
+    return _dims(codes.join(objective.with_codes(t.model), ["mat", "code"]), "mat", "code", "n")
 
 
 @query
@@ -875,8 +877,11 @@ def learning_rate_schedule(t: Inputs) -> DataFrame:
 
 @query
 def validate_model(t: Inputs) -> DataFrame:
-    assigned = cut(t.assigned)
-    again = assigned.select("doc_id", "line", "codes").join(t.with_negatives.select("doc_id", "line", "negs"), ["doc_id", "line"])
+    """The held-out sentences under their best senses."""
+    ratio = sampling.validation_ratio(t.lines.count(), 0.1, 200_000)
+    _, held_out = sampling.split_train_validation(t.with_negatives, ratio, SEED)
+    assigned = cut(objective.assign_senses(held_out, t.model, t.objective(), t.buckets, SEED))
+    again = assigned.select("doc_id", "line", "codes").join(held_out.select("doc_id", "line", "negs"), ["doc_id", "line"])
     losses = objective.sentence_loss(cut(again), t.model, t.objective(), t.buckets, SEED)
     result = objective.loss_per_prediction(losses).withColumn("adjust_rate", objective.adjust_rate(assigned).select("adjust_rate").scalar())
     return _rounded(result, "loss_per_prediction", "adjust_rate")

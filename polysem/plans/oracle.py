@@ -28,6 +28,10 @@ CLEAN = r"lower(regexp_replace({}, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g'))"
 SOFTPLUS = "(ln(1 + exp(-abs({0}))) + greatest({0}, 0))"
 
 
+HELD = f"""SELECT doc_id, line FROM sent WHERE {u('42', "'split'", 'doc_id', 'line')}
+    < least(0.1::double, 200000.0::double / (SELECT count(*) FROM sent))"""
+
+
 def dot(a: str, b: str) -> str:
     return f"list_dot_product({a}, {b})"
 
@@ -270,9 +274,12 @@ QUERIES: dict[str, str] = {
     "join_eval_words": "SELECT word, cn FROM counts WHERE word IN (SELECT word FROM evalw)",
     "skipgram_pairs": "SELECT word_id, ctx_id, count(*) AS n_pairs, sum(abs(pos - ctx_pos))::bigint AS distance FROM pairs GROUP BY ALL",
     "expand_senses": "SELECT word_id, s.sense, count(*) AS n_tokens FROM enc JOIN senses s USING (word_id) GROUP BY ALL",
-    "lookup_embeddings": """SELECT code, n, k::int AS k, round(x, 6) AS x FROM (
-        SELECT word_id::bigint * 100 + sense AS code, n, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k
-        FROM (SELECT word_id, sense, count(*) AS n FROM coded GROUP BY ALL) JOIN v_in USING (word_id, sense))""",
+    "lookup_embeddings": """SELECT mat, code, n, k::int AS k, round(x, 6) AS x FROM (
+        SELECT 0 AS mat, word_id::bigint * 100 + sense AS code, n, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k
+        FROM (SELECT word_id, sense, count(*) AS n FROM coded GROUP BY ALL) JOIN v_in USING (word_id, sense)
+        UNION ALL
+        SELECT 1, word_id::bigint * 100, n, unnest(v), generate_subscripts(v, 1) - 1
+        FROM (SELECT word_id, count(*) AS n FROM coded GROUP BY ALL) JOIN v_out USING (word_id))""",
     "cross_similarity": f"""SELECT q.key AS query, s.key, round({cosine('q.v', 's.v')}, 6) AS sim
         FROM (SELECT arg_min(key, vec_id) AS key, arg_min(v, vec_id) AS v FROM emb GROUP BY label) q, emb s""",
     "zip_series": """SELECT a.idx, x, y FROM
@@ -349,9 +356,10 @@ QUERIES: dict[str, str] = {
           ELSE unnest(i.v) END AS x
         FROM plan p JOIN v_in i ON i.word_id = p.word_id AND i.sense = p.donor) USING (word_id, sense)""",
     "learning_rate_schedule": "SELECT it, round(greatest(0.1 * pow(0.9::double, it), 1e-4 * 0.1), 9) AS alpha FROM hist",
-    "validate_model": """SELECT round((SELECT sum(loss) / count(*) FROM aterms), 6) AS loss_per_prediction,
-        (SELECT count(*) FROM aterms) AS n_pred, round(avg(a), 6) AS adjust_rate
-        FROM (SELECT max((sense <> old)::int) AS a FROM assigned GROUP BY doc_id, line)""",
+    "validate_model": f"""SELECT loss_per_prediction, n_pred, adjust_rate FROM
+        (SELECT round(sum(loss) / count(*), 6) AS loss_per_prediction, count(*) AS n_pred FROM aterms JOIN ({HELD}) USING (doc_id, line)),
+        (SELECT round(avg(a), 6) AS adjust_rate FROM (SELECT max((sense <> old)::int) AS a FROM assigned
+            JOIN ({HELD}) USING (doc_id, line) GROUP BY doc_id, line))""",
     "early_stop": """SELECT it, round(loss, 6) AS vali_loss, it < coalesce(stop, it + 1) AS is_saved FROM hist,
         (SELECT min(it) AS stop FROM (SELECT it, loss > lag(loss) OVER (ORDER BY it) AS up FROM hist) WHERE up)
         WHERE it <= coalesce(stop, it)""",

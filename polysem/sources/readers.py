@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysem.operators.ordering import number_rows
+from polysem.session import cut
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -13,21 +13,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A text corpus, one sentence per line, keyed like a line of a document.
-    The key is the place of the line in the scan; it costs no shuffle."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("line"), F.col("value").alias("text")
-    )
+    """A text corpus, one sentence per line, keyed like a line of a document. The
+    key is the number of the line in file order, however the files are split."""
+    lines, _ = numbered_lines(spark, path)
+    return lines.select(F.col("line_no").alias("doc_id"), F.lit(0).alias("line"), F.col("value").alias("text"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Lines of one or more text files with their dense number in file order."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
+    """Lines of one or more text files with their dense number in file order.
+    Within a block of a file rows come in order, so counting the rows of each
+    block is enough and nothing is sorted."""
+    lines = cut(
+        spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
     )
-    numbered, rows = number_rows(lines, "_file", "_start", "_at", column="line_no")
-    return numbered.select("line_no", "value"), rows
+    blocks = lines.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    rows, offsets = 0, []
+    for b in blocks.orderBy("_file", "_start").collect():  # one row for each block of a file
+        offsets.append((b["_file"], b["_start"], rows - b["first"]))
+        rows += b["n"]
+    table = spark.createDataFrame(offsets, "_file string, _start bigint, _shift bigint")
+    numbered = lines.join(F.broadcast(table), ["_file", "_start"])
+    return numbered.select((F.col("_at") + F.col("_shift")).alias("line_no"), "value"), rows
 
 
 def read_eval_words(spark: SparkSession, path: str) -> DataFrame:
