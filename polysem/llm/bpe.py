@@ -27,13 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from polysem.llm.chars import small
+
 # The rank file is sent to the workers; a larger one is refused.
 MAX_FILE_BYTES = 64 * 1024 * 1024
 # Characters cut into pieces at a time, pieces in one input of the library, and
 # pieces kept from slice to slice (then the table is begun anew).
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 INPUT_PIECES = 500
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -129,6 +131,10 @@ class Codec:
             for pieces in cut:
                 yield pieces, self.kept
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; what a task kept need not."""
+        self.kept.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids. An id outside the vocabulary is an error."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -183,7 +189,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern, "encode")
         kind = pa.list_(pa.int32())
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             out: dict[str, list] = {n: [] for n in names}
             for pieces, kept in coder.pieces_of(texts, coder.spans):
@@ -193,6 +199,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
                     for name, k in (("starts", 1), ("ends", 2)):
                         out[name].append([at + x for p, at in zip(pieces, places) for x in kept[p][k]])
             yield _with_columns(batch, {n: pa.array(v, kind) for n, v in out.items()})
+        coder.forget()
 
     return df.mapInArrow(work, schema)
 
@@ -209,7 +216,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern, "decode")
-        for batch in batches:
+        for batch in small(batches):
             raw = [coder.decode(i or []) for i in batch.column(place).to_pylist()]
             shown = [r.decode("utf-8", "replace") for r in raw]
             yield _with_columns(
@@ -230,7 +237,7 @@ def digests(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern, "digests")
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes, codes, backs, flat = [], [], [], []
             for pieces, kept in coder.pieces_of(texts, coder.summary):
@@ -247,6 +254,7 @@ def digests(
                 every = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
                 arrays, names = [*arrays, pa.ListArray.from_arrays(ends, every)], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        coder.forget()
 
     ids = ", ids array<int>" if with_ids else ""
     return rows.mapInArrow(work, f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{ids}")

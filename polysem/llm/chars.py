@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = 32
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
+# Rows of an Arrow batch that are taken out of it at a time.
+SLICE_ROWS = 256
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
@@ -40,6 +43,15 @@ def text_slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[in
         yield start, texts[start:]
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that Python holds few texts at a time.
+    What Arrow has freed goes back to the system at the end, as workers live on."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts, a newline before each and at the end, and
     the place of the first of each text (with the end of all)."""

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polysem.llm.chars import small
+
 Q = 8
 RATE = 0.1
 SLICE_CHARS = 2_000_000
 # Characters of documents worked on at a time.
-WORK_CHARS = 1_000_000
+WORK_CHARS = 300_000
 TABLE_BITS = 22
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -261,7 +263,7 @@ def matches(
 def _finder(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Passages(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             hits = [(start + h[0], *h[1:]) for start, some in slices(texts) for h in index.find(some)]
             ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
@@ -292,7 +294,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int
 def _cleaner(shared, place: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Passages(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             kept = np.ones(len(texts), bool)
             for start, some in slices(texts):

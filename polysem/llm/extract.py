@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from polysem.llm.chars import small
+
 WINDOW = 3
 THRESHOLD = 86
 
@@ -203,7 +205,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(p.as_py()) for p in batch.column(2)]
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polysem.llm.chars import small
 from polysem.session import fits
 
 BITS = 17
@@ -34,7 +35,7 @@ SMOOTHING = 0.05
 ROUNDS = 12
 PENALTY = 2.0
 # Characters worked on at a time, and how much n-grams that share letters say.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 DEPENDENCE = 3.0
 UNKNOWN = "und"
 
@@ -88,7 +89,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs = batch.column(1).to_pylist()
             for start, texts in text_slices([t or "" for t in batch.column(0).to_pylist()]):
                 owner, cell = ngrams(texts)
@@ -201,7 +202,7 @@ def score(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         langs, scores, sets, mains = [], [], [], []
         for _, texts in text_slices([t or "" for t in batch.column(0).to_pylist()]):
             shares, sure = proportions(texts, logs)
@@ -227,7 +228,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, logs = shared.value
-        for batch in batches:
+        for batch in small(batches):
             kept: list[bool] = []
             for _, texts in text_slices([t or "" for t in batch.column(place).to_pylist()]):
                 shares, _ = proportions(texts, logs)

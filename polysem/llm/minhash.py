@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polysem.llm import chars
+from polysem.llm.chars import small
 from polysem.llm.sketch import maybe_in
 from polysem.session import stored
 
@@ -137,7 +138,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     words), its size and its signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for start, some in chars.text_slices([t or "" for t in batch.column(2).to_pylist()]):
                 text, element, _ = shingles(some)
                 found = dart_minhash(text, element, np.ones(len(text)), len(some))
@@ -291,7 +292,7 @@ def element_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep, cluster, elements. `wanted`: row_key, rep, cluster."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for start, some in chars.text_slices([t or "" for t in batch.column(1).to_pylist()]):
                 text, element, _ = shingles(some)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(some)))))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysem.llm import chars
+from polysem.llm.chars import small
 from polysem.session import stored
 
 SUPPORT = 3
@@ -130,7 +131,7 @@ def entity_terms(rows: DataFrame) -> DataFrame:
     """One row per entity of each document: entity, terms (distinct hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for part in slices_of(batch.column(0)):
                 hit = [i for i, spans in enumerate(part.base) if spans]
                 if not hit:
@@ -185,7 +186,7 @@ def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = shared.value
             total = np.zeros(len(table), np.int64)
-            for batch in batches:
+            for batch in small(batches):
                 for part in slices_of(batch.column(0)):
                     owner, _, _, value = part.words()
                     hit = found_in(value, table)
@@ -267,7 +268,7 @@ def _marking(shared):
     """Adds the marks of some terms to the column `marks` (the last one)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             new = [m for part in slices_of(batch.column(1)) for m in marks(part, *shared.value)]
             both = [[*a, *b] for a, b in zip(batch.column(2).to_pylist(), new, strict=True)]
             arrays = [batch.column(0), batch.column(1), pa.array(both, pa.list_(pa.int32()))]
@@ -278,7 +279,7 @@ def _marking(shared):
 
 def _finishing(shared, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             earlier = batch.column(2).to_pylist()
             counts, base, every, clean = [], [], [], []
             for part in slices_of(batch.column(1)):

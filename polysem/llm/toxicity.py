@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysem.llm import chars
+from polysem.llm.chars import small
 from polysem.llm.langid import held_out
 from polysem.llm.privacy import found_in
 from polysem.session import stored
@@ -74,7 +75,7 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
     """The hashes of the terms that stand out in toxic examples, sorted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
             for start, some in chars.text_slices(batch.column(0).to_pylist()):
                 owner, value = features(some)
@@ -274,7 +275,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             scores, shown = np.full(batch.num_rows, model.base), [""] * batch.num_rows
             for start, some in chars.text_slices([t or "" for t in batch.column(0).to_pylist()]):
                 owner, cols, counts = counted(some, model.index.terms)
