@@ -161,7 +161,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         ),
         "sizes",
     )
-    groups = rows.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.sum("size").alias("group_size"))
+    # Written, so that a hot group on the other side of the join can be split.
+    groups = stored(
+        rows.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.sum("size").alias("group_size")), "groups"
+    )
     last = lambda c: [F.col(c).isNull(), F.col(c)]
     ordered, _, total = in_order(rows.join(groups, "text_id"), *last("first_id"), "text_id", *last("doc_id"))
     ends = stored(ordered.groupBy("text_id").agg(F.max("upto").alias("upto"), F.max("group_size").alias("size")), "ends")
