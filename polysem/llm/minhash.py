@@ -46,7 +46,7 @@ SIZE, BANDS, ROWS = 128, 32, 4
 SIMILAR = 0.8
 TIE = 0.5
 # Elements of a block; a task verifies two blocks.
-BLOCK_ELEMENTS = 400_000
+BLOCK_ELEMENTS = 100_000
 
 
 def shingles(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
