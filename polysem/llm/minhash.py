@@ -14,7 +14,10 @@ SIZE log SIZE. The queries use weight 1, for which this is plain Jaccard.
 1. Documents with equal sets (by a 64-bit key of them) are one from here on.
 2. `BANDS` bands of `ROWS` coordinates are joined: in each bucket every member
    is tied to two members that a hash picks, so a bucket of n makes 2n ties.
-   Ties whose signatures agree in less than half of all coordinates go.
+   Ties whose signatures agree in less than half of all coordinates go. Where
+   members of a bucket are in different clusters after that, all of its members
+   are compared, in pairs of blocks of bounded size, and tied where they agree
+   in half: every pair that shares a bucket is in one cluster or was compared.
    At similarity 0.8 two documents share no bucket with probability 5e-8.
 3. Connected ties are clusters. Within each cluster all pairs of its documents
    are verified on whole sets, in pairs of blocks of bounded size, so a large
@@ -47,6 +50,8 @@ SIMILAR = 0.8
 TIE = 0.5
 # Elements of a block; a task verifies two blocks.
 BLOCK_ELEMENTS = 100_000
+# Members of a block of a bucket; a task compares two blocks.
+BLOCK_MEMBERS = 1024
 
 
 def shingles(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,11 +198,17 @@ def agreement(a: str, b: str) -> Column:
     return share(a, b)
 
 
-def ties(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents in a bucket. `reps`: rep, signature."""
+def in_buckets(reps: DataFrame, *columns: str) -> DataFrame:
+    """The columns and bucket of every document of `reps` in every band."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     bucket = F.xxhash64("band", F.expr(f"substring(signature, band * {2 * ROWS} + 1, {2 * ROWS})"))
-    members = reps.select("rep", "signature", band).select("rep", "band", bucket.alias("bucket"))
+    return reps.select(*columns, "signature", band).select(*columns, bucket.alias("bucket"))
+
+
+def ties(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document and one of two that are picked in a bucket.
+    `reps`: rep, signature."""
+    members = in_buckets(reps, "rep")
     # The same few documents are picked in all buckets in which they are.
     pick = F.xxhash64("rep")
     heads = members.groupBy("bucket").agg(F.min_by("rep", pick).alias("low"), F.max_by("rep", pick).alias("high"))
@@ -209,6 +220,75 @@ def ties(reps: DataFrame) -> DataFrame:
     return full.where(agreement("sa", "sb") >= TIE).select("a", "b")
 
 
+def joining(codes: np.ndarray, root: np.ndarray, apart: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of `codes` that agree in `TIE` of the coordinates and join
+    what `root` has apart; with `apart`, only pairs in which it differs. Changes `root`."""
+    for x in range(len(codes) - 1):
+        other = root[x + 1 :] != root[x]
+        if apart is not None:
+            other &= apart[x + 1 :] != apart[x]
+        rest = x + 1 + np.flatnonzero(other)
+        if not len(rest):
+            continue
+        for y in rest[(codes[rest] == codes[x]).sum(axis=1) >= TIE * SIZE].tolist():
+            if root[y] != root[x]:
+                yield x, y
+                root[root == root[y]] = root[x]
+
+
+def more_ties(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of clusters that documents of a bucket tie. `reps`: rep,
+    cluster, signature."""
+    members = in_buckets(reps, "rep", "cluster")
+    sizes = members.groupBy("bucket").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")
+    open_ = stored(sizes.where("low <> high").select("bucket", "n", blocks), "buckets")
+    total = open_.agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-total // (8 * BLOCK_MEMBERS)))
+    some = maybe_in(members, F.col("bucket"), open_.select("bucket")).where("_maybe").select("rep", "cluster", "bucket")
+    met = some.join(open_, "bucket").join(reps.select("rep", "signature"), "rep")
+    # Buckets of one block share bins; others have a group for each pair of blocks.
+    large = F.col("blocks") > 1
+    dealt = (
+        met.withColumn("block", F.when(large, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(0))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "rep", "cluster", "bucket", "signature", "block", large.alias("large"),
+            F.when(large, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))).alias("bin"),
+            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        )
+    )
+
+    def work(table: pa.Table) -> pa.Table:
+        buckets, clusters, blocks = (table[c].to_numpy() for c in ("bucket", "cluster", "block"))
+        codes = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SIZE)
+        apart = table["large"][0].as_py() and table["i"][0].as_py() != table["j"][0].as_py()
+        found: set[tuple[int, int]] = set()
+        order = np.argsort(buckets, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], buckets[order][1:] != buckets[order][:-1], [True])))
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[start:end]
+            own = clusters[rows]
+            for x, y in joining(codes[rows], own.copy(), blocks[rows] if apart else None):
+                found.add((min(int(own[x]), int(own[y])), max(int(own[x]), int(own[y]))))
+        left, right = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return dealt.groupBy("bin", "large", "i", "j").applyInArrow(work, "a bigint, b bigint")
+
+
+def clustered(reps: DataFrame) -> DataFrame:
+    """rep, row_key, cluster of the documents that are tied to others. `reps`: rep,
+    row_key, signature."""
+    first = components(ties(reps))
+    cluster = F.coalesce("label", "rep").alias("cluster")
+    met = reps.join(first, reps["rep"] == first["v"], "left")
+    named = stored(met.select("rep", "row_key", "signature", cluster, F.col("label").isNotNull().alias("tied")), "tied")
+    later = components(more_ties(named))
+    both = named.drop("signature").join(later, F.col("cluster") == F.col("v"), "left")
+    return both.where("tied or label is not null").select("rep", "row_key", F.coalesce("label", "cluster").alias("cluster"))
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of incidence matrices."""
     n = len(sets)
@@ -319,9 +399,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         signed.where("set_id is not null").groupBy(F.col("set_id").alias("rep"))
         .agg(F.first("signature").alias("signature"), F.min("row_key").alias("row_key")), "sets",
     )
-    clusters = components(ties(reps))
-    wanted = reps.join(clusters, reps["rep"] == clusters["v"]).select("rep", "row_key", F.col("label").alias("cluster"))
-    sets = stored(element_sets(rows, stored(wanted, "wanted")), "elements")
+    sets = stored(element_sets(rows, stored(clustered(reps), "wanted")), "elements")
     classes = components(links(sets))
     group = F.coalesce("label", "set_id").alias("group")
     named = stored(

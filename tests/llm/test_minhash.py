@@ -123,3 +123,27 @@ def test_signatures_agree_as_often_as_weights_do(kind):
     # A signature does not depend on what else is in the batch.
     alone = minhash.dart_minhash(np.zeros(300, int), element, b, 1, 2048)
     assert (alone[0] == found[1]).all()
+
+
+@pytest.mark.parametrize("members", [1024, 2])
+def test_near_pair_in_buckets_that_others_head(spark, frame, members, monkeypatch):
+    """Two near copies agree, but in every bucket the picked members are below TIE to both."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members, raising=False)
+    by_pick = [r["id"] for r in spark.range(1, 60).selectExpr("id", "xxhash64(id) h").orderBy("h").collect()]
+    near, heads = by_pick[20:22], by_pick[:3] + by_pick[-3:]
+    words = [f"w{i}" for i in range(60)]
+    texts = {near[0]: " ".join(words), near[1]: " ".join([*words, "end"])}
+    code = np.arange(1, minhash.SIZE + 1, dtype="<u2")
+    rows = [(i, t, code.copy()) for i, t in texts.items()]
+    for k, i in enumerate(heads):
+        own = code + np.uint16(1000 * (k + 1))
+        part = slice(*[(0, 60), (60, 120), (120, 128)][k % 3])
+        own[part] = code[part]
+        rows.append((i, f"head {i} has words of its own only", own))
+    signed = spark.createDataFrame([(100 + i, i, i, 57, bytearray(c.tobytes())) for i, _, c in rows], minhash.SIGNED)
+    docs = frame([(i, t) for i, t, _ in rows])
+    keys = {r["doc_id"]: r["row_key"] for r in minhash.keyed(docs, "doc_id", "text").collect()}
+    signed = signed.drop("row_key").join(spark.createDataFrame(list(keys.items()), "doc_id bigint, row_key bigint"), "doc_id")
+    monkeypatch.setattr(minhash, "signatures", lambda rows: signed.select("row_key", "doc_id", "set_id", "n", "signature"))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.find(docs).collect()}
+    assert got == {i: min(near) if i in near else i for i in got} and len(got) == 8
