@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-1. Markup is stripped: each block element begins a new line; scripts, styles
-   and other invisible elements leave nothing; an element that is no part of an
-   article (menu, header, footer, sidebar, form, advert, notice, comments)
-   leaves blank lines, as many as a window and one more outside the article.
-   Where a page has `article` or `main` elements, lines outside them are blank.
+1. Markup is stripped: each block element begins a new line, and boundaries
+   without text between them leave none; scripts, styles and other invisible
+   elements leave nothing; an element that is no part of an article (menu,
+   header, footer, sidebar, form, advert, notice, comments) leaves blank lines,
+   as many as a window and one more outside the article. Where a page has
+   `article` or `main` elements, lines outside them are blank.
 2. The lengths of the lines are summed over sliding windows of `WINDOW` lines.
    A stretch surges where a window passes the threshold and dives where a
    window is empty. The threshold is at most half of the largest window, so a
@@ -133,8 +134,10 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         part.clear()
         if "&" in text:
             text = entities.unescape(text)
-        lines.append(SPACE.sub(" ", text).strip())
-        inside.append(depth > 0)
+        text = SPACE.sub(" ", text).strip()
+        if text:
+            lines.append(text)
+            inside.append(depth > 0)
 
     for kind, name, attributes in markup(page):
         if kind == "text":

@@ -40,6 +40,18 @@ def test_page_without_article():
     assert not {"Site name", "We use cookies", "Imprint"} & set(text) and not any("liked" in x for x in text)
 
 
+def test_nested_blocks_are_no_gaps():
+    """Pages without article: rows, titles and paragraphs in elements of their own stay."""
+    long = "A paragraph of the story that has a good number of words in it and goes on for a while, as they do."
+    table = "<table><tbody>" + "".join(f"<tr><td>k{i}</td><td>v{i}</td></tr>" for i in range(4)) + "</tbody></table>"
+    page = (
+        f"<body><div class='x'><div><div><h1>Title</h1></div></div><div><div><p>{long}</p></div></div><div><div><p>Short.</p></div></div>"
+        f"<div><div><p>{long}</p></div></div>{table}</div><nav>Menu</nav><div>tiny</div></body>"
+    )
+    rows = [x for i in range(4) for x in (f"k{i}", f"v{i}")]
+    assert extract.main_text(page).split("\n") == ["Title", long, "Short.", long, *rows]
+
+
 def test_surge_and_dive():
     lines = ["nav", "", "", "", "a" * 50, "b" * 60, "", "c" * 40, "", "", "", "foot"]
     assert extract.main_lines(lines) == ["a" * 50, "b" * 60, "c" * 40]
