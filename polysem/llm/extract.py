@@ -4,8 +4,10 @@
    without text between them leave none; scripts, styles and other invisible
    elements leave nothing; an element that is no part of an article (menu,
    header, footer, sidebar, form, advert, notice, comments) leaves blank lines,
-   as many as a window and one more outside the article. Where a page has
-   `article` or `main` elements, lines outside them are blank.
+   as many as a window and one more outside the article. Whole names decide
+   (`NOISE`), and outside an article no element that has one within is left out
+   unless it is hidden. Where a page has `article` or `main` elements, lines
+   outside them are blank.
 2. The lengths of the lines are summed over sliding windows of `WINDOW` lines.
    A stretch surges where a window passes the threshold and dives where a
    window is empty. The threshold is at most half of the largest window, so a
@@ -46,18 +48,26 @@ INLINE = frozenset(
 ARTICLE = frozenset(("article", "main"))
 CLOSED_BY_BLOCK = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 
-# Class names, ids and roles of what is no part of an article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|masthead"
-    r"|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|respond"
-    r"|search|share|sharing|sidebar|sidebars|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+# Class names, ids, roles and labels of what is no part of an article. A name counts
+# if it is one of these words or ends with one as a part (site-footer), or begins with
+# one and ends with a usual part of such an element (cookie-box).
+WORD = (
+    r"(?:ads?|advert[a-z0-9]*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|masthead"
+    r"|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|popup|promo[a-z0-9]*|related|replies|respond"
+    r"|search|share|sharing|sidebar|sidebars|signup|skip|social|sponsor[a-z0-9]*|subscribe|subscription|toolbar|widget)"
 )
+PART = (
+    r"(?:area|bar|body|block|bottom|box|button|buttons|container|content|dialog|form|icons|inner|item|items|label|left|link|links|list"
+    r"|message|panel|posts|right|section|slot|text|title|top|unit|\d+)"
+)
+NOISE = re.compile(rf"(?:[a-z0-9]+[_-]+)*{WORD}(?:[_-]+{PART})*", re.I)
+# Names that tell of the layout around such elements.
+LAYOUT = re.compile(r"(?:has|no|with|without|hide|show)[_-].*|.*[_-]wrap(?:per)?|(?:content|main)[_-]+sidebars?|sidebars?[_-]+content", re.I)
 # Outside an article a heading block is part of the page's frame.
-FRAME = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
+FRAME = re.compile(r"(?:[a-z0-9]+[_-]+)*(?:header|topbar)", re.I)
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
 BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -107,15 +117,54 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
             at = end.start() if end else len(page)
 
 
-def is_noise(name: str, attributes: str, in_article: bool) -> bool:
+def is_noise(name: str, attributes: str, in_article: bool, holds: bool = False) -> bool:
+    """Whether an element is no part of an article. `holds`: it has one within."""
+    if holds and not in_article:
+        return bool(attributes and HIDDEN.search(attributes) and name not in ("html", "body"))
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
     if not attributes or name in ("html", "body") or (name in ARTICLE and not in_article):
         return False
-    if HIDDEN.search(attributes):
-        return True
-    names = [" ".join(m).strip() for m in NAMES.findall(attributes)]
-    return any(NOISE.search(n) or (not in_article and FRAME.search(n)) for n in names)
+    return bool(HIDDEN.search(attributes)) or is_named_noise(attributes, in_article)
+
+
+def is_named_noise(attributes: str, in_article: bool) -> bool:
+    for kind, *values in NAMES.findall(attributes):
+        value = "".join(values).strip()
+        # A label is one name, however many words it has.
+        for n in [SPACE.sub("-", value)] if kind.lower() == "aria-label" else value.split():
+            if not LAYOUT.fullmatch(n) and (NOISE.fullmatch(n) or not in_article and FRAME.fullmatch(n)):
+                return True
+    return False
+
+
+def holders(parts: list[tuple[str, str, str]]) -> set[int]:
+    """Places of the opening tags within which an article is; one that is itself
+    named as noise (a comment, say) does not count."""
+    found: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    invisible = 0
+    for at, (kind, name, attributes) in enumerate(parts):
+        if kind == "open":
+            if name in VOID or attributes.endswith("/") and name in INLINE:
+                continue
+            if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == name:
+                stack.pop()
+            if name in ARTICLE and not invisible and not is_named_noise(attributes, True):
+                # What is around a holder is one too.
+                for _, above in reversed(stack):
+                    if above in found:
+                        break
+                    found.add(above)
+            stack.append((name, at))
+            invisible += name in INVISIBLE
+        elif kind == "close" and any(n == name for n, _ in stack):
+            while stack:
+                open_name, _ = stack.pop()
+                invisible -= open_name in INVISIBLE
+                if open_name == name:
+                    break
+    return found
 
 
 def lines_of(page: str) -> tuple[list[str], bool]:
@@ -139,7 +188,9 @@ def lines_of(page: str) -> tuple[list[str], bool]:
             lines.append(text)
             inside.append(depth > 0)
 
-    for kind, name, attributes in markup(page):
+    parts = list(markup(page))
+    holding = holders(parts) if any(kind == "open" and name in ARTICLE for kind, name, _ in parts) else set()
+    for at, (kind, name, attributes) in enumerate(parts):
         if kind == "text":
             if not dropped:
                 part.append(name)
@@ -154,7 +205,7 @@ def lines_of(page: str) -> tuple[list[str], bool]:
             role = ""
             if name in ARTICLE and not dropped:
                 role, marked, depth = "article", True, depth + 1
-            elif name in INVISIBLE or name == "title" or is_noise(name, attributes, depth > 0):
+            elif name in INVISIBLE or name == "title" or is_noise(name, attributes, depth > 0, at in holding):
                 role, dropped = "drop", dropped + 1
                 if dropped == 1 and name not in INVISIBLE:
                     gap = 1 if depth else WINDOW + 1

@@ -52,6 +52,22 @@ def test_nested_blocks_are_no_gaps():
     assert extract.main_text(page).split("\n") == ["Title", long, "Short.", long, *rows]
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "content-sidebar-wrap", "no-sidebar", "hentry has-comments", "sidebar", "search-results"])
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_layout_names_keep_the_article(name, tag):
+    if tag == "section" and name == "sidebar":
+        return
+    page = f"<body><div class='{name}'><div><{tag}><p>The story.</p></{tag}></div></div></body>"
+    assert extract.main_text(page) == "The story."
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "site-footer", "related-posts", "widget_text", "x sidebar", "ad-slot-2", "comments-area"])
+def test_names_of_boilerplate(name):
+    inner = "<article class='comment-body'>Nice</article>" if "comments" in name else "Nice"
+    assert extract.main_text(f"<article><p>The story.</p></article><div class='{name}'>{inner}</div>") == "The story."
+    assert extract.main_text(f"<article><p>The story.</p><div class='{name}'>{inner}</div></article>") == "The story."
+
+
 def test_surge_and_dive():
     lines = ["nav", "", "", "", "a" * 50, "b" * 60, "", "c" * 40, "", "", "", "foot"]
     assert extract.main_lines(lines) == ["a" * 50, "b" * 60, "c" * 40]
