@@ -2,21 +2,21 @@
 
 Examples are at most `EXAMPLES` labelled training documents of either class
 (the smallest hashes of their ids; equal texts count once). Terms are words and
-`GRAM` characters within a word; those that stand out in toxic examples
-(G-squared, lift, number of documents) form the vocabulary. Examples become
-TF-IDF vectors of length 1 in an inverted index: for each term its postings in
-the order of the examples, cut into blocks, with the largest weight of each.
+`GRAM` characters within a word. Every term of the examples is indexed, with
+its idf from the number of all documents that have it. Terms that stand out in
+toxic examples (G-squared, lift, a share of the toxic examples) count in full,
+all others by `REST`. Examples become vectors of length 1 in an inverted index.
 
 A document is scored by its `NEIGHBOURS` nearest examples in cosine, found
-exactly: blocks are taken in the order of the bound that their largest weights
-give, until no bound reaches the last neighbour found. Neighbours vote with
-1 / (`NEAR` + distance), times what an example stands for (the labelled documents of
-its class per example). An isotonic fit over the examples, each voted on by the
-others, turns votes into probabilities. A document without any of the terms
-gets the share of toxic documents among examples without any.
-
-The model is bounded by `EXAMPLES` and `TERMS` and is broadcast; documents are
-scored in one narrow pass over whole texts. A null text is empty. Labels that
+exactly: the most frequent terms are a dense matrix, of the others the postings
+are summed. Neighbours vote with 1 / (`NEAR` + distance), times what an example
+stands for (the labelled documents of its class per example). An isotonic fit
+over the examples, each voted on by the others, turns votes into probabilities.
+A document without any term of the examples gets the share of toxic documents
+among examples without any, or else among labels.
+
+The model is bounded by `EXAMPLES` and the length of their texts, and is
+broadcast; documents are read twice, for the idf and to be scored. A null text is empty. Labels that
 are null are none; of several labels of one id the larger counts. Without
 examples of both classes every score is the share of toxic labels (0 without any).
 """
@@ -37,12 +37,15 @@ from polysem.llm.privacy import found_in
 from polysem.session import stored
 
 EXAMPLES = 4096
-TERMS = 4096
 GRAM = 5
+# What a term counts that does not stand out.
+REST = 0.1
 NEIGHBOURS = 25
 NEAR = 0.05
-BLOCK = 64
-MIN_DOCS, MIN_LIFT, MIN_G2 = 8, 3.0, 30.0
+# Terms that are held densely, and documents that are scored at a time.
+DENSE, AT_ONCE = 512, 128
+# Of the toxic examples, for a term to stand out.
+MIN_SHARE, MIN_LIFT, MIN_G2 = 8 / 4096, 3.0, 30.0
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +74,9 @@ def chosen_examples(docs: DataFrame, labels: DataFrame, folds: int, fold: int, l
     return stored(once, "examples"), sizes
 
 
-def vocabulary(examples: DataFrame) -> np.ndarray:
-    """The hashes of the terms that stand out in toxic examples, sorted."""
+def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all terms of the examples, sorted, and whether they stand out in
+    toxic ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -106,13 +110,30 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
     lift = (a / n1) / ((b + 0.5) / n0)
     terms = (
         counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where(F.col("bad") >= MIN_DOCS)
-        .withColumn("g2", g2)
-        .where((lift >= MIN_LIFT) & (F.col("g2") >= MIN_G2))
-        .orderBy(F.desc("g2"), "term")
-        .limit(TERMS)
+        .select("term", F.coalesce((F.col("bad") >= MIN_SHARE * n1) & (lift >= MIN_LIFT) & (g2 >= MIN_G2), F.lit(False)).alias("stands"))
+        .toArrow()
     )
-    return np.sort(terms.select("term").toArrow()["term"].to_numpy().view(np.uint64))
+    found = terms["term"].to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], terms["stands"].to_numpy()[order].astype(bool)
+
+
+def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """In how many documents each of the terms is. `docs`: text."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in small(batches):
+            for _, some in chars.text_slices([t or "" for t in batch.column(0).to_pylist()]):
+                total += np.bincount(counted(some, shared.value)[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    found = docs.select("text").mapInArrow(work, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms), np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def counted(texts: list[str], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,78 +151,68 @@ def runs_of(owner: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Index:
-    """TF-IDF vectors of examples, in postings with block maxima."""
+    """TF-IDF vectors of examples, in postings; the `dense` most frequent terms as a matrix."""
 
-    def __init__(self, terms: np.ndarray, texts: list[str], block: int = BLOCK) -> None:
-        self.terms, self.block, self.n = terms, block, len(texts)
+    def __init__(self, terms: np.ndarray, texts: list[str], dense: int = DENSE, idf: np.ndarray | None = None) -> None:
+        self.terms, self.n = terms, len(texts)
         rows, cols, counts = [], [], []
         for start, some in chars.text_slices(texts):
             r, c, n = counted(some, terms)
-            rows.append(r + start)
-            cols.append(c)
-            counts.append(n)
-        row, col, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, counts))
+            rows.append((r + start).astype(np.int32))
+            cols.append(c.astype(np.int32))
+            counts.append(n.astype(np.int32))
+        row, col, n = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols, counts))
+        del rows, cols, counts
         df = np.bincount(col, minlength=len(terms))
-        self.idf = np.log((self.n + 1) / (df + 1)) + 1
-        weight = (1 + np.log(n)) * self.idf[col] if len(n) else np.zeros(0)
+        self.idf = np.log((self.n + 1) / (df + 1)) + 1 if idf is None else idf
+        weight = (1 + np.log(n)) * self.idf[col]
         norm = np.sqrt(np.bincount(row, weight**2, minlength=self.n))
         self.empty = norm == 0
-        # Examples with the same leading term stand together, so blocks differ.
-        lead = np.full(self.n, len(terms))
-        for i in np.argsort(weight, kind="stable"):
-            lead[row[i]] = col[i]
-        self.example = np.argsort(lead, kind="stable")
-        place = np.empty(self.n, np.int64)
-        place[self.example] = np.arange(self.n)
-        order = np.lexsort((place[row], col))
-        self.place = place[row][order]
-        self.weight = (weight / np.where(norm > 0, norm, 1)[row])[order] if len(n) else weight
-        sorted_col = col[order]
-        # Runs of one term within one block.
-        run = np.flatnonzero(np.diff(sorted_col * (self.n // block + 2) + self.place // block, prepend=-1)) if len(n) else np.zeros(0, np.int64)
-        self.run_start = np.append(run, len(order))
-        self.run_block = self.place[run] // block
-        self.run_most = np.maximum.reduceat(self.weight, run) if len(run) else np.zeros(0)
-        self.term_runs = np.searchsorted(sorted_col[run], np.arange(len(terms) + 1))
+        weight /= norm[row]
+        often = np.sort(np.argsort(-df, kind="stable")[:dense])
+        self.at = np.full(len(terms), -1, np.int32)
+        self.at[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n))
+        held = self.at[col] >= 0
+        self.matrix[self.at[col[held]], row[held]] = weight[held]
+        row, col, weight = row[~held], col[~held], weight[~held]
+        order = np.argsort(col, kind="stable")
+        self.row, self.weight = row[order], weight[order].astype(np.float32)
+        self.start = np.searchsorted(col[order], np.arange(len(terms) + 1))
 
     def vector(self, cols: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(counts)) * self.idf[cols]
         return weight / np.sqrt((weight**2).sum())
 
-    def nearest(self, cols: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest (ties: the first in the index)
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Document x example, for documents as (terms, weights)."""
+        query = np.zeros((len(vectors), len(self.matrix)))
+        rest = []
+        for i, (cols, weight) in enumerate(vectors):
+            at = self.at[cols]
+            query[i, at[at >= 0]] = weight[at >= 0]
+            rest.append((cols[at < 0], weight[at < 0]))
+        out = query @ self.matrix
+        for i, (cols, weight) in enumerate(rest):
+            start, size = self.start[cols], self.start[cols + 1] - self.start[cols]
+            place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[i] += np.bincount(self.row[place], np.repeat(weight, size) * self.weight[place], minlength=self.n)
+        return out
+
+    def nearest_of(self, vectors: list, k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each document the examples and cosines of the k nearest (ties: the first)
         among those with a common term, leaving out one."""
-        n_blocks = self.n // self.block + 1
-        runs = [np.arange(self.term_runs[c], self.term_runs[c + 1]) for c in cols]
-        run = np.concatenate(runs)
-        factor = np.repeat(weight, [len(r) for r in runs])
-        bound = np.bincount(self.run_block[run], factor * self.run_most[run], minlength=n_blocks)
-        by_bound = np.argsort(-bound, kind="stable")
-        by_bound = by_bound[: np.count_nonzero(bound)]
-        order = np.argsort(self.run_block[run], kind="stable")
-        run, factor = run[order], factor[order]
-        edges = np.searchsorted(self.run_block[run], np.arange(n_blocks + 1))
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
-        least, at, step = -1.0, 0, 4
-        while at < len(by_bound) and bound[by_bound[at]] >= least - 1e-12:
-            found_p, found_s = [], []
-            for b in by_bound[at : at + step]:
-                dense = np.zeros(self.block)
-                for r, f in zip(run[edges[b] : edges[b + 1]], factor[edges[b] : edges[b + 1]], strict=True):
-                    s = slice(self.run_start[r], self.run_start[r + 1])
-                    dense[self.place[s] - b * self.block] += f * self.weight[s]
-                hit = np.flatnonzero(dense)
-                found_p.append(hit + b * self.block)
-                found_s.append(dense[hit])
-            at, step = at + step, step * 2
-            places, scores = np.concatenate([places, *found_p]), np.concatenate([scores, *found_s])
-            if without >= 0:
-                other = self.example[places] != without
-                places, scores = places[other], scores[other]
-            best = np.lexsort((places, -np.round(scores, 12)))[:k]
-            places, scores = places[best], scores[best]
-            least = scores[-1] if len(scores) == k else -1.0
-        return self.example[places], np.minimum(scores, 1.0)
+        for low in range(0, len(vectors), AT_ONCE):
+            for i, scores in enumerate(np.round(self.cosines(vectors[low : low + AT_ONCE]), 9), low):
+                if without is not None and without[i] >= 0:
+                    scores[without[i]] = 0
+                least = np.partition(scores, -k)[-k] if k < self.n else 0
+                some = np.flatnonzero((scores >= least) & (scores > 0))
+                best = some[np.argsort(-scores[some], kind="stable")][:k]
+                yield best, np.minimum(scores[best], 1.0)
+
+    def nearest(self, cols: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.nearest_of([(cols, weight)], k, [without]))
 
 
 def isotonic(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +231,10 @@ def isotonic(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 class Model:
-    def __init__(self, terms: np.ndarray, texts: list[str], toxic: np.ndarray, ids: list, sizes: dict[int, int]) -> None:
-        self.index, self.toxic, self.ids = Index(terms, texts), toxic, ids
+    def __init__(
+        self, terms: np.ndarray, texts: list[str], toxic: np.ndarray, ids: list, sizes: dict[int, int], idf: np.ndarray | None = None
+    ) -> None:
+        self.index, self.toxic, self.ids = Index(terms, texts, idf=idf), toxic, ids
         have = {c: int((toxic == c).sum()) for c in (0, 1)}
         self.stands_for = np.array([sizes.get(c, 0) / max(have[c], 1) for c in (0, 1)])[toxic] if len(toxic) else np.zeros(0)
         none = self.index.empty
@@ -230,14 +243,18 @@ class Model:
         self.base = float((self.stands_for * toxic)[none].sum() / total) if total else sizes.get(1, 0) / every if every else 0.0
         rows = []
         for start, some in chars.text_slices(texts):
-            owner, cols, counts = counted(some, terms)
-            for i, j in runs_of(owner):
-                at = start + int(owner[i])
-                near, cosine = self.index.nearest(cols[i:j], self.index.vector(cols[i:j], counts[i:j]), NEIGHBOURS, at)
+            places, vectors = self.vectors(some)
+            places = [start + at for at in places]
+            for at, (near, cosine) in zip(places, self.index.nearest_of(vectors, NEIGHBOURS, places), strict=True):
                 rows.append((self.vote(near, cosine), toxic[at], self.stands_for[at]))
         points = np.array(rows, float).reshape(-1, 3)
         self.x, self.y = isotonic(points[:, 0], points[:, 1], points[:, 2])
-        self.known: dict[bytes, tuple[float, str]] = {}
+
+    def vectors(self, texts: list[str]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+        """The texts that have terms, by number, and their vectors."""
+        owner, cols, counts = counted(texts, self.index.terms)
+        runs = list(runs_of(owner))
+        return [int(owner[i]) for i, _ in runs], [(cols[i:j], self.index.vector(cols[i:j], counts[i:j])) for i, j in runs]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Weighted share of toxic examples, with one vote at full distance for the base rate."""
@@ -245,24 +262,22 @@ class Model:
         prior = self.stands_for.mean()
         return float(((weight * self.toxic[near]).sum() + prior * self.base) / (weight.sum() + prior))
 
-    def score(self, cols: np.ndarray, counts: np.ndarray) -> tuple[float, str]:
-        """Probability, and the three nearest examples as id:label:cosine."""
-        key = cols.tobytes() + counts.tobytes()
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            near, cosine = self.index.nearest(cols, self.index.vector(cols, counts), NEIGHBOURS)
+    def score(self, texts: list[str]) -> Iterator[tuple[int, float, str]]:
+        """Number of the text, probability, and the three nearest examples as
+        id:label:cosine, of texts that have terms."""
+        places, vectors = self.vectors(texts)
+        for at, (near, cosine) in zip(places, self.index.nearest_of(vectors, NEIGHBOURS), strict=True):
             shown = ",".join(f"{self.ids[i]}:{self.toxic[i]}:{c:.3f}" for i, c in zip(near[:3], cosine[:3], strict=True))
-            self.known[key] = float(np.interp(self.vote(near, cosine), self.x, self.y)), shown
-        return self.known[key]
+            yield at, float(np.interp(self.vote(near, cosine), self.x, self.y)), shown
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, limit: int = EXAMPLES) -> Model:
     """`docs`: doc_id, text; `labels`: doc_id, toxic."""
     examples, sizes = chosen_examples(docs, labels, folds, fold, limit)
-    terms = vocabulary(examples)
+    terms, stands = vocabulary(examples)
+    idf = (np.log((docs.count() + 1) / (document_counts(docs, terms) + 1)) + 1) * np.where(stands, 1.0, REST)
     table = examples.orderBy("doc_id").toArrow()
-    return Model(terms, table["text"].to_pylist(), table["toxic"].to_numpy().astype(np.int64), table["doc_id"].to_pylist(), sizes)
+    return Model(terms, table["text"].to_pylist(), table["toxic"].to_numpy().astype(np.int64), table["doc_id"].to_pylist(), sizes, idf)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = EXAMPLES) -> DataFrame:
@@ -278,10 +293,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in small(batches):
             scores, shown = np.full(batch.num_rows, model.base), [""] * batch.num_rows
             for start, some in chars.text_slices([t or "" for t in batch.column(0).to_pylist()]):
-                owner, cols, counts = counted(some, model.index.terms)
-                for i, j in runs_of(owner):
-                    at = start + int(owner[i])
-                    scores[at], shown[at] = model.score(cols[i:j], counts[i:j])
+                for at, score, near in model.score(some):
+                    scores[start + at], shown[start + at] = score, near
             arrays = [batch.column(1), batch.column(2), pa.array(scores), pa.array((scores >= 0.7).astype(np.int32)), pa.array(shown, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence"])
 

@@ -96,3 +96,15 @@ def test_odd_rows(spark, odd, nothing, frame):
     assert toxicity.score(nothing, labels).count() == 0
     one_class = toxicity.score(odd, label_frame(spark, [(i, 1) for i in range(12)])).collect()
     assert all(0 <= r["score"] <= 1 for r in one_class)
+
+
+def test_rare_words_reach_their_example(spark, frame):
+    """Toxic texts whose words are in one example only are compared with it."""
+    rows, labels = corpus(60)
+    alone = " ".join(f"{w}x" for w in "rotten mouldy putrid rancid fetid squalid".split())
+    train = next(i for i in range(900, 999) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows += [(train, alone), (5000, alone + " again")]
+    got = {r["doc_id"]: r for r in toxicity.score(frame(rows), label_frame(spark, [*labels, (train, 1)])).collect()}
+    first = got[5000]["evidence"].split(",")[0].split(":")
+    assert first[:2] == [str(train), "1"] and float(first[2]) > 0.9
+    assert all(r["evidence"] for r in got.values())
