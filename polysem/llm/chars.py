@@ -80,15 +80,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded characters, running sums of character x base^place, and what moves
     a difference of these to place 0."""
-    seen = folding()[points]
-    size = 1 << max(20, int(len(points)).bit_length())  # few sizes, so that powers are kept
-    return seen, np.cumsum(seen * powers(BASE, size)[: len(points)], dtype=np.uint64), powers(UNBASE, size)
+    return _sums_of(folding()[points])
+
+
+def _sums_of(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = 1 << max(20, int(len(seen)).bit_length())  # few sizes, so that powers are kept
+    return seen, np.cumsum(seen * powers(BASE, size)[: len(seen)], dtype=np.uint64), powers(UNBASE, size)
 
 
 def words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every run of letters and digits: the number of its text, its start and end
     within `points`, and a 64-bit hash of its folded characters."""
-    seen, sums, back = _sums(points)
+    return _runs(*_sums(points), starts)
+
+
+def plain_words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of every run of 0-9, A-Z, a-z and characters above ASCII, of which
+    only A-Z are folded."""
+    low = points | ((points >= 65) & (points <= 90)).astype(np.uint32) << np.uint32(5)
+    solid = (low >= 128) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
+    return _runs(*_sums_of(np.where(solid, low, np.uint32(SPACE))), starts)
+
+
+def _runs(seen: np.ndarray, sums: np.ndarray, back: np.ndarray, starts: np.ndarray) -> tuple:
     solid = seen != SPACE
     change = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     begin, end = change[::2], change[1::2]
@@ -107,6 +121,11 @@ def inner_grams(points: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndar
     return np.searchsorted(starts, begin, side="right") - 1, begin, mixed(value + np.uint64((n << 40) + 1))
 
 
+def plain_word_hashes(text: str) -> np.ndarray:
+    """The hashes of the plain words of one text."""
+    return plain_words(*code_points([text]))[3]
+
+
 def word_hash(word: str) -> int:
     """The hash of one word, as above."""
     points, starts = code_points([word])
