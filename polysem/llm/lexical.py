@@ -86,7 +86,8 @@ def slices(queries: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, list[np
 class Segment:
     """Documents and their postings while texts are read, or put together from rows."""
 
-    def __init__(self) -> None:
+    def __init__(self, docs: int, postings: int) -> None:
+        self.limits = docs, postings
         self.parts: list[tuple[np.ndarray, ...]] = []  # id, known, length, term, doc, tf
         self.docs = self.postings = 0
 
@@ -96,7 +97,7 @@ class Segment:
         self.postings += len(term)
 
     def full(self) -> bool:
-        return self.docs >= SEGMENT_DOCS or self.postings >= SEGMENT_POSTINGS
+        return self.docs >= self.limits[0] or self.postings >= self.limits[1]
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -118,10 +119,11 @@ def opened(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
 def index(docs: DataFrame, vocabulary) -> DataFrame:
     """Segments of `docs` (doc_id, text) with the postings of the sorted hashes in the
     broadcast `vocabulary`, by place in it."""
+    limits = SEGMENT_DOCS, SEGMENT_POSTINGS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = vocabulary.value
-        held = Segment()
+        held = Segment(*limits)
         for batch in small(batches):
             known = np.array(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy()
@@ -136,7 +138,7 @@ def index(docs: DataFrame, vocabulary) -> DataFrame:
                 )
                 if held.full():
                     yield held.row()
-                    held = Segment()
+                    held = Segment(*limits)
         if held.docs:
             yield held.row()
 
@@ -191,9 +193,9 @@ class Lists:
         return hit // len(docs), hit % len(docs), self.place[at[hit]]
 
 
-def best_positions(lists: Lists, terms: np.ndarray, ids: np.ndarray, k: int, least: int = 0, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def best_positions(lists: Lists, terms: np.ndarray, ids: np.ndarray, k: int, least: int = 0, step: int = STEP, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Documents and scores, best first, of the k best of one query. Those strictly below
-    `least` may be missing. `trace` is told the documents looked up."""
+    `least` may be missing. `step` rows of every list are read at first. `trace` is told the documents looked up."""
     terms = terms[lists.start[terms + 1] > lists.start[terms]]
     start, end = lists.start[terms], lists.start[terms + 1]
     base = np.cumsum(end - start) - (end - start)  # where a list begins in `seen`
@@ -201,7 +203,7 @@ def best_positions(lists: Lists, terms: np.ndarray, ids: np.ndarray, k: int, lea
     known = np.zeros(lists.n_docs, bool)
     best = np.zeros(len(terms), np.int64)  # seen rows at the top of each list
     docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    depth, step, looked = 0, STEP, 0
+    depth, looked = 0, 0
     while len(terms):
         read = [lists.doc[a + depth : min(a + depth + step, b)] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         new = np.unique(np.concatenate(read))
@@ -235,6 +237,7 @@ def best_positions(lists: Lists, terms: np.ndarray, ids: np.ndarray, k: int, lea
 def ranked(segments: DataFrame, weight: np.ndarray, numbers: np.ndarray, places: list[np.ndarray], n: int, total: int, k: int) -> DataFrame:
     """(query, doc_id, score): the k best of every query in what each task reads."""
     shared = segments.sparkSession.sparkContext.broadcast((weight, numbers, places))
+    limits, step = (SEGMENT_DOCS, SEGMENT_POSTINGS), STEP
 
     def answers(held: Segment, kth: np.ndarray) -> pa.RecordBatch:
         weight, numbers, places = shared.value
@@ -245,7 +248,7 @@ def ranked(segments: DataFrame, weight: np.ndarray, numbers: np.ndarray, places:
         lists = Lists(len(ids), term[some], doc[some], impact[some], len(weight))
         rows = []
         for q, terms in enumerate(places):
-            docs, scores = best_positions(lists, terms, ids, k, int(kth[q]))
+            docs, scores = best_positions(lists, terms, ids, k, int(kth[q]), step)
             if len(scores) == k:
                 kth[q] = max(kth[q], scores[-1])
             rows.append((np.full(len(docs), numbers[q]), ids[docs], scores))
@@ -254,13 +257,13 @@ def ranked(segments: DataFrame, weight: np.ndarray, numbers: np.ndarray, places:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kth = np.zeros(len(shared.value[1]), np.int64)
-        held = Segment()
+        held = Segment(*limits)
         for batch in batches:
             for i in range(batch.num_rows):
                 held.add(*opened(batch, i))
                 if held.full():
                     yield answers(held, kth)
-                    held = Segment()
+                    held = Segment(*limits)
         if held.docs:
             yield answers(held, kth)
 

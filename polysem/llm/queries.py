@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysem.llm import bpe, decontaminate, exact, extract, langid, lexical, licenses, minhash, privacy, sharding, toxicity, warc
+from polysem.llm import bpe, decontaminate, exact, extract, hardneg, langid, lexical, licenses, minhash, privacy, sharding, toxicity, warc
 
 TOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -96,6 +96,11 @@ def op10_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op12_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -105,4 +110,4 @@ def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_dart_minhash, op3_exact_dedup, op4_disclosure, op5_toxic_neighbours, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax, op12_license_index, op13_best_position)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_dart_minhash, op3_exact_dedup, op4_disclosure, op5_toxic_neighbours, op6_language_mixture, op7_decontamination, op8_line_blocks, op9_byte_bpe, op10_shard_minimax, op11_hard_negatives, op12_license_index, op13_best_position)}
