@@ -1,24 +1,37 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are at most `EXAMPLES` labelled training documents of either class
-(the smallest hashes of their ids; equal texts count once). Terms are words and
-`GRAM` characters within a word. Every term of the examples is indexed, with
-its idf from the number of all documents that have it. Terms that stand out in
-toxic examples (G-squared, lift, a share of the toxic examples) count in full,
-all others by `REST`. Examples become vectors of length 1 in an inverted index.
-
-A document is scored by its `NEIGHBOURS` nearest examples in cosine, found
-exactly: the most frequent terms are a dense matrix, of the others the postings
-are summed. Neighbours vote with 1 / (`NEAR` + distance), times what an example
-stands for (the labelled documents of its class per example). An isotonic fit
-over the examples, each voted on by the others, turns votes into probabilities.
-A document without any term of the examples gets the share of toxic documents
-among examples without any, or else among labels.
-
-The model is bounded by `EXAMPLES` and the length of their texts, and is
-broadcast; documents are read twice, for the idf and to be scored. A null text is empty. Labels that
-are null are none; of several labels of one id the larger counts. Without
-examples of both classes every score is the share of toxic labels (0 without any).
+(the smallest hashes of their ids; equal texts count once), as far as their texts
+have no more than `EXAMPLE_CHARS` characters together. Terms are words and `GRAM`
+characters within a word, idf is ln((N + 1) / (df + 1)) + 1 over all N documents.
+Two indexes hold the examples as TF-IDF vectors of length 1:
+
+* over all terms: neighbours of a cosine of `NEAR_EQUAL` or more, which finds
+  texts that nearly equal an example whatever their words;
+* over the marks, the terms that stand out in toxic examples: a lift of `MIN_LIFT`
+  and a G-squared of 2 ln M, where M is the number of terms that are in as many examples
+  or more (as many tests are made, so about one would pass by chance, at any size).
+
+An index has postings (example, weight) by term, cut into blocks of `BLOCK`
+examples of similar length, and for each term and block the largest weight. A document
+bounds the cosine of a block by the sum of weight times block maximum, where for
+its longest lists, up to a norm of `TAIL`, the Cauchy-Schwarz inequality serves instead.
+Blocks are scored from the largest bound down, exactly and whole, until no bound reaches
+the `NEIGHBOURS`-th cosine found; so the nearest are exact (ties after rounding to 9
+digits: the first example), and most blocks are never looked at.
+
+Neighbours of both indexes vote with 1 / (`CLOSE` + distance), times what an example
+stands for (the labelled documents of its class per example), and one vote at
+full distance for the base rate. An isotonic fit over the examples, each
+voted on by the others, turns votes into probabilities. A document without
+neighbours has the base rate alone.
+
+Terms, vectors and votes of the examples are made in tasks. What travels through the
+driver to the tasks is bounded by the characters of the examples (`EXAMPLE_CHARS`: at most 1.2
+postings of 12 bytes for each); documents are read twice, for the idf and to be
+scored. A null text is empty. Labels that are null are none; of several labels of
+one id the larger counts. Without examples of both classes every score is the share
+of toxic labels (0 without any). Repeated rows have equal scores.
 """
 
 from __future__ import annotations
@@ -27,25 +40,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polysem.llm import chars
 from polysem.llm.chars import small
 from polysem.llm.langid import held_out
 from polysem.llm.privacy import found_in
+from polysem.operators.ordering import number_rows
 from polysem.session import stored
 
-EXAMPLES = 4096
+EXAMPLES, EXAMPLE_CHARS = 4096, 40_000_000
 GRAM = 5
-# What a term counts that does not stand out.
-REST = 0.1
 NEIGHBOURS = 25
-NEAR = 0.05
-# Terms that are held densely, and documents that are scored at a time.
-DENSE, AT_ONCE = 512, 128
-# Of the toxic examples, for a term to stand out.
-MIN_SHARE, MIN_LIFT, MIN_G2 = 8 / 4096, 3.0, 30.0
+CLOSE, NEAR_EQUAL = 0.05, 0.5
+MIN_LIFT = 3.0
+# Examples in a block, blocks that are scored at first, norm of the lists that are bounded as one.
+BLOCK, AT_ONCE, TAIL = 32, 8, 0.25
+ROUNDING = 1e-6
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +69,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chosen_examples(docs: DataFrame, labels: DataFrame, folds: int, fold: int, limit: int) -> tuple[DataFrame, dict[int, int]]:
-    """The examples (doc_id, text, toxic) and the number of training labels of
+    """The examples (doc_id, text, toxic, number) and the number of training labels of
     each class. `docs`: doc_id, text; `labels`: doc_id, toxic."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
@@ -71,12 +83,17 @@ def chosen_examples(docs: DataFrame, labels: DataFrame, folds: int, fold: int, l
     # At most 2 x limit ids.
     met = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     once = met.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    return stored(once, "examples"), sizes
+    held = stored(once, "examples")
+    before = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    size = held.select("doc_id", "toxic", F.sum(F.length("text")).over(before).alias("upto"))  # at most `limit` rows a class
+    kept = held.join(F.broadcast(size.where(F.col("upto") <= EXAMPLE_CHARS // 2).select("doc_id")), "doc_id")
+    # equally long examples side by side
+    numbered, _ = number_rows(kept, F.length("text"), "doc_id", column="number")
+    return numbered, sizes
 
 
-def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all terms of the examples, sorted, and whether they stand out in
-    toxic ones."""
+def example_terms(examples: DataFrame) -> DataFrame:
+    """(term, bad, good): in how many examples of either class each term is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -98,6 +115,12 @@ def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 )
 
     counts = examples.select("text", "toxic").mapInArrow(work, "term bigint, bad bigint, good bigint")
+    return counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all terms of the examples, sorted, and whether they are marks."""
+    counts = stored(example_terms(examples), "example-terms")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = (F.lit(float(max(1, sizes.get(c, 0)))) for c in (1, 0))
     a, b = F.col("bad").cast("double"), F.col("good").cast("double")
@@ -108,14 +131,15 @@ def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         + part(n1 - a, (n - both) * n1 / n) + part(n0 - b, (n - both) * n0 / n)
     )
     lift = (a / n1) / ((b + 0.5) / n0)
-    terms = (
-        counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .select("term", F.coalesce((F.col("bad") >= MIN_SHARE * n1) & (lift >= MIN_LIFT) & (g2 >= MIN_G2), F.lit(False)).alias("stands"))
-        .toArrow()
-    )
+    # M of each number of examples: at most one row for every example
+    tests = counts.groupBy((F.col("bad") + F.col("good")).alias("df")).agg(F.count("*").alias("n"))
+    tests = tests.select("df", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("df"))).alias("m"))
+    met = counts.withColumn("df", F.col("bad") + F.col("good")).join(F.broadcast(tests), "df")
+    marks = F.coalesce((lift >= MIN_LIFT) & (g2 >= 2 * F.log("m")), F.lit(False))
+    terms = met.select("term", marks.alias("marks")).toArrow()
     found = terms["term"].to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], terms["stands"].to_numpy()[order].astype(bool)
+    return found[order], terms["marks"].to_numpy()[order].astype(bool)
 
 
 def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -150,69 +174,85 @@ def runs_of(owner: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1], edges[1:], strict=True)
 
 
+def vector_of(cols: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weights of a text's terms, of length 1."""
+    weight = (1 + np.log(counts)) * idf[cols]
+    return weight / np.sqrt((weight**2).sum())
+
+
+def postings(examples: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, number of the example, weight: the vectors of all examples, made in tasks, by term.
+    `shared` is a broadcast (terms, idf)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for batch in small(batches):
+            numbers = batch.column(1).to_numpy()
+            for start, some in chars.text_slices(batch.column(0).to_pylist()):
+                owner, cols, counts = counted(some, terms)
+                weight = np.concatenate([np.zeros(0), *(vector_of(cols[i:j], counts[i:j], idf) for i, j in runs_of(owner))])
+                arrays = [cols.astype(np.int32), numbers[start + owner].astype(np.int32), weight.astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["term", "number", "weight"])
+
+    table = examples.select("text", "number").mapInArrow(work, "term int, number int, weight float").orderBy("term", "number").toArrow()
+    return tuple(table[c].to_numpy() for c in ("term", "number", "weight"))
+
+
 class Index:
-    """TF-IDF vectors of examples, in postings; the `dense` most frequent terms as a matrix."""
-
-    def __init__(self, terms: np.ndarray, texts: list[str], dense: int = DENSE, idf: np.ndarray | None = None) -> None:
-        self.terms, self.n = terms, len(texts)
-        rows, cols, counts = [], [], []
-        for start, some in chars.text_slices(texts):
-            r, c, n = counted(some, terms)
-            rows.append((r + start).astype(np.int32))
-            cols.append(c.astype(np.int32))
-            counts.append(n.astype(np.int32))
-        row, col, n = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols, counts))
-        del rows, cols, counts
-        df = np.bincount(col, minlength=len(terms))
-        self.idf = np.log((self.n + 1) / (df + 1)) + 1 if idf is None else idf
-        weight = (1 + np.log(n)) * self.idf[col]
-        norm = np.sqrt(np.bincount(row, weight**2, minlength=self.n))
-        self.empty = norm == 0
-        weight /= norm[row]
-        often = np.sort(np.argsort(-df, kind="stable")[:dense])
-        self.at = np.full(len(terms), -1, np.int32)
-        self.at[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.n))
-        held = self.at[col] >= 0
-        self.matrix[self.at[col[held]], row[held]] = weight[held]
-        row, col, weight = row[~held], col[~held], weight[~held]
-        order = np.argsort(col, kind="stable")
-        self.row, self.weight = row[order], weight[order].astype(np.float32)
-        self.start = np.searchsorted(col[order], np.arange(len(terms) + 1))
-
-    def vector(self, cols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(counts)) * self.idf[cols]
-        return weight / np.sqrt((weight**2).sum())
-
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Document x example, for documents as (terms, weights)."""
-        query = np.zeros((len(vectors), len(self.matrix)))
-        rest = []
-        for i, (cols, weight) in enumerate(vectors):
-            at = self.at[cols]
-            query[i, at[at >= 0]] = weight[at >= 0]
-            rest.append((cols[at < 0], weight[at < 0]))
-        out = query @ self.matrix
-        for i, (cols, weight) in enumerate(rest):
-            start, size = self.start[cols], self.start[cols + 1] - self.start[cols]
-            place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out[i] += np.bincount(self.row[place], np.repeat(weight, size) * self.weight[place], minlength=self.n)
-        return out
-
-    def nearest_of(self, vectors: list, k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each document the examples and cosines of the k nearest (ties: the first)
-        among those with a common term, leaving out one."""
-        for low in range(0, len(vectors), AT_ONCE):
-            for i, scores in enumerate(np.round(self.cosines(vectors[low : low + AT_ONCE]), 9), low):
-                if without is not None and without[i] >= 0:
-                    scores[without[i]] = 0
-                least = np.partition(scores, -k)[-k] if k < self.n else 0
-                some = np.flatnonzero((scores >= least) & (scores > 0))
-                best = some[np.argsort(-scores[some], kind="stable")][:k]
-                yield best, np.minimum(scores[best], 1.0)
-
-    def nearest(self, cols: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return next(self.nearest_of([(cols, weight)], k, [without]))
+    """Block-max postings of vectors of length 1, sorted by term and number."""
+
+    def __init__(self, term: np.ndarray, number: np.ndarray, weight: np.ndarray, n_terms: int, n: int, block: int = BLOCK) -> None:
+        self.n, self.block, self.n_blocks = n, block, max(1, -(-n // block))
+        self.number, self.weight = number, weight
+        of = number // block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(new)
+        self.of = of[first].astype(np.int32)
+        self.most = np.maximum.reduceat(weight, first) if len(first) else weight
+        self.first = np.append(first, len(term))
+        self.start = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    def nearest(
+        self, cols: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0, without: int = -1, trace: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest (ties: the first) of at least `least` and above
+        0, leaving one out. `trace` is told the blocks that were scored."""
+        start, size = self.start[cols], self.start[cols + 1] - self.start[cols]
+        place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        of, own = self.of[place], np.repeat(weight, size)
+        long = np.argsort(-size, kind="stable")
+        rest = np.cumsum(weight[long] ** 2)
+        tail = long[: int(np.searchsorted(rest, TAIL**2))]
+        short = np.ones(len(cols), bool)
+        short[tail] = False
+        head = np.repeat(short, size)
+        slack = ROUNDING + (np.sqrt(rest[len(tail) - 1]) if len(tail) else 0.0)
+        bound = np.bincount(of[head], own[head] * self.most[place[head]], self.n_blocks) + slack
+        bound[np.bincount(of, minlength=self.n_blocks) == 0] = 0
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int(np.searchsorted(-bound[order], -max(least, 2e-9), side="right"))]
+        near, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, AT_ONCE
+        while at < len(order):
+            some = np.zeros(self.n_blocks, bool)
+            some[order[at : at + step]] = True
+            hit = np.flatnonzero(some[of])
+            low = self.first[place[hit]]
+            count = self.first[place[hit] + 1] - low
+            inner = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            scores = np.round(np.bincount(self.number[inner], np.repeat(own[hit], count) * self.weight[inner], self.n), 9)
+            if without >= 0:
+                scores[without] = 0
+            found = np.flatnonzero((scores > 0) & (scores >= least))
+            near, cosine = np.concatenate([near, found]), np.concatenate([cosine, scores[found]])
+            best = np.lexsort((near, -cosine))[:k]
+            near, cosine = near[best], cosine[best]
+            at, step = at + step, step * 2
+            if at < len(order) and len(near) == k and bound[order[at]] < cosine[-1]:
+                break
+        if trace is not None:
+            trace.append((min(at, len(order)), self.n_blocks))
+        return near, np.minimum(cosine, 1.0)
 
 
 def isotonic(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,53 +271,72 @@ def isotonic(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 class Model:
-    def __init__(
-        self, terms: np.ndarray, texts: list[str], toxic: np.ndarray, ids: list, sizes: dict[int, int], idf: np.ndarray | None = None
-    ) -> None:
-        self.index, self.toxic, self.ids = Index(terms, texts, idf=idf), toxic, ids
-        have = {c: int((toxic == c).sum()) for c in (0, 1)}
+    """What the tasks need: vocabulary, both indexes, labels of the examples."""
+
+    def __init__(self, terms: np.ndarray, marks: np.ndarray, idf: np.ndarray, every: Index, marked: Index, toxic: np.ndarray, ids: np.ndarray, sizes: dict[int, int]) -> None:
+        self.terms, self.idf, self.every, self.marked, self.toxic, self.ids = terms, idf, every, marked, toxic, ids
+        self.mark = np.where(marks, np.cumsum(marks) - 1, -1).astype(np.int32)  # place among the marks
+        self.mark_idf = idf[marks]
+        have = [int((toxic == c).sum()) for c in (0, 1)]
         self.stands_for = np.array([sizes.get(c, 0) / max(have[c], 1) for c in (0, 1)])[toxic] if len(toxic) else np.zeros(0)
-        none = self.index.empty
-        total = self.stands_for[none].sum()
-        every = sum(sizes.values())
-        self.base = float((self.stands_for * toxic)[none].sum() / total) if total else sizes.get(1, 0) / every if every else 0.0
-        rows = []
-        for start, some in chars.text_slices(texts):
-            places, vectors = self.vectors(some)
-            places = [start + at for at in places]
-            for at, (near, cosine) in zip(places, self.index.nearest_of(vectors, NEIGHBOURS, places), strict=True):
-                rows.append((self.vote(near, cosine), toxic[at], self.stands_for[at]))
-        points = np.array(rows, float).reshape(-1, 3)
-        self.x, self.y = isotonic(points[:, 0], points[:, 1], points[:, 2])
-
-    def vectors(self, texts: list[str]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
-        """The texts that have terms, by number, and their vectors."""
-        owner, cols, counts = counted(texts, self.index.terms)
-        runs = list(runs_of(owner))
-        return [int(owner[i]) for i, _ in runs], [(cols[i:j], self.index.vector(cols[i:j], counts[i:j])) for i, j in runs]
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Weighted share of toxic examples, with one vote at full distance for the base rate."""
-        weight = self.stands_for[near] / (NEAR + 1 - cosine)
-        prior = self.stands_for.mean()
-        return float(((weight * self.toxic[near]).sum() + prior * self.base) / (weight.sum() + prior))
-
-    def score(self, texts: list[str]) -> Iterator[tuple[int, float, str]]:
-        """Number of the text, probability, and the three nearest examples as
-        id:label:cosine, of texts that have terms."""
-        places, vectors = self.vectors(texts)
-        for at, (near, cosine) in zip(places, self.index.nearest_of(vectors, NEIGHBOURS), strict=True):
-            shown = ",".join(f"{self.ids[i]}:{self.toxic[i]}:{c:.3f}" for i, c in zip(near[:3], cosine[:3], strict=True))
-            yield at, float(np.interp(self.vote(near, cosine), self.x, self.y)), shown
+        total = sum(sizes.values())
+        self.base = sizes.get(1, 0) / total if total else 0.0
+        self.x, self.y = np.array([0.0, 1.0]), np.array([self.base, self.base])
+
+    def votes(self, texts: list[str], without: np.ndarray | None = None) -> Iterator[tuple[int, float, str]]:
+        """Number of the text, weighted share of toxic examples, and the three nearest as id:label:cosine, of
+        the texts that have neighbours."""
+        owner, cols, counts = counted(texts, self.terms)
+        prior = self.stands_for.mean() if len(self.stands_for) else 1.0
+        for i, j in runs_of(owner):
+            text = int(owner[i])
+            leave = -1 if without is None else int(without[text])
+            own, n = cols[i:j], counts[i:j]
+            near, cosine = self.every.nearest(own, vector_of(own, n, self.idf), NEIGHBOURS, NEAR_EQUAL, leave)
+            mark = self.mark[own]
+            if (mark >= 0).any():
+                some = mark[mark >= 0]
+                more, closeness = self.marked.nearest(some, vector_of(some, n[mark >= 0], self.mark_idf), NEIGHBOURS, 0.0, leave)
+                near, cosine = np.concatenate([near, more]), np.concatenate([cosine, closeness])
+            if not len(near):
+                continue
+            weight = self.stands_for[near] / (CLOSE + 1 - cosine)
+            vote = ((weight * self.toxic[near]).sum() + prior * self.base) / (weight.sum() + prior)
+            best = np.lexsort((near, -cosine))
+            shown = dict.fromkeys((int(near[b]) for b in best), None)
+            closest = {int(near[b]): float(cosine[b]) for b in best[::-1]}
+            yield text, float(vote), ",".join(f"{self.ids[e]}:{self.toxic[e]}:{closest[e]:.3f}" for e in list(shown)[:3])
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, limit: int = EXAMPLES) -> Model:
     """`docs`: doc_id, text; `labels`: doc_id, toxic."""
+    context = docs.sparkSession.sparkContext
     examples, sizes = chosen_examples(docs, labels, folds, fold, limit)
-    terms, stands = vocabulary(examples)
-    idf = (np.log((docs.count() + 1) / (document_counts(docs, terms) + 1)) + 1) * np.where(stands, 1.0, REST)
-    table = examples.orderBy("doc_id").toArrow()
-    return Model(terms, table["text"].to_pylist(), table["toxic"].to_numpy().astype(np.int64), table["doc_id"].to_pylist(), sizes, idf)
+    terms, marks = vocabulary(examples)
+    idf = np.log((docs.count() + 1) / (document_counts(docs, terms) + 1)) + 1
+    table = examples.select("number", "doc_id", "toxic").orderBy("number").toArrow()
+    toxic, ids = table["toxic"].to_numpy().astype(np.int64), table["doc_id"].to_numpy()
+    every, marked = (
+        Index(*postings(examples, context.broadcast((terms[some], idf[some]))), int(some.sum()), len(ids))
+        for some in (np.ones(len(terms), bool), marks)
+    )
+    model = Model(terms, marks, idf, every, marked, toxic, ids, sizes)
+    if not {0, 1} <= set(toxic.tolist()):
+        return model
+    shared = context.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            numbers = batch.column(1).to_numpy()
+            votes = np.full(len(numbers), shared.value.base)
+            for start, some in chars.text_slices(batch.column(0).to_pylist()):
+                for at, vote, _ in shared.value.votes(some, numbers[start : start + len(some)]):
+                    votes[start + at] = vote
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes)], names=["number", "vote"])
+
+    own = examples.select("text", "number").mapInArrow(work, "number bigint, vote double").orderBy("number").toArrow()
+    model.x, model.y = isotonic(own["vote"].to_numpy(), toxic.astype(float), model.stands_for)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = EXAMPLES) -> DataFrame:
@@ -291,10 +350,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in small(batches):
-            scores, shown = np.full(batch.num_rows, model.base), [""] * batch.num_rows
+            votes, shown = np.full(batch.num_rows, model.base), [""] * batch.num_rows
             for start, some in chars.text_slices([t or "" for t in batch.column(0).to_pylist()]):
-                for at, score, near in model.score(some):
-                    scores[start + at], shown[start + at] = score, near
+                for at, vote, near in model.votes(some):
+                    votes[start + at], shown[start + at] = vote, near
+            scores = np.interp(votes, model.x, model.y)
             arrays = [batch.column(1), batch.column(2), pa.array(scores), pa.array((scores >= 0.7).astype(np.int32)), pa.array(shown, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence"])
 

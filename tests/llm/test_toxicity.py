@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from polysem.llm import toxicity
+from polysem.llm import chars, toxicity
 from tests.llm.conftest import prose
 
 BAD = ["vileword", "grimterm", "foulstem"]
@@ -43,28 +43,61 @@ def test_held_out_quality(spark, frame):
     assert all(e.split(",")[0].split(":")[1] == "1" for e in shown)
 
 
-@pytest.mark.parametrize("block", [1, 7, 64])
-def test_nearest_against_brute_force(block):
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+@pytest.mark.parametrize("least", [0.0, 0.4])
+def test_nearest_against_brute_force(block, least):
     rng = np.random.default_rng(block)
     words = [f"word{i}" for i in range(40)]
     texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(300)]
-    terms = np.sort(np.unique(toxicity.features(words)[1]))
-    index = toxicity.Index(terms, texts, block)
+    terms = np.unique(toxicity.features(words)[1])
+    idf = rng.random(len(terms)) * 5
     owner, cols, counts = toxicity.counted(texts, terms)
-    dense = np.zeros((300, len(terms)))
-    dense[owner, cols] = (1 + np.log(counts)) * index.idf[cols]
-    norm = np.linalg.norm(dense, axis=1)
-    dense /= np.where(norm > 0, norm, 1)[:, None]
-    assert (index.empty == (norm == 0)).all()
+    dense = np.zeros((300, len(terms)), np.float32)
+    for i, j in toxicity.runs_of(owner):
+        dense[owner[i], cols[i:j]] = toxicity.vector_of(cols[i:j], counts[i:j], idf)
+    col, row = np.nonzero(dense.T)
+    index = toxicity.Index(col, row, dense[row, col], len(terms), 300, block)
     for i, j in toxicity.runs_of(owner):
         at = int(owner[i])
-        cosine = dense @ dense[at]
+        weight = toxicity.vector_of(cols[i:j], counts[i:j], idf)
+        cosine = np.round(dense.astype(float)[:, cols[i:j]] @ weight, 9)
         for k, without in ((1, -1), (10, -1), (10, at), (1000, at)):
-            near, found = index.nearest(cols[i:j], index.vector(cols[i:j], counts[i:j]), k, without)
-            others = np.delete(cosine, without) if without >= 0 else cosine
-            best = np.sort(others[others > 1e-9])[::-1][:k]
-            assert np.allclose(found, best) and len(set(near.tolist())) == len(near) and without not in near
-            assert np.allclose(cosine[near], found)
+            near, found = index.nearest(cols[i:j], weight, k, least, without)
+            others = np.where(np.arange(300) == without, 0, cosine)
+            order = np.lexsort((np.arange(300), -others))
+            best = [x for x in order if others[x] > 1e-9 and others[x] >= least][:k]
+            assert np.allclose(found, np.minimum(others[best], 1), atol=2e-9) and without not in near
+            assert len(near) == len(best) and np.allclose(cosine[near], cosine[best], atol=2e-9)
+
+
+def test_blocks_are_skipped():
+    """Examples of few topics side by side: most blocks cannot reach the nearest found."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"topic{i // 64}word{j}" for j in rng.choice(60, 20)) + " the and of" for i in range(64 * 20)]
+    terms = np.unique(toxicity.features(texts)[1])
+    owner, cols, counts = toxicity.counted(texts, terms)
+    df = np.bincount(cols, minlength=len(terms))
+    idf = np.log(len(texts) / df) + 0.1
+    weight = np.concatenate([toxicity.vector_of(cols[i:j], counts[i:j], idf) for i, j in toxicity.runs_of(owner)])
+    order = np.lexsort((owner, cols))
+    index = toxicity.Index(cols[order], owner[order], weight[order].astype(np.float32), len(terms), len(texts))
+    trace = []
+    for i, j in list(toxicity.runs_of(owner))[::37]:
+        index.nearest(cols[i:j], weight[i:j], 25, trace=trace)
+    assert sum(a for a, _ in trace) < 0.5 * sum(b for _, b in trace)
+
+
+def test_marks_follow_the_examples(spark, frame):
+    """The bar rises with the number of terms tested, and chance finds pass at no size."""
+    for n in (200, 700):
+        rows, labels = corpus(n)
+        docs = frame(rows).select("doc_id", "text")
+        some, _ = toxicity.chosen_examples(docs, label_frame(spark, labels).select("doc_id", "toxic"), 3, 1, 4096)
+        terms, marks = toxicity.vocabulary(some)
+        stems = {chars.word_hash(w + e) for w in BAD for e in ["", "s", "ung", "er"]}
+        grams = set(toxicity.features(BAD)[1].tolist())
+        assert set(terms[marks].tolist()) <= stems | grams | {int(v) for w in BAD for e in ["s", "ung", "er"] for v in toxicity.features([w + e])[1]}
+        assert marks.sum() >= 3
 
 
 def test_isotonic_fit():
@@ -107,4 +140,14 @@ def test_rare_words_reach_their_example(spark, frame):
     got = {r["doc_id"]: r for r in toxicity.score(frame(rows), label_frame(spark, [*labels, (train, 1)])).collect()}
     first = got[5000]["evidence"].split(",")[0].split(":")
     assert first[:2] == [str(train), "1"] and float(first[2]) > 0.9
-    assert all(r["evidence"] for r in got.values())
+    assert got[train]["evidence"].startswith(f"{train}:1:1.000")
+
+
+def test_characters_of_examples_are_bounded(spark, frame, monkeypatch):
+    monkeypatch.setattr(toxicity, "EXAMPLE_CHARS", 8000)
+    rows, labels = corpus(200)
+    docs = frame(rows).select("doc_id", "text")
+    some, _ = toxicity.chosen_examples(docs, label_frame(spark, labels).select("doc_id", "toxic"), 3, 1, 4096)
+    found = some.collect()
+    assert 0 < sum(len(r["text"]) for r in found) <= 8000
+    assert sorted(r["number"] for r in found) == list(range(len(found)))
