@@ -396,7 +396,8 @@ def positives(found: DataFrame, dim: int, n_pos: int) -> DataFrame:
                 scores[(labels[at][:, None] != b_labels[order]) | (rows[:, None] == own)] = NONE
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :n_pos]
                 most = np.take_along_axis(scores, best, axis=1)
-                row, col = np.nonzero(most > NONE)
+                so_far = np.frombuffer(batch.column("so_far")[i].as_py(), np.int64)[at]
+                row, col = np.nonzero((most > NONE) & (most >= so_far[:, None]))
                 yield _found(batch.column("grp")[i].as_py(), at[row], col, ids[at[row]], others[order][best[row, col]], most[row, col])
 
     order = Window.partitionBy("grp", "one").orderBy(F.desc("score"), "other_id")
@@ -412,7 +413,7 @@ def negatives(found: DataFrame, dim: int, n_neg: int, low: int, high: int) -> Da
                 at = np.array(batch.column("at")[i].as_py(), np.int64)
                 ids, labels, q = cells(batch, i, dim)
                 others, b_labels, b_q = cells(batch, i, dim, "b_")
-                of, rank, bottom, top, _ = window_arrays(batch.column("windows")[i].as_py(), low, high)
+                of, rank, _, top, least = window_arrays(batch.column("windows")[i].as_py(), low, high)
                 mine = np.flatnonzero(np.isin(of, at))
                 line = np.searchsorted(at, of[mine])
                 order = np.argsort(others, kind="stable")
@@ -425,7 +426,7 @@ def negatives(found: DataFrame, dim: int, n_neg: int, low: int, high: int) -> Da
                 inside = place < scores.shape[1]
                 place = np.where(inside, place, 0)
                 got = scores[line[:, None], place]
-                row, col = np.nonzero(inside & (got >= bottom[mine, None]) & (got > NONE))
+                row, col = np.nonzero(inside & (got >= least[mine, None]) & (got > NONE))
                 where = line[row]
                 yield _found(
                     batch.column("grp")[i].as_py(), at[where], rank[mine][row], ids[at[where]],
