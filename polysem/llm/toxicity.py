@@ -155,6 +155,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
     found = docs.select("text").mapInArrow(work, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(len(terms), np.int64)
     out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -194,31 +195,48 @@ def postings(examples: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.nd
                 arrays = [cols.astype(np.int32), numbers[start + owner].astype(np.int32), weight.astype(np.float32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["term", "number", "weight"])
 
-    table = examples.select("text", "number").mapInArrow(work, "term int, number int, weight float").orderBy("term", "number").toArrow()
-    return tuple(table[c].to_numpy() for c in ("term", "number", "weight"))
+    table = examples.select("text", "number").mapInArrow(work, "term int, number int, weight float").toArrow()
+    term, number, weight = (table[c].to_numpy() for c in ("term", "number", "weight"))
+    order = np.argsort(term.astype(np.int64) << 32 | number)
+    return term[order], number[order], weight[order]
 
 
 class Index:
     """Block-max postings of vectors of length 1, sorted by term and number."""
 
     def __init__(self, term: np.ndarray, number: np.ndarray, weight: np.ndarray, n_terms: int, n: int, block: int = BLOCK) -> None:
-        self.n, self.block, self.n_blocks = n, block, max(1, -(-n // block))
-        self.number, self.weight = number, weight
-        of = number // block
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+        self.number, self.weight, self.n, self.block = number.astype(np.uint16 if n <= 1 << 16 else np.int32), weight, n, block
+        self.lists = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
+        self.cut()
+
+    def cut(self) -> None:
+        """The blocks and their maxima, which follow from the postings."""
+        self.n_blocks = max(1, -(-self.n // self.block))
+        of = (self.number // self.block).astype(np.uint16 if self.n_blocks <= 1 << 16 else np.int32)
+        new = np.ones(len(of), bool)
+        new[1:] = of[1:] != of[:-1]
+        new[self.lists[:-1][np.diff(self.lists) > 0]] = True
         first = np.flatnonzero(new)
-        self.of = of[first].astype(np.int32)
-        self.most = np.maximum.reduceat(weight, first) if len(first) else weight
-        self.first = np.append(first, len(term))
-        self.start = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.of = of[first]
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.first = np.append(first, len(of)).astype(np.int32)
+        self.start = np.searchsorted(first, self.lists).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        """Only postings travel; a worker cuts them into blocks again."""
+        return {c: getattr(self, c) for c in ("number", "weight", "n", "block", "lists")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.cut()
 
     def nearest(
         self, cols: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0, without: int = -1, trace: list | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest (ties: the first) of at least `least` and above
         0, leaving one out. `trace` is told the blocks that were scored."""
-        start, size = self.start[cols], self.start[cols + 1] - self.start[cols]
+        start = self.start[cols].astype(np.int64)
+        size = self.start[cols + 1] - start
         place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
         of, own = self.of[place], np.repeat(weight, size)
         long = np.argsort(-size, kind="stable")
@@ -237,7 +255,7 @@ class Index:
             some = np.zeros(self.n_blocks, bool)
             some[order[at : at + step]] = True
             hit = np.flatnonzero(some[of])
-            low = self.first[place[hit]]
+            low = self.first[place[hit]].astype(np.int64)
             count = self.first[place[hit] + 1] - low
             inner = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
             scores = np.round(np.bincount(self.number[inner], np.repeat(own[hit], count) * self.weight[inner], self.n), 9)
@@ -281,7 +299,6 @@ class Model:
         self.stands_for = np.array([sizes.get(c, 0) / max(have[c], 1) for c in (0, 1)])[toxic] if len(toxic) else np.zeros(0)
         total = sum(sizes.values())
         self.base = sizes.get(1, 0) / total if total else 0.0
-        self.x, self.y = np.array([0.0, 1.0]), np.array([self.base, self.base])
 
     def votes(self, texts: list[str], without: np.ndarray | None = None) -> Iterator[tuple[int, float, str]]:
         """Number of the text, weighted share of toxic examples, and the three nearest as id:label:cosine, of
@@ -308,22 +325,24 @@ class Model:
             yield text, float(vote), ",".join(f"{self.ids[e]}:{self.toxic[e]}:{closest[e]:.3f}" for e in list(shown)[:3])
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, limit: int = EXAMPLES) -> Model:
-    """`docs`: doc_id, text; `labels`: doc_id, toxic."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, limit: int = EXAMPLES) -> tuple:
+    """The broadcast model, and points between which votes become scores.
+    `docs`: doc_id, text; `labels`: doc_id, toxic."""
     context = docs.sparkSession.sparkContext
     examples, sizes = chosen_examples(docs, labels, folds, fold, limit)
     terms, marks = vocabulary(examples)
     idf = np.log((docs.count() + 1) / (document_counts(docs, terms) + 1)) + 1
     table = examples.select("number", "doc_id", "toxic").orderBy("number").toArrow()
     toxic, ids = table["toxic"].to_numpy().astype(np.int64), table["doc_id"].to_numpy()
-    every, marked = (
-        Index(*postings(examples, context.broadcast((terms[some], idf[some]))), int(some.sum()), len(ids))
-        for some in (np.ones(len(terms), bool), marks)
-    )
-    model = Model(terms, marks, idf, every, marked, toxic, ids, sizes)
-    if not {0, 1} <= set(toxic.tolist()):
-        return model
+    indexes = []
+    for some in (np.ones(len(terms), bool), marks):
+        known = context.broadcast((terms[some], idf[some]))
+        indexes.append(Index(*postings(examples, known), int(some.sum()), len(ids)))
+        known.destroy()
+    model = Model(terms, marks, idf, *indexes, toxic, ids, sizes)
     shared = context.broadcast(model)
+    if not {0, 1} <= set(toxic.tolist()):
+        return shared, np.array([0.0, 1.0]), np.array([model.base, model.base])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -335,8 +354,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, lim
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes)], names=["number", "vote"])
 
     own = examples.select("text", "number").mapInArrow(work, "number bigint, vote double").orderBy("number").toArrow()
-    model.x, model.y = isotonic(own["vote"].to_numpy(), toxic.astype(float), model.stands_for)
-    return model
+    return shared, *isotonic(own["vote"].to_numpy(), toxic.astype(float), model.stands_for)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = EXAMPLES) -> DataFrame:
@@ -345,7 +363,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         docs[text_col].alias("text"), docs[id_col].cast("bigint").alias("doc_id"), held_out(docs[id_col], 3, 1).alias("held_out")
     )
     given = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].alias("toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(rows.select("doc_id", "text"), given, limit=limit))
+    shared, x, y = learn(rows.select("doc_id", "text"), given, limit=limit)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -354,7 +372,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for start, some in chars.text_slices([t or "" for t in batch.column(0).to_pylist()]):
                 for at, vote, near in model.votes(some):
                     votes[start + at], shown[start + at] = vote, near
-            scores = np.interp(votes, model.x, model.y)
+            scores = np.interp(votes, x, y)
             arrays = [batch.column(1), batch.column(2), pa.array(scores), pa.array((scores >= 0.7).astype(np.int32)), pa.array(shown, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
