@@ -27,15 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from polysem.llm.chars import small
+from polysem.llm.chars import release, small, text_slices
 
 # The rank file is sent to the workers; a larger one is refused.
 MAX_FILE_BYTES = 64 * 1024 * 1024
-# Characters cut into pieces at a time, pieces in one input of the library, and
-# pieces kept from slice to slice (then the table is begun anew).
+# Characters cut into pieces at a time, pieces in one input of the library, and pieces and their characters kept from slice
+# to slice (beyond either the table is begun anew).
 SLICE_CHARS = 300_000
 INPUT_PIECES = 500
-KEPT_PIECES = 200_000
+KEPT_PIECES, KEPT_CHARS = 50_000, 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -103,6 +103,7 @@ class Codec:
         for i, b in self.bytes_of.items():
             self.width[i] = len(b)
         self.kept: dict[str, tuple] = {}
+        self.kept_chars = 0
 
     def _ids(self, pieces: list[str]) -> Iterator[list[int]]:
         """The ids of each piece, encoded on its own: many pieces go to the
@@ -121,19 +122,29 @@ class Codec:
     def pieces_of(self, texts: list[str], entry: Callable) -> Iterator[tuple[list[str], dict]]:
         """For each text its pieces, and a table that gives `entry(piece, ids)`
         of each of them."""
-        for some in slices(texts):
+        for _, some in text_slices(texts, SLICE_CHARS):
             cut = [self.pieces(t) for t in some]
-            if len(self.kept) > KEPT_PIECES:
-                self.kept.clear()
+            if len(self.kept) > KEPT_PIECES or self.kept_chars > KEPT_CHARS:
+                self.forget()
             new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.kept]
             for piece, ids in zip(new, self._ids(new), strict=True):
                 self.kept[piece] = entry(piece, ids)
+                self.kept_chars += len(piece)
             for pieces in cut:
                 yield pieces, self.kept
 
     def forget(self) -> None:
         """Workers outlive their tasks; what a task kept need not."""
         self.kept.clear()
+        self.kept_chars = 0
+
+    def forgetting(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches; in the end, also of a failed task, nothing is kept."""
+        try:
+            yield from batches
+        finally:
+            self.forget()
+            release()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids. An id outside the vocabulary is an error."""
@@ -151,19 +162,6 @@ class Codec:
         return ids, ",".join(map(str, ids)), self.decode(ids)
 
 
-def slices(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about `SLICE_CHARS` characters; a longer text stands alone."""
-    batch, size = [], 0
-    for text in texts:
-        if batch and size + len(text) > SLICE_CHARS:
-            yield batch
-            batch, size = [], 0
-        batch.append(text)
-        size += len(text)
-    if batch:
-        yield batch
-
-
 @lru_cache(maxsize=2)
 def codec(raw: bytes, pattern: str, use: str) -> Codec:
     """One codec for each use, as what it keeps of a piece differs."""
@@ -189,7 +187,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern, "encode")
         kind = pa.list_(pa.int32())
-        for batch in small(batches):
+        for batch in coder.forgetting(small(batches)):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             out: dict[str, list] = {n: [] for n in names}
             for pieces, kept in coder.pieces_of(texts, coder.spans):
@@ -199,7 +197,6 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
                     for name, k in (("starts", 1), ("ends", 2)):
                         out[name].append([at + x for p, at in zip(pieces, places) for x in kept[p][k]])
             yield _with_columns(batch, {n: pa.array(v, kind) for n, v in out.items()})
-        coder.forget()
 
     return df.mapInArrow(work, schema)
 
@@ -237,7 +234,7 @@ def digests(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern, "digests")
-        for batch in small(batches):
+        for batch in coder.forgetting(small(batches)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes, codes, backs, flat = [], [], [], []
             for pieces, kept in coder.pieces_of(texts, coder.summary):
@@ -254,7 +251,6 @@ def digests(
                 every = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
                 arrays, names = [*arrays, pa.ListArray.from_arrays(ends, every)], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-        coder.forget()
 
     ids = ", ids array<int>" if with_ids else ""
     return rows.mapInArrow(work, f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{ids}")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACE = 32
 SLICE_CHARS = 300_000
@@ -45,11 +48,32 @@ def text_slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[in
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that Python holds few texts at a time.
-    What Arrow has freed goes back to the system at the end, as workers live on."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS)
+    Workers outlive their tasks: at the end, also of a failed task, what was freed goes back
+    to the system."""
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(start, SLICE_ROWS)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that nothing uses any more back to the system."""
+    powers.cache_clear()
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+# Rows and bytes of an Arrow batch where whole texts go to Python.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of few texts from here on, so that neither the JVM nor Python holds many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

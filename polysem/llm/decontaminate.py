@@ -20,14 +20,14 @@ text count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polysem.llm.chars import small
+from polysem.llm.chars import SPACE, folding, small, text_slices
 
 Q = 8
 RATE = 0.1
@@ -35,23 +35,12 @@ SLICE_CHARS = 2_000_000
 # Characters of documents worked on at a time.
 WORK_CHARS = 300_000
 TABLE_BITS = 22
-SPACE = 32
+# A key holds text (a slice of `SLICE_ROWS` rows at most), passage (of one slice of the
+# benchmark, whose characters bound their number) and band (of a text of up to 2 GB).
+BAND_BITS, TEXT_BIT = 33, 54
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def folding() -> np.ndarray:
-    """For each code point that of its lower case, or a space if it is neither
-    letter nor digit."""
-    table = np.full(0x110000, SPACE, np.uint32)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalnum():
-            low = c.lower()
-            table[i] = ord(low) if len(low) == 1 else i
-    return table
-
-
 def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The folded characters of all texts one after the other and where each
     came from; where each text begins in these, and where before folding (both
@@ -140,19 +129,19 @@ class Passages:
         owner = self.owner[entry]
         width = self.edits[owner] + 1
         # Diagonals may be negative; the shift is a whole number of bands.
-        band = (np.repeat(at, many) - self.place[entry]) // width + (1 << 24)
-        key = (np.repeat(text, many) << 44) | (owner << 26) | band
+        band = (np.repeat(at, many) - self.place[entry]) // width + (1 << BAND_BITS - 1)
+        key = (np.repeat(text, many) << TEXT_BIT) | (owner << BAND_BITS) | band
         keys, count = np.unique(key, return_counts=True)
         nearby = np.zeros(len(keys), np.int64)
         if len(keys):
             nearby[:-1] = np.where(keys[1:] == keys[:-1] + 1, count[1:], 0)
-        owner = (keys >> 26) & ((1 << 18) - 1)
+        owner = (keys >> BAND_BITS) & ((1 << TEXT_BIT - BAND_BITS) - 1)
         good = np.flatnonzero(count + nearby >= self.least[owner])
         # Bands that hold enough only with the band before them are met there.
         for k in good:
             o = int(owner[k])
-            first = (int(keys[k] & ((1 << 26) - 1)) - (1 << 24)) * int(self.edits[o] + 1)
-            yield int(keys[k] >> 44), o, first, first + 2 * int(self.edits[o] + 1) - 1
+            first = (int(keys[k] & ((1 << BAND_BITS) - 1)) - (1 << BAND_BITS - 1)) * int(self.edits[o] + 1)
+            yield int(keys[k] >> TEXT_BIT), o, first, first + 2 * int(self.edits[o] + 1) - 1
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, passage, start, end, edits), places in code points of the text."""
@@ -227,17 +216,6 @@ def occurrence(passage: np.ndarray, text: np.ndarray, k: int, low: int, high: in
     return start, end, cost
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > WORK_CHARS:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE,
@@ -265,7 +243,7 @@ def _finder(shared):
         index = Passages(*shared.value)
         for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            hits = [(start + h[0], *h[1:]) for start, some in slices(texts) for h in index.find(some)]
+            hits = [(start + h[0], *h[1:]) for start, some in text_slices(texts, WORK_CHARS) for h in index.find(some)]
             ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
             arrays = [pa.array([h[i] for h in hits], pa.int32()) for i in (2, 3, 4)]
             items = pa.array([index.ids[h[1]] for h in hits], pa.int64())
@@ -297,7 +275,7 @@ def _cleaner(shared, place: int):
         for batch in small(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             kept = np.ones(len(texts), bool)
-            for start, some in slices(texts):
+            for start, some in text_slices(texts, WORK_CHARS):
                 kept[[start + h[0] for h in index.find(some)]] = False
             yield batch.filter(pa.array(kept))
 

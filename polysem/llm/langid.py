@@ -9,7 +9,8 @@ A document is a mixture of languages. Expectation-maximisation over all of them
 estimates its proportions, which order the languages. Sets of the first 1, 2, ...
 languages are then fitted in turn, and a larger set is taken as long as its
 log-likelihood, less `PENALTY` x log(n-grams) for each further language, rises.
-Neighbouring n-grams share letters, hence a penalty above one half.
+Neighbouring n-grams share letters, hence a penalty above one half. Each fit takes
+`ROUNDS` rounds, from equal shares or those of the fit before; no test of convergence ends them.
 
 A null text, and one without letters, is `und` with score 0. Documents without
 an id can be learnt from and are not held out. Nothing but the text and
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polysem.llm.chars import small
+from polysem.llm.chars import small, text_slices
 from polysem.session import fits
 
 BITS = 17
@@ -34,8 +35,7 @@ BUCKETS = 1 << BITS
 SMOOTHING = 0.05
 ROUNDS = 12
 PENALTY = 2.0
-# Characters worked on at a time, and how much n-grams that share letters say.
-SLICE_CHARS = 300_000
+# How much n-grams that share letters say.
 DEPENDENCE = 3.0
 UNKNOWN = "und"
 
@@ -72,18 +72,6 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys >> BITS, keys & (BUCKETS - 1), count.astype(np.float32)
 
 
-def text_slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of bounded size, with the place of the first."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > SLICE_CHARS:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-likelihoods (language x cell). `rows`: text, lang."""
 
@@ -130,11 +118,17 @@ def fit(shares: np.ndarray, likely: np.ndarray, count: np.ndarray, text: np.ndar
 def proportions(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text the proportions of the languages in its chosen set (others
     0; all 0 without letters) and how sure the leading language is."""
+    return mixtures(texts, logs)[:2]
+
+
+def mixtures(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the log-likelihood for each n-gram under the chosen set (none:
+    minus infinity)."""
     n_langs = len(logs)
-    shares_of, sure = np.zeros((len(texts), n_langs)), np.zeros(len(texts))
+    shares_of, sure, fitting = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.full(len(texts), -np.inf)
     text, cell, count = counted(texts)
     if not len(text) or not n_langs:
-        return shares_of, sure
+        return shares_of, sure, fitting
     seen, starts = np.unique(text, return_index=True)
     row = np.searchsorted(seen, text)
     log_of = np.ascontiguousarray(logs.T[cell])
@@ -147,6 +141,7 @@ def proportions(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndar
     chosen = np.zeros((len(seen), n_langs))
     chosen[np.arange(len(seen)), best] = 1
     value = single.max(axis=1)
+    plain = value.copy()  # without the penalty
     going = np.arange(len(seen))  # texts whose set may still grow
     for k in range(2, n_langs + 1):
         # A second language that has next to nothing of the text cannot pay.
@@ -160,15 +155,18 @@ def proportions(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.put_along_axis(start, order[going, :k], np.take_along_axis(full[going], order[going, :k], 1), 1)
         start /= start.sum(axis=1, keepdims=True)
         shares, fitted = fit(start, likely[mine], count[mine], sub, sub_starts, ROUNDS)
-        fitted -= PENALTY * (k - 1) * np.log(size[going] + 1)
+        raw = fitted
+        fitted = raw - PENALTY * (k - 1) * np.log(size[going] + 1)
         better = fitted > value[going]
+        plain[going[better]] = raw[better]
         chosen[going[better]], value[going[better]] = shares[better], fitted[better]
         going = going[better]
     lead = chosen.argmax(axis=1)
     gap = (single - single[np.arange(len(seen)), lead][:, None]) / DEPENDENCE
     shares_of[seen] = chosen
     sure[seen] = 1 / np.exp(np.minimum(gap, 50)).sum(axis=1)
-    return shares_of, sure
+    fitting[seen] = plain / size
+    return shares_of, sure, fitting
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -219,20 +217,24 @@ def _scored(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarra
         )
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """`docs` without documents that have no letters or of which no language has
-    `least`. Learns from the documents that are not held out."""
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """`docs` without documents in no known language: those that have no letters, and those
+    that the best set of learnt languages explains worse, n-gram by n-gram,
+    than a language in which all cells are equally likely. What share a language has does
+    not matter, so mixtures of learnt languages stay. Learns from the documents that are
+    not held out; where none of them has a language, nothing can be told and all stay."""
     rows = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang"), held_out(docs[id_col], 4, 2).alias("_held"))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(rows.where("not _held")))
+    names, logs = learn(rows.where("not _held"))
+    if not names:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
     place = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, logs = shared.value
         for batch in small(batches):
             kept: list[bool] = []
             for _, texts in text_slices([t or "" for t in batch.column(place).to_pylist()]):
-                shares, _ = proportions(texts, logs)
-                kept += (shares.max(axis=1, initial=0) >= least).tolist()
+                kept += (mixtures(texts, shared.value)[2] >= -np.log(BUCKETS)).tolist()
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

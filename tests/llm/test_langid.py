@@ -81,3 +81,20 @@ def test_filter(frame, odd, nothing):
     assert langid.predict(odd).count() == odd.count() and langid.keep_known(odd).columns == odd.columns
     unlabelled = frame([(1, "some words", None)])
     assert langid.predict(unlabelled).first()["lang_pred"] == "und"
+
+
+def test_filter_keeps_mixtures_and_drops_other_scripts(frame):
+    rows = corpus(60)
+    mixed = " ".join(prose("de", 40, 901).split() + prose("en", 30, 902).split() + prose("fr", 30, 903).split())
+    rows += [(900, mixed, None), (901, "привет как дела это текст", None), (902, "日本語の文章です", "en"), (903, "zxqj wvkk qqzt jxjx zzqx", None)]
+    # what only held-out rows have is not learnt
+    held = [r for r in rows if r[0] != 902]
+    kept = {r["doc_id"] for r in langid.keep_known(frame(held)).collect()}
+    assert 900 in kept and not kept & {901, 903}
+    shares, _ = langid.proportions([mixed], learnt(rows))
+    assert shares.max() < 0.5  # no language has half
+
+
+def test_filter_without_labels_keeps_all(frame):
+    rows = [(i, t, None) for i, t, _ in corpus(20)] + [(99, "12 %", None)]
+    assert langid.keep_known(frame(rows)).count() == len(rows)
