@@ -1,13 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 1. Markup is stripped: each block element begins a new line, and boundaries
-   without text between them leave none; scripts, styles and other invisible
-   elements leave nothing; an element that is no part of an article (menu,
-   header, footer, sidebar, form, advert, notice, comments) leaves blank lines,
-   as many as a window and one more outside the article. Whole names decide
-   (`NOISE`), and outside an article no element that has one within is left out
-   unless it is hidden. Where a page has `article` or `main` elements, lines
-   outside them are blank.
+   without text between them leave none; a line break is white space; scripts,
+   styles and other invisible elements leave nothing. An element that is no part of
+   an article (menu, header, footer, sidebar, form, advert, notice, comments)
+   leaves blank lines, as many as a window and one more; only one where it stands
+   between texts of one container (an advert within a story is no dive), or within
+   an article. Whole names decide (`NOISE`). Outside an article no element that
+   has one within is left out unless it is hidden, and a form with half of
+   the page's text only loses its controls. Where `article` or `main` elements hold half of the
+   text, lines outside them are blank; where they hold less (teasers), they are like others.
 2. The lengths of the lines are summed over sliding windows of `WINDOW` lines.
    A stretch surges where a window passes the threshold and dives where a
    window is empty. The threshold is at most half of the largest window, so a
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +122,7 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
 
 def is_noise(name: str, attributes: str, in_article: bool, holds: bool = False) -> bool:
     """Whether an element is no part of an article. `holds`: it has one within."""
-    if holds and not in_article:
+    if holds and (not in_article or name == "form"):
         return bool(attributes and HIDDEN.search(attributes) and name not in ("html", "body"))
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
@@ -140,16 +143,25 @@ def is_named_noise(attributes: str, in_article: bool) -> bool:
 
 def holders(parts: list[tuple[str, str, str]]) -> set[int]:
     """Places of the opening tags within which an article is; one that is itself
-    named as noise (a comment, say) does not count."""
+    named as noise (a comment, say) does not count. Of forms, those with half of the text."""
     found: set[int] = set()
     stack: list[tuple[str, int]] = []
-    invisible = 0
+    forms: dict[int, int] = {}  # text before the form, then within it
+    invisible = seen = 0
+
+    def closed(name: str, at: int) -> None:
+        if name == "form":
+            forms[at] = seen - forms[at]
+
     for at, (kind, name, attributes) in enumerate(parts):
-        if kind == "open":
+        if kind == "text":
+            if not invisible:
+                seen += len(name) - name.count(" ")
+        elif kind == "open":
             if name in VOID or attributes.endswith("/") and name in INLINE:
                 continue
             if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == name:
-                stack.pop()
+                closed(*stack.pop())
             if name in ARTICLE and not invisible and not is_named_noise(attributes, True):
                 # What is around a holder is one too.
                 for _, above in reversed(stack):
@@ -157,28 +169,37 @@ def holders(parts: list[tuple[str, str, str]]) -> set[int]:
                         break
                     found.add(above)
             stack.append((name, at))
+            if name == "form":
+                forms[at] = seen
             invisible += name in INVISIBLE
         elif kind == "close" and any(n == name for n, _ in stack):
             while stack:
-                open_name, _ = stack.pop()
+                open_name, place = stack.pop()
+                closed(open_name, place)
                 invisible -= open_name in INVISIBLE
                 if open_name == name:
                     break
-    return found
+    for name, place in stack:
+        closed(name, place)
+    return found | {place for place, size in forms.items() if seen and 2 * size >= seen}
 
 
 def lines_of(page: str) -> tuple[list[str], bool]:
     """The lines of a stripped page, blank ones included, and whether the page
-    marks its article."""
+    marks its article, with half of the text at least."""
     lines: list[str] = []
     inside: list[bool] = []
     part: list[str] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []  # with the texts before it
+    texts = 0  # lines with text so far
+    between: dict[int, list[tuple[int, int]]] = {}  # blank lines within containers, by depth: texts before, place
+    wide: set[int] = set()  # places of blank lines after which a container ended
     dropped = 0  # open elements that leave nothing
     depth = 0  # open article elements
     marked = False
 
     def end_line() -> None:
+        nonlocal texts
         text = "".join(part)
         part.clear()
         if "&" in text:
@@ -187,47 +208,62 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         if text:
             lines.append(text)
             inside.append(depth > 0)
+            texts += 1
+
+    def leave() -> tuple[str, str, int]:
+        """The innermost element ends; a gap with no text after it in its container is a dive."""
+        wide.update(place for before, place in between.pop(len(stack), []) if before == texts)
+        return stack.pop()
 
     parts = list(markup(page))
-    holding = holders(parts) if any(kind == "open" and name in ARTICLE for kind, name, _ in parts) else set()
+    holding = holders(parts) if any(kind == "open" and (name in ARTICLE or name == "form") for kind, name, _ in parts) else set()
     for at, (kind, name, attributes) in enumerate(parts):
         if kind == "text":
             if not dropped:
                 part.append(name)
             continue
         if kind == "open":
+            if name == "br":
+                part.append(" ")
+                continue
             if not dropped and name not in INLINE:
                 end_line()
             if name in VOID or attributes.endswith("/") and name in INLINE:
                 continue
             if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == name:
-                dropped -= stack.pop()[1] == "drop"
+                dropped -= leave()[1] == "drop"
             role = ""
             if name in ARTICLE and not dropped:
                 role, marked, depth = "article", True, depth + 1
             elif name in INVISIBLE or name == "title" or is_noise(name, attributes, depth > 0, at in holding):
                 role, dropped = "drop", dropped + 1
                 if dropped == 1 and name not in INVISIBLE:
-                    gap = 1 if depth else WINDOW + 1
+                    # the innermost container with a text before it
+                    around = bisect_left(stack, texts, key=lambda e: e[2])
+                    contained = around > 0 and stack[around - 1][0] not in ("html", "body")
+                    if contained and not depth:
+                        between.setdefault(around, []).append((texts, len(lines)))
+                    gap = 1 if depth or contained else WINDOW + 1
                     lines.extend([""] * gap)
                     inside.extend([depth > 0] * gap)
-            stack.append((name, role))
+            stack.append((name, role, texts))
             continue
-        if not any(n == name for n, _ in stack):
+        if not any(n == name for n, _, _ in stack):
             continue
         if not dropped and name not in INLINE:
             end_line()
         while stack:
-            open_name, role = stack.pop()
+            open_name, role, _ = leave()
             dropped -= role == "drop"
             if role == "article":
                 depth -= 1
             if open_name == name:
                 break
     end_line()
-    if marked:
-        lines = [x if i else "" for x, i in zip(lines, inside, strict=True)]
-    return lines, marked
+    within = sum(len(x) for x, i in zip(lines, inside, strict=True) if i)
+    if marked and 2 * within >= sum(map(len, lines)):
+        return [x if i else "" for x, i in zip(lines, inside, strict=True)], True
+    return [x for i, line in enumerate(lines) for x in ([""] * (WINDOW + 1) if i in wide else [line])], False
 
 
 def main_lines(lines: list[str], one_stretch: bool = False, window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:

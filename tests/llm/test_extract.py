@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -68,6 +69,60 @@ def test_names_of_boilerplate(name):
     assert extract.main_text(f"<article><p>The story.</p><div class='{name}'>{inner}</div></article>") == "The story."
 
 
+LONG = "A paragraph of the story that has a good number of words in it and goes on for a while, as they do."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a teaser is not the article
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><article class='teaser'><h3>Other post</h3><a>Read it</a></article></body>", f"{LONG}\n{LONG}\nOther post\nRead it"),
+        # an advert or menu within a container does not end the story
+        (f"<body><div><p>{LONG}</p><div class='ad'>Buy</div><p>Short closing.</p></div></body>", f"{LONG}\nShort closing."),
+        (f"<body><div><p>{LONG}</p><nav>1 2 3</nav><h2>Part two</h2><p>Short.</p></div></body>", f"{LONG}\nPart two\nShort."),
+        (f"<body><div><p>{LONG}</p><div class='ad'>Buy</div></div><div>tiny</div></body>", LONG),
+        # a form around the page
+        (f"<body><form id='aspnet'><div><p>{LONG}</p><label>Name</label><input><button>Go</button><p>End.</p></div></form></body>", f"{LONG}\nEnd."),
+        (f"<body><div><p>{LONG}</p><form>Your name <input> please</form><p>End.</p></div></body>", f"{LONG}\nEnd."),
+        (f"<article><form id='f'><p>{LONG}</p><select><option>x</select></form></article>", LONG),
+        # a line break is white space
+        ("<p>one<br>two<br/>three</p>", "one two three"),
+        # tables with adverts between rows
+        (f"<body><table><tr><td>{LONG}</td></tr><tr><td class='ad'>Buy</td></tr><tr><td>cell</td></tr></table></body>", f"{LONG}\ncell"),
+    ],
+)
+def test_pages_without_marked_article(page, text):
+    assert extract.main_text(page) == text
+
+
+def plain_stretches(lines, window, threshold):
+    """Every window summed anew; stretches of windows with text."""
+    n = len(lines) - window + 1
+    if n < 1:
+        lines, n = lines + [""] * (1 - n), 1
+    sums = [sum(len(x) for x in lines[i : i + window]) for i in range(n)]
+    least = min(threshold, max(sums) / 2)
+    kept, i = [], 0
+    while i < n:
+        j = i
+        while j < n and sums[j]:
+            j += 1
+        if j > i and any(s >= least for s in sums[i:j]):
+            kept += [x for x in lines[i : j if j < n else len(lines)] if x]
+        i = j + 1
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_against_plain_version(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        lines = ["x" * rng.choice([0, 0, 0, 1, 5, 30, 90, 200]) for _ in range(rng.randint(3, 40))]
+        window, threshold = rng.choice([1, 2, 3]), rng.choice([1, 40, 86])
+        got = extract.main_lines(lines, False, window, threshold)
+        assert got == (plain_stretches(lines, window, threshold) if any(lines) else [])
+
+
 def test_surge_and_dive():
     lines = ["nav", "", "", "", "a" * 50, "b" * 60, "", "c" * 40, "", "", "", "foot"]
     assert extract.main_lines(lines) == ["a" * 50, "b" * 60, "c" * 40]

@@ -82,7 +82,7 @@ def test_stages_keep_columns_and_take_anything(spark, odd, nothing, planted):
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     found = con.execute(sql.oracle_sql()[name])
@@ -99,10 +99,12 @@ def test_queries_return_their_columns(spark, name):
         "op4": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op5": "doc_id held_out score predicted",
         "op6": "doc_id held_out lang_pred score", "op7": "doc_id item_id", "op8": "page_id url text n_chars",
         "op9": "doc_id n_tokens ids_sha256 decoded_sha256", "op10": "doc_id size text_crc32 law shard slot grown_shard",
+        "op11": "anchor_id positive_id rank negative_id positive_score negative_score",
+        "op12": "doc_id n_words n_base first_word last_word base_labels labels score", "op13": "item_id rank doc_id score",
     }.get(name.split("_")[0], "")
     got = queries.queries()[name](spark, SF)
     assert set(need.split()) <= set(got.columns)
-    rows = {"op1": None, "op7": None, "op8": 50}.get(name.split("_")[0], 200)
+    rows = {"op1": None, "op7": None, "op8": 50, "op11": 150, "op13": 400}.get(name.split("_")[0], 200)
     assert rows is None or got.count() == rows
 
 
