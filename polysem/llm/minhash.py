@@ -48,8 +48,8 @@ SHINGLE = 5
 SIZE, BANDS, ROWS = 128, 32, 4
 SIMILAR = 0.8
 TIE = 0.5
-# Elements of a block; a task verifies two blocks.
-BLOCK_ELEMENTS = 100_000
+# Elements and sets of a block; a task verifies two blocks.
+BLOCK_ELEMENTS, BLOCK_SETS = 100_000, 4096
 # Members of a block of a bucket; a task compares two blocks.
 BLOCK_MEMBERS = 1024
 
@@ -244,7 +244,7 @@ def more_ties(reps: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")
     open_ = stored(sizes.where("low <> high").select("bucket", "n", blocks), "buckets")
     total = open_.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, -(-total // (8 * BLOCK_MEMBERS)))
+    bins = max(1, -(-total // BLOCK_MEMBERS))
     some = maybe_in(members, F.col("bucket"), open_.select("bucket")).where("_maybe").select("rep", "cluster", "bucket")
     met = some.join(open_, "bucket").join(reps.select("rep", "signature"), "rep")
     # Buckets of one block share bins; others have a group for each pair of blocks.
@@ -289,34 +289,45 @@ def clustered(reps: DataFrame) -> DataFrame:
     return both.where("tied or label is not null").select("rep", "row_key", F.coalesce("label", "cluster").alias("cluster"))
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence matrices."""
+def similar_pairs(sets: list[np.ndarray], blocks: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Places of similar sets as far as they join what earlier pairs have not; with
+    `blocks`, only pairs from different blocks. The elements of a set lead to all
+    sets that share some, in memory linear in the elements."""
     n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
-    flat, row = flat[order], row[order]
-    column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
-    often = np.bincount(column)[column] > 1
-    row, column = row[often], column[often]
-    out = np.zeros((n, n), np.float64)
-    if len(column):
-        column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-        width = 4096
-        for low in range(0, int(column[-1]) + 1, width):
-            i, j = np.searchsorted(column, [low, low + width])
-            part = np.zeros((n, min(width, int(column[-1]) + 1 - low)), np.float32)
-            part[row[i:j], column[i:j] - low] = 1
-            out += part @ part.T
-    return out
+    holder = np.repeat(np.arange(n), size)[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[order][1:] != flat[order][:-1]
+    first = np.append(np.flatnonzero(new), len(flat))
+    element = np.empty(len(flat), np.int64)
+    element[order] = np.cumsum(new) - 1
+    ends = np.cumsum(size)
+    root = np.arange(n)
+    for x in range(n - 1):
+        open_ = root != root[x]
+        open_[: x + 1] = False
+        if blocks is not None:
+            open_ &= blocks != blocks[x]
+        if not open_.any():
+            continue
+        own = element[ends[x] - size[x] : ends[x]]
+        start, count = first[own], first[own + 1] - first[own]
+        place = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(holder[place], minlength=n)
+        for y in np.flatnonzero(open_ & (both >= SIMILAR * (size + size[x] - both) - 1e-9)).tolist():
+            if root[y] != root[x]:
+                yield x, y
+                root[root == root[y]] = root[x]
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that join the documents of each cluster as far as they are
     similar. `sets`: rep, cluster, elements."""
     sized = sets.select("rep", "cluster", F.size("elements").alias("n"))
-    sizes = sized.groupBy("cluster").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int")
+    sizes = sized.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
+    blocks = F.ceil(F.greatest(F.col("total") / BLOCK_ELEMENTS, F.col("sets") / BLOCK_SETS)).cast("int")
     total = sizes.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-total // BLOCK_ELEMENTS))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -344,25 +355,9 @@ def links(sets: DataFrame) -> DataFrame:
             rows = order[start:end]
             rows = rows[np.argsort(reps[rows], kind="stable")]
             sets = [values[offsets[r] : offsets[r + 1]] for r in rows]
-            size = np.array([len(s) for s in sets], float)
-            both = shared_counts(sets)
-            similar = np.triu(both >= SIMILAR * (size[:, None] + size[None, :] - both) - 1e-9, 1)
-            if apart:
-                similar &= blocks[rows][:, None] != blocks[rows][None, :]
-            root = list(range(len(rows)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for x, y in zip(*(z.tolist() for z in np.nonzero(similar)), strict=True):
-                a, b = find(x), find(y)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    left.append(int(reps[rows[x]]))
-                    right.append(int(reps[rows[y]]))
+            for x, y in similar_pairs(sets, blocks[rows] if apart else None):
+                left.append(int(reps[rows[x]]))
+                right.append(int(reps[rows[y]]))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return dealt.groupBy("bin", "large", "i", "j").applyInArrow(work, "a bigint, b bigint")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -147,3 +148,37 @@ def test_near_pair_in_buckets_that_others_head(spark, frame, members, monkeypatc
     monkeypatch.setattr(minhash, "signatures", lambda rows: signed.select("row_key", "doc_id", "set_id", "n", "signature"))
     got = {r["doc_id"]: r["class_id"] for r in minhash.find(docs).collect()}
     assert got == {i: min(near) if i in near else i for i in got} and len(got) == 8
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_similar_pairs_join_what_brute_force_joins(apart):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(3, 12)), base[:k]])) for k in rng.integers(0, 30, 120)]
+    blocks = rng.integers(0, 2, len(sets))
+    label = np.arange(len(sets))
+    similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    for i in range(len(sets)):
+        for j in range(i):
+            if (not apart or blocks[i] != blocks[j]) and similar(sets[i], sets[j]):
+                label[label == label[i]] = label[j]
+    mine = np.arange(len(sets))
+    for i, j in minhash.similar_pairs(sets, blocks if apart else None):
+        assert similar(sets[i], sets[j]) and mine[i] != mine[j]
+        mine[mine == mine[i]] = mine[j]
+    assert len({*zip(label.tolist(), mine.tolist(), strict=True)}) == len(set(label.tolist())) == len(set(mine.tolist()))
+
+
+def test_many_short_texts_of_one_template(frame):
+    """20,000 texts in one cluster, of which few are similar: bounded blocks, memory by elements."""
+    texts = [f"thank you all for coming to our site n{k}" for k in range(19_900)]
+    long = "thank you all for coming to our site again and again on this day of all days"
+    texts += [f"{long} n{k}" for k in range(100)]
+    sets = [np.array(sorted(s), np.uint64).view(np.int64) for s in sets_of(texts[: 2 * minhash.BLOCK_SETS])]
+    tracemalloc.start()
+    assert not list(minhash.similar_pairs(sets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    got = {r["doc_id"]: r["class_id"] for r in minhash.find(frame(list(enumerate(texts)))).collect()}
+    assert all(got[k] == k for k in range(19_900)) and {got[k] for k in range(19_900, 20_000)} == {19_900}
