@@ -186,15 +186,15 @@ def target_counts(coded: DataFrame, objective: K.Objective) -> DataFrame:
     return targets.groupBy("in_code", "t.out_code", "t.label").agg(F.count("*").alias("n"))
 
 
-def _side(model: DataFrame, mat: int, code: str, vec: str) -> DataFrame:
+def side(model: DataFrame, mat: int, code: str, vec: str) -> DataFrame:
     return with_codes(model).where(F.col("mat") == mat).select(F.col("code").alias(code), F.col("vec").alias(vec))
 
 
 def _scored(coded: DataFrame, model: DataFrame, objective: K.Objective, model_rows: int, dim: int) -> DataFrame:
     counts = target_counts(coded, objective)
     row_bytes = 8 * dim + 32
-    both = lookup_join(counts, _side(model, INPUT, "in_code", "v"), ["in_code"], model_rows, row_bytes)
-    both = lookup_join(both, _side(model, OUTPUT, "out_code", "u"), ["out_code"], model_rows, row_bytes)
+    both = lookup_join(counts, side(model, INPUT, "in_code", "v"), ["in_code"], model_rows, row_bytes)
+    both = lookup_join(both, side(model, OUTPUT, "out_code", "u"), ["out_code"], model_rows, row_bytes)
     return both.withColumn("x", fv.dot(F.col("v"), F.col("u")))
 
 

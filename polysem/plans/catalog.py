@@ -13,7 +13,7 @@ from polysem.functions import text as tx
 from polysem.functions import vectors as fv
 from polysem.functions.hashing import uniform
 from polysem.operators import (
-    corpus, model, neighbors, objective, ordering, pairs, sampling, senses, similarity, tsne, vector_table, vocabulary,
+    corpus, model, neighbors, objective, ordering, pairs, sampling, score_table, senses, similarity, tsne, vector_table, vocabulary,
 )
 from polysem.operators.kernels import Objective
 from polysem.plans import training
@@ -147,7 +147,7 @@ class Inputs:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return objective.assign_senses(self.with_negatives, self.model, self.objective(), self.buckets, SEED)
+        return score_table.assign_senses(self.with_negatives, self.model, self.objective(), self.model_rows, DIM)
 
     @cached_property
     def probs(self) -> DataFrame:
@@ -754,11 +754,8 @@ def init_from_model(t: Inputs) -> DataFrame:
 # --- objective --------------------------------------------------------------------
 
 
-def _per_word_sense(t: Inputs, losses: DataFrame, *extra: Column) -> DataFrame:
-    tokens = t.with_negatives.select("doc_id", "line", F.posexplode("codes").alias("pos", "code"))
-    # a sentence is one row of the corpus, so (doc_id, line, pos) is spread evenly
-    joined = losses.join(tokens, ["doc_id", "line", "pos"])
-    grouped = joined.groupBy("code").agg(
+def _per_word_sense(losses: DataFrame, *extra: Column) -> DataFrame:
+    grouped = losses.groupBy(F.col("in_code").alias("code")).agg(
         F.count("*").alias("n_pairs"), *extra, F.round(F.sum("loss"), 4).alias("loss"), F.round(F.max("loss"), 6).alias("worst")
     )
     word, sense = corpus.word_of(F.col("code")), corpus.sense_of(F.col("code"))
@@ -767,19 +764,18 @@ def _per_word_sense(t: Inputs, losses: DataFrame, *extra: Column) -> DataFrame:
 
 @query
 def sgns_pair_loss(t: Inputs) -> DataFrame:
-    losses = objective.pair_loss(t.with_negatives, t.model, t.objective(), t.buckets, SEED)
-    return _per_word_sense(t, losses, F.sum("n_pred").alias("n_pred"))
+    losses = score_table.pair_loss(t.with_negatives, t.model, t.objective(), t.model_rows, DIM)
+    return _per_word_sense(losses, F.sum("n_pred").alias("n_pred"))
 
 
 @query
 def softmax_pair_loss(t: Inputs) -> DataFrame:
-    losses = objective.pair_loss(t.with_negatives, t.model, t.objective(softmax=True), t.buckets, SEED)
-    return _per_word_sense(t, losses)
+    return _per_word_sense(score_table.pair_loss(t.with_negatives, t.model, t.objective(softmax=True), t.model_rows, DIM))
 
 
 @query
 def sentence_loss(t: Inputs) -> DataFrame:
-    losses = objective.sentence_loss(t.with_negatives, t.model, t.objective(), t.buckets, SEED)
+    losses = score_table.sentence_loss(t.with_negatives, t.model, t.objective(), t.model_rows, DIM)
     return _rounded(losses, "loss", digits=4)
 
 
@@ -813,7 +809,7 @@ def sgns_gradient(t: Inputs) -> DataFrame:
 
 @query
 def softmax_gradient(t: Inputs) -> DataFrame:
-    grads = objective.softmax_gradient(t.with_negatives, t.model, t.objective(softmax=True), t.buckets, SEED, DIM)
+    grads = score_table.softmax_gradient(t.with_negatives, t.model, t.objective(softmax=True), t.model_rows, DIM)
     return _gradient_rows(grads)
 
 
@@ -880,10 +876,10 @@ def validate_model(t: Inputs) -> DataFrame:
     """The held-out sentences under their best senses."""
     ratio = sampling.validation_ratio(t.lines.count(), 0.1, 200_000)
     _, held_out = sampling.split_train_validation(t.with_negatives, ratio, SEED)
-    assigned = cut(objective.assign_senses(held_out, t.model, t.objective(), t.buckets, SEED))
+    assigned = cut(score_table.assign_senses(held_out, t.model, t.objective(), t.model_rows, DIM))
     again = assigned.select("doc_id", "line", "codes").join(held_out.select("doc_id", "line", "negs"), ["doc_id", "line"])
-    losses = objective.sentence_loss(cut(again), t.model, t.objective(), t.buckets, SEED)
-    result = objective.loss_per_prediction(losses).withColumn("adjust_rate", objective.adjust_rate(assigned).select("adjust_rate").scalar())
+    total = objective.corpus_loss(cut(again), t.model, t.objective(), t.model_rows, DIM)
+    result = objective.loss_per_prediction(total).withColumn("adjust_rate", objective.adjust_rate(assigned).select("adjust_rate").scalar())
     return _rounded(result, "loss_per_prediction", "adjust_rate")
 
 

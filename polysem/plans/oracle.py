@@ -95,11 +95,12 @@ PARTS = {
     "soft": """SELECT doc_id, line, pos, ctx_pos, any_value(word_id) AS word_id, any_value(sense) AS sense,
         ln(sum(exp(x))) AS lse, ln(sum(exp(x))) - sum(label * x) AS loss FROM scored GROUP BY ALL
         """,
-    "cand": f"""SELECT t.doc_id, t.line, t.pos, t.word_id, i.sense,
-        sum(CASE WHEN label = 1 THEN {SOFTPLUS.format('(-' + dot('i.v', 'o.v') + ')')}
-            ELSE {SOFTPLUS.format(dot('i.v', 'o.v'))} END) AS loss
-        FROM targets t JOIN v_in i USING (word_id) JOIN v_out o ON o.word_id = t.out_id
-        WHERE n_senses > 1 GROUP BY ALL""",
+    "pairx": f"""SELECT p.word_id, i.sense, p.out_id, {dot('i.v', 'o.v')} AS x
+        FROM (SELECT DISTINCT word_id, out_id FROM targets WHERE n_senses > 1) p
+        JOIN v_in i USING (word_id) JOIN v_out o ON o.word_id = p.out_id""",
+    "cand": f"""SELECT t.doc_id, t.line, t.pos, t.word_id, x.sense,
+        sum(CASE WHEN label = 1 THEN {SOFTPLUS.format('(-x.x)')} ELSE {SOFTPLUS.format('x.x')} END) AS loss
+        FROM (SELECT * FROM targets WHERE n_senses > 1) t JOIN pairx x USING (word_id, out_id) GROUP BY ALL""",
     "chosen": "SELECT doc_id, line, pos, word_id, arg_min(sense, (loss, sense)) AS sense FROM cand GROUP BY ALL",
     "assigned": """SELECT c.doc_id, c.line, c.pos, c.word_id, c.n_senses, coalesce(s.sense, CASE WHEN c.n_senses > 1 THEN 0 ELSE c.sense END) AS sense,
         c.sense AS old FROM coded c LEFT JOIN chosen s USING (doc_id, line, pos)""",
