@@ -45,6 +45,13 @@ def doubles(v: str) -> str:
     return f"list_transform({v}, lambda e: e::double)"
 
 
+def _fit(chunks: int, saved: int) -> str:
+    """Rate, sentences and tokens of each iteration of one epoch, and which one is saved."""
+    return f"""SELECT c::int AS it, round(0.05 * pow(0.9, c), 9) AS alpha, count(DISTINCT (doc_id, line)) AS n_sentences,
+        count(*) AS n_tokens, c = {saved} AS saved
+        FROM (SELECT doc_id, line, floor({u('42', "'chunk'", 'doc_id', 'line')} * {chunks}) AS c FROM trained) GROUP BY c"""
+
+
 PARTS = {
     "sent": r"""SELECT doc_id, (generate_subscripts(a, 1) - 1)::int AS line, unnest(a) AS text
         FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS a FROM documents)""",
@@ -63,6 +70,8 @@ PARTS = {
     "vocab": f"""SELECT word, cn, (row_number() OVER (ORDER BY cn DESC, word) - 1)::int AS word_id,
         CASE WHEN cn >= 200 THEN 3 WHEN cn >= 50 THEN 2 ELSE 1 END::int AS n_senses
         FROM counts WHERE cn >= {P['min_count']}""",
+    "trained": f"""SELECT doc_id, line FROM (SELECT * FROM w ANTI JOIN ({HELD}) USING (doc_id, line)) WHERE word IN (
+        SELECT word FROM w ANTI JOIN ({HELD}) USING (doc_id, line) GROUP BY word HAVING count(*) >= {P['min_count']})""",
     "enc": """SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id, line ORDER BY raw_pos) - 1)::int AS pos,
         word_id, n_senses, word FROM w JOIN vocab USING (word)""",
     "coded": f"""SELECT doc_id, line, pos, word_id, n_senses, word,
@@ -361,6 +370,9 @@ QUERIES: dict[str, str] = {
         (SELECT round(sum(loss) / count(*), 6) AS loss_per_prediction, count(*) AS n_pred FROM aterms JOIN ({HELD}) USING (doc_id, line)),
         (SELECT round(avg(a), 6) AS adjust_rate FROM (SELECT max((sense <> old)::int) AS a FROM assigned
             JOIN ({HELD}) USING (doc_id, line) GROUP BY doc_id, line))""",
+    "fit_one_sense": _fit(2, 1),
+    "fit_multi_sense": _fit(2, 1),
+    "resume_fit": _fit(1, 0),
     "early_stop": """SELECT it, round(loss, 6) AS vali_loss, it < coalesce(stop, it + 1) AS is_saved FROM hist,
         (SELECT min(it) AS stop FROM (SELECT it, loss > lag(loss) OVER (ORDER BY it) AS up FROM hist) WHERE up)
         WHERE it <= coalesce(stop, it)""",

@@ -69,7 +69,7 @@ class Fit:
 
     def history_table(self, spark: SparkSession) -> DataFrame:
         schema = (
-            "it int, alpha double, train_loss double, n_tokens bigint, vali_loss double, vali_adjust double, "
+            "it int, alpha double, n_sentences bigint, train_loss double, n_tokens bigint, vali_loss double, vali_adjust double, "
             "n_limited bigint, n_reset bigint, saved boolean"
         )
         names = [part.split()[0] for part in schema.split(", ")]
@@ -177,6 +177,7 @@ def fit(
         chunk = it % s.chunks
         row = {"it": it, "alpha": learning_rate(s.alpha, s.gamma, it), "saved": False}
         n_tokens, n_sentences = data.tokens.get(chunk, 0), data.sentences.get(chunk, 0)
+        row["n_sentences"] = n_sentences
         buckets = bucket_count(n_tokens, s)
         if not one_sense:
             noisy = cut(data.with_negatives(data.chunks[chunk], s, f"assign{it}"))
