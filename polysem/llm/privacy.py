@@ -12,9 +12,11 @@ from `REMOVE` on they are removed, wherever they occur.
 Terms are runs of letters and digits, folded, outside base spans, known by a
 64-bit hash. Counts cover all documents: a first pass finds the documents with
 entities and the terms of these; a second one counts in how many documents the
-candidates occur, testing every word against a bit table of fixed size; a third
-one marks. Candidates and marked terms travel in slices of at most
-`SLICE_TERMS`, one narrow pass for each. No text is shuffled.
+candidates occur, handing on the words that a bit table of them does not rule out, which
+are joined with the candidates. A third one marks: up to `SLICE_TERMS` terms travel to the
+tasks and no text is shuffled; of more terms a bit table does, words and
+terms are joined, and the texts with marks meet these by a hash of the row. An entity
+in a third of all rows is split over tasks, as both sides of its join are stored.
 
 A null text is empty. Ids may be null or repeated; every row counts.
 """
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 
 from polysem.llm import chars
 from polysem.llm.chars import small
+from polysem.llm.sketch import bit_table, maybe_at, maybe_in
 from polysem.session import stored
 
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-# Hashes sent to the tasks at a time.
+# Hashes sent to the tasks at most.
 SLICE_TERMS = 1 << 20
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -151,17 +154,6 @@ def entity_terms(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(work, "entity string, terms array<bigint>")
 
 
-def term_slices(terms: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slices of bounded size of the distinct hashes `term`, sorted, with what
-    `removed` says of each."""
-    n = max(1, -(-terms.count() // SLICE_TERMS))
-    for s in range(n):
-        found = terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == s).toArrow()
-        values = found["term"].to_numpy().view(np.uint64)
-        order = np.argsort(values)
-        yield values[order], np.array(found["removed"].to_pylist(), bool)[order]
-
-
 def found_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Places of the values that stand in the sorted table. A bit table of the
     leading bits turns nearly all others away first."""
@@ -178,29 +170,22 @@ def found_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n_term: the number of documents with each of the terms."""
-    spark = rows.sparkSession
-    found = None
-    for table, _ in term_slices(terms.withColumn("removed", F.lit(False))):
-        shared = spark.sparkContext.broadcast(table)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            total = np.zeros(len(table), np.int64)
-            for batch in small(batches):
-                for part in slices_of(batch.column(0)):
-                    owner, _, _, value = part.words()
-                    hit = found_in(value, table)
-                    slot = np.searchsorted(table, value[hit])
-                    pairs = np.unique(owner[hit] * len(table) + slot) if len(table) else slot
-                    total += np.bincount(pairs % max(len(table), 1), minlength=len(table))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(table[some].view(np.int64)), pa.array(total[some])], names=["term", "n"]
-            )
-
-        part = rows.select("text").mapInArrow(work, "term bigint, n bigint")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("term").agg(F.sum("n").alias("n_term"))
+    shared = bit_table(terms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for part in slices_of(batch.column(0)):
+                owner, _, _, value = part.words()
+                some = maybe_at(value, shared.value)
+                order = np.lexsort((owner[some], value[some]))
+                owner, value = owner[some][order], value[some][order]
+                new = np.ones(len(value), bool)
+                new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+                term, n = np.unique(value[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
+
+    counts = rows.select("text").mapInArrow(work, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return counts.join(terms, "term")
 
 
 def disclosing(rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -208,7 +193,8 @@ def disclosing(rows: DataFrame, support: int = SUPPORT, generalise: float = GENE
     entities). `rows` has a column text."""
     n_docs = rows.count()
     pairs = stored(entity_terms(rows), "entities")
-    often = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    # Written, so that a hot entity on the other side can be split.
+    often = stored(pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "often")
     both = (
         pairs.join(often, "entity")
         .select("entity", "n_entity", F.explode("terms").alias("term"))
@@ -217,7 +203,7 @@ def disclosing(rows: DataFrame, support: int = SUPPORT, generalise: float = GENE
         .where(F.col("n_both") >= support)
     )
     both = stored(both, "together")
-    counts = document_counts(rows, both.select("term").distinct())
+    counts = document_counts(rows, stored(both.select("term").distinct(), "candidates"))
     n = F.lit(float(n_docs))
     known = F.log(n / F.col("n_entity"))
     told = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
@@ -264,27 +250,40 @@ def marks(part: Slice, terms: np.ndarray, removed: np.ndarray) -> list[list[int]
 COUNTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_term bigint"
 
 
-def _marking(shared):
-    """Adds the marks of some terms to the column `marks` (the last one)."""
+def marks_by_join(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """row_key, marks: start, end and whether to remove, one after the other, of every word of a
+    text among the terms. `rows`: row_key, text; `terms`: term, removed."""
+    shared = bit_table(terms.select("term"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            new = [m for part in slices_of(batch.column(1)) for m in marks(part, *shared.value)]
-            both = [[*a, *b] for a, b in zip(batch.column(2).to_pylist(), new, strict=True)]
-            arrays = [batch.column(0), batch.column(1), pa.array(both, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+            before = 0
+            for part in slices_of(batch.column(1)):
+                owner, begin, end, value = part.words()
+                some = maybe_at(value, shared.value)
+                first = part.starts[owner[some]]
+                keys = batch.column(0).take(pa.array(owner[some] + before))
+                arrays = [value[some].view(np.int64), (begin[some] - first).astype(np.int32), (end[some] - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, arrays)], names=["row_key", "term", "start", "end"])
+                before += len(part.texts)
 
-    return work
+    words = rows.mapInArrow(work, "row_key bigint, term bigint, start int, end int")
+    # rows that are repeated have equal marks; those of one text are no more than its words
+    met = words.join(terms, "term").select("row_key", "start", "end", F.col("removed").cast("int").alias("removed")).distinct()
+    flat = F.flatten(F.collect_list(F.array("start", "end", "removed")))
+    return met.groupBy("row_key").agg(flat.alias("marks"))
 
 
 def _finishing(shared, with_text: bool):
+    """Counts and spans; terms are those of the broadcast slice, or where there is none the column `marks`."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            earlier = batch.column(2).to_pylist()
+            known = batch.column(2).to_pylist()
             counts, base, every, clean = [], [], [], []
             for part in slices_of(batch.column(1)):
-                for text, spans, new in zip(part.texts, part.base, marks(part, *shared.value), strict=True):
-                    flat = [*earlier[len(base)], *new]
+                own = marks(part, *shared.value) if shared else [m or [] for m in known[len(base) : len(base) + len(part.texts)]]
+                for text, spans, flat in zip(part.texts, part.base, own, strict=True):
                     term = sorted(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
                     counts.append([*(sum(k == kind for k, _, _ in spans) for kind in range(4)), len(term)])
                     base.append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans))
@@ -310,11 +309,20 @@ def protect(
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     terms = stored(disclosing(rows.select("text"), support, generalise), "terms")
-    gone = F.col("share") >= remove
-    tables = list(term_slices(terms.select("term", gone.alias("removed"))))
-    found = rows.withColumn("marks", F.expr("cast(array() as array<int>)"))
-    for table in tables[:-1]:
-        found = found.mapInArrow(_marking(spark.sparkContext.broadcast(table)), "doc_id bigint, text string, marks array<int>")
-    last = spark.sparkContext.broadcast(tables[-1])
+    terms = terms.select("term", (F.col("share") >= remove).alias("removed"))
+    none = F.expr("cast(null as array<int>)").alias("marks")
+    if terms.count() <= SLICE_TERMS:
+        table = terms.toArrow()
+        values = table["term"].to_numpy().view(np.uint64)
+        order = np.argsort(values)
+        shared = spark.sparkContext.broadcast((values[order], np.array(table["removed"].to_pylist(), bool)[order]))
+        found = rows.select("doc_id", "text", none)
+    else:
+        shared = None
+        keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+        marked = stored(marks_by_join(keyed.select("row_key", "text"), terms), "marks")
+        tested = maybe_in(keyed, F.col("row_key"), marked.select("row_key"))
+        met = tested.where("_maybe").join(marked, "row_key", "left").select("doc_id", "text", "marks")
+        found = met.unionByName(tested.where("not _maybe").select("doc_id", "text", none))
     text = ", clean string" if with_text else ""
-    return found.mapInArrow(_finishing(last, with_text), f"doc_id bigint, {COUNTS}, base string, spans string{text}")
+    return found.mapInArrow(_finishing(shared, with_text), f"doc_id bigint, {COUNTS}, base string, spans string{text}")

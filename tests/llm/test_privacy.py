@@ -2,9 +2,10 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
-from polysem.llm import privacy
+from polysem.llm import privacy, sketch
 
 
 def plain_base(text):
@@ -117,3 +118,24 @@ def test_cleaned_text():
     spans = [(3, 12, 29, False), (0, 33, 42, False), (4, 5, 8, False), (4, 49, 51, True)]
     assert privacy.cleaned(text, spans) == "Call [NAME] at [PHONE] or [EMAIL], code "
     assert privacy.cleaned("ab", [(2, 0, 2, False), (3, 1, 2, False)]) == "[CARD]"
+
+
+def test_a_hot_entity(frame, monkeypatch):
+    """One address in most of the rows: what only stands with it is disclosing, as of a rare one."""
+    rng = random.Random(7)
+    rows = [(i, f"mail hot@x.org about w{rng.randrange(9)} thing") for i in range(600)]
+    rows += [(1000 + i, "rare@y.org Zanzibar w1") for i in range(5)] + [(2000 + i, f"w{i % 9} alone") for i in range(300)]
+    want = brute([t for _, t in rows], 3, 0.8)
+    assert set(want) == {"zanzibar", "mail", "about", "thing"}
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(privacy, "SLICE_TERMS", limit)
+        got = {r["doc_id"]: r["n_term"] for r in privacy.protect(frame(rows).repartition(4), with_text=False).collect()}
+        assert got == {i: sum(w in want for w, _, _ in terms_of(t)) for i, t in rows}
+
+
+def test_bit_table(spark):
+    values = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 500)
+    table = sketch.bit_table(spark.createDataFrame([(int(v),) for v in values] + [(None,)], "term bigint")).value
+    assert sketch.maybe_at(values.view(np.uint64), table).tolist() == list(range(500))
+    others = np.random.default_rng(2).integers(0, 1 << 62, 5000).astype(np.uint64)
+    assert len(sketch.maybe_at(others, table)) < 1000
