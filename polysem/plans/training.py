@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from polysem.operators import corpus, model, objective, sampling, senses, vocabulary
 from polysem.operators.kernels import Objective
+from polysem.plans.manifest import Manifest, State
 from polysem.session import cut, spread, stored
 from polysem.sources import readers, writers
 
@@ -157,23 +158,32 @@ def bucket_count(tokens: int, s: Settings) -> int:
 
 def fit(
     lines: DataFrame, s: Settings, one_sense: bool, initial: Callable[[DataFrame], DataFrame] | None = None,
-    eval_words: DataFrame | None = None, on_save: Callable[[Fit], None] | None = None,
+    eval_words: DataFrame | None = None, on_save: Callable[[Fit], None] | None = None, manifest: str | None = None,
 ) -> Fit:
     """Train one stage on lines (doc_id, line, text). `initial(vocab)` gives the
-    starting model; without it the start is random."""
+    starting model; without it the start is random. With `manifest`, a folder, every
+    iteration leaves there what is needed to go on after it, and a run that finds
+    such a folder of the same settings goes on where that one ended."""
     lines = spread(lines, "doc_id", "line")
     data = _Corpus(lines, s, one_sense, eval_words)
-    if initial is None:
-        start = model.init_random(data.vocab, s.dim, s.seed, s.one_sense_output)
+    log = Manifest(lines.sparkSession, manifest, f"{s} one_sense={one_sense}") if manifest else None
+    state = log.last() if log else State()
+    if state.it >= 0:
+        params, probs = log.table(state.model), log.table(state.probs) if state.probs else None
+        data.chunks.update({c: log.table(p) for c, p in state.chunks.items()})
+        data.held_out = log.table(state.held_out) if state.held_out else data.held_out
     else:
-        start = initial(data.vocab)
-    params = cut(start)
-    probs = None if one_sense else cut(senses.uniform_sense_probs(data.vocab))
-    result = Fit(s, data.vocab, data.vocab_rows, data.cuts, params, probs)
+        params = cut(initial(data.vocab) if initial else model.init_random(data.vocab, s.dim, s.seed, s.one_sense_output))
+        probs = None if one_sense else cut(senses.uniform_sense_probs(data.vocab))
+    result = Fit(s, data.vocab, data.vocab_rows, data.cuts, params, probs, state.history)
+    if state.best:
+        result.model, result.probs = log.table(state.best), log.table(state.best_probs) if state.best_probs else None
     all_sentences = sum(data.sentences.values())
-    losses: list[float] = []
+    losses = state.losses
     iterations = s.epochs * s.chunks
-    for it in range(iterations):
+    for it in range(state.it + 1, iterations):
+        if must_stop(losses):
+            break
         chunk = it % s.chunks
         row = {"it": it, "alpha": learning_rate(s.alpha, s.gamma, it), "saved": False}
         n_tokens, n_sentences = data.tokens.get(chunk, 0), data.sentences.get(chunk, 0)
@@ -206,17 +216,37 @@ def fit(
         if (it + 1) % s.validate_every == 0 or it + 1 == iterations:
             row["vali_loss"], row["vali_adjust"] = validate(data, params, s, one_sense)
             losses.append(row["vali_loss"])
-            if not must_stop(losses):
-                row["saved"] = True
-                result.model, result.probs = params, probs
+            row["saved"] = not must_stop(losses)
+        if log:
+            params, probs = _remember(log, state, it, params, probs, data, chunk, row, one_sense)
+        if row["saved"]:
+            result.model, result.probs = params, probs
         result.history.append(row)
         if row["saved"] and on_save is not None:
             on_save(result)
-        if must_stop(losses):
-            break
+        if log:
+            log.record(state)
     return result
 
 
+def _remember(
+    log: Manifest, state: State, it: int, params: DataFrame, probs: DataFrame | None, data: _Corpus, chunk: int, row: dict,
+    one_sense: bool,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Write what iteration `it` made, tell `state` where, and read it back."""
+    folder = log.folder(it)
+    state.it, state.model = it, log.write(params, f"{folder}/model")
+    if not one_sense:
+        state.probs = log.write(probs, f"{folder}/probs")
+        state.chunks[chunk] = log.write(data.chunks[chunk], f"{folder}/codes")
+        data.chunks[chunk], probs = log.table(state.chunks[chunk]), log.table(state.probs)
+        if "vali_loss" in row:
+            state.held_out = log.write(data.held_out, f"{folder}/held_out")
+    if row["saved"]:
+        state.best, state.best_probs = state.model, state.probs
+    return log.table(state.model), probs
+
+
 def validate(data: _Corpus, params: DataFrame, s: Settings, one_sense: bool) -> tuple[float, float]:
     """Loss per prediction of the held-out set under its best senses, and how
     many sweeps per sentence changed a sense. Its negatives never change."""
@@ -294,12 +324,13 @@ def fit_multi_sense(
 
 def run_stages(
     lines: DataFrame, s: Settings, spec: str, one_sense_path: str, multi_sense_path: str,
-    eval_words: DataFrame | None = None, resume_from: str | None = None,
+    eval_words: DataFrame | None = None, resume_from: str | None = None, resumable: bool = False,
 ) -> Fit | None:
     """Both stages as `spec` says. Results go to new folders, and while a stage
     runs, every model that validated well to a folder under `<path>_saved`;
     `resume_from` is the stored model a resumed stage starts from (after a
-    failure `last_saved` of that path). A multi-sense stage that is
+    failure `last_saved` of that path). With `resumable` a stage that was killed goes on at
+    the same iteration when the call is repeated (manifest in `<path>_run`). A multi-sense stage that is
     not resumed starts from the one-sense model at `one_sense_path`."""
     spark = lines.sparkSession
     one, many = parse_epochs(spec)
@@ -308,10 +339,10 @@ def run_stages(
     result = None
     if one.epochs:
         start = stored_start(spark, resume_from, s) if one.resume else None
-        result = fit(lines, replace(s, epochs=one.epochs), True, start, eval_words, saver(f"{one_sense_path}_saved"))
+        result = fit(lines, replace(s, epochs=one.epochs), True, start, eval_words, saver(f"{one_sense_path}_saved"), f"{one_sense_path}_run" if resumable else None)
         save(result, one_sense_path)
     if many.epochs:
         start = stored_start(spark, resume_from if many.resume else one_sense_path, s)
-        result = fit(lines, replace(s, epochs=many.epochs), False, start, eval_words, saver(f"{multi_sense_path}_saved"))
+        result = fit(lines, replace(s, epochs=many.epochs), False, start, eval_words, saver(f"{multi_sense_path}_saved"), f"{multi_sense_path}_run" if resumable else None)
         save(result, multi_sense_path)
     return result

@@ -87,6 +87,50 @@ def test_interrupted_training_goes_on_from_the_last_save(spark, lines, monkeypat
     assert resumed.history[0]["saved"]
 
 
+class Killed(Exception):
+    pass
+
+
+def rows_of(df):
+    return {tuple(r)[:3]: np.array(r["vec"]) for r in df.select("mat", "word_id", "sense", "vec").collect()}
+
+
+@pytest.mark.parametrize(("one_sense", "dies_in"), [(True, 1), (False, 0), (False, 2)])
+def test_a_killed_run_goes_on_at_its_iteration(spark, lines, monkeypatch, one_sense, dies_in):
+    s = settings(validate_every=1)
+    whole = tr.fit(lines, s, one_sense)
+    path, calls = fresh_path(spark, "test-run"), []
+    average = model.average_parameters
+
+    def dying(*args):
+        calls.append(1)
+        if len(calls) == dies_in + 1:
+            raise Killed
+        return average(*args)
+
+    monkeypatch.setattr(model, "average_parameters", dying)
+    with pytest.raises(Killed):
+        tr.fit(lines, s, one_sense, manifest=path)
+    seen = len(calls)
+    again = tr.fit(lines, s, one_sense, manifest=path)
+    assert len(calls) - seen == len(whole.history) - dies_in  # earlier iterations are not done again
+    assert [h["it"] for h in again.history] == [h["it"] for h in whole.history]
+    for a, b in zip(again.history, whole.history, strict=True):
+        assert np.isclose(a["train_loss"], b["train_loss"]) and a["saved"] == b["saved"] and a["n_tokens"] == b["n_tokens"]
+        assert np.isclose(a["vali_loss"], b["vali_loss"])
+    x, y = rows_of(again.model), rows_of(whole.model)
+    assert x.keys() == y.keys() and all(np.allclose(x[k], y[k], atol=1e-6) for k in x)
+    if not one_sense:
+        probs = lambda fit: {(r["word_id"], r["sense"]): r["prob"] for r in fit.probs.collect()}
+        p, q = probs(again), probs(whole)
+        assert p.keys() == q.keys() and all(np.isclose(p[k], q[k]) for k in p)
+    # a finished run is not trained again, and other settings are refused
+    done = tr.fit(lines, s, one_sense, manifest=path)
+    assert done.history == again.history and len(calls) - seen == len(whole.history) - dies_in
+    with pytest.raises(ValueError, match="other settings"):
+        tr.fit(lines, settings(alpha=0.5), one_sense, manifest=path)
+
+
 def test_buckets_follow_the_corpus_and_not_the_cluster():
     s = settings(buckets=0, tokens_per_bucket=1000)
     assert [tr.bucket_count(n, s) for n in (0, 1, 1000, 1001, 2000, 2_000_000)] == [1, 1, 1, 2, 2, 2000]
