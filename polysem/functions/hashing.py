@@ -32,7 +32,26 @@ def uniform(*keys) -> Column:
     return from_digest(digest(*keys))
 
 
-def uniform_at(j: Column, *keys) -> Column:
-    """The j-th draw of a series of draws; two draws share one digest."""
-    hexes = digest(*keys, F.floor(j / 2))
-    return from_digest(hexes, F.lit(1) + F.lit(DIGITS) * (j % 2))
+# Modulus and factors of the draws by counter.
+PRIME = (1 << 31) - 1
+PER_PLACE, PER_DRAW, FACTOR = 1664525, 1013904223, 48271
+
+
+def series_keys(*keys) -> tuple[Column, Column]:
+    """Two 28-bit numbers from one digest, for a whole series of draws."""
+    hexes = digest(*keys)
+    part = lambda start: F.conv(F.substring(hexes, start, 7), 16, 10).cast("bigint")
+    return part(1), part(8)
+
+
+def _fifth(x):
+    """x^5 modulo the prime, which permutes the numbers below it."""
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME
+
+
+def counter_draw(first, second, place, j):
+    """Draw j at a place of the series, in [0, 1), by arithmetic in 64-bit integers: of columns
+    or of NumPy arrays alike."""
+    y = _fifth((first + place * PER_PLACE + j * PER_DRAW) % PRIME)
+    return _fifth((y * FACTOR + second + place) % PRIME) / float(PRIME)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polysem.functions.hashing import uniform, uniform_at
+from polysem.functions.hashing import counter_draw, series_keys, uniform
 from polysem.operators.corpus import pack, sense_number, word_of
 from polysem.operators.joins import lookup_join
 from polysem.operators.vocabulary import SHARE_BLOCK
@@ -55,22 +55,23 @@ def categorical_sample(weights: DataFrame, group: str, index: str, weight: str,
 # [0, 1 - p_w) and stepping over the interval of w, so no draw is ever rejected.
 
 
-def _draws(n: int, seed: int, purpose: str, pos: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda j: uniform_at(j, seed, purpose, F.col("doc_id"), F.col("line"), pos),
-    )
+def _draw_keys(seed: int, purpose: str) -> dict[str, Column]:
+    """The keys of the draws of a line; its positions and their draws are counted."""
+    first, second = series_keys(seed, purpose, F.col("doc_id"), F.col("line"))
+    return {"_first": first, "_second": second}
 
 
-def _draw_words(cdf, batches):
+def _draw_words(cdf, n, batches):
     hi = np.frombuffer(cdf.value, dtype=np.float64)
     lo = np.concatenate(([0.0], hi[:-1]))
     last = len(hi) - 1
     for batch in batches:
         words = batch.column("ids").flatten().to_numpy()
-        per_token = batch.column("u").flatten()
-        u = per_token.flatten().to_numpy()
-        n = len(u) // max(len(words), 1)
+        lengths = batch.column("ids").value_lengths().fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        first, second = (batch.column(c).to_numpy()[row][:, None] for c in ("_first", "_second"))
+        u = counter_draw(first, second, place[:, None], np.arange(n)[None, :]).ravel()
         own = np.repeat(words, n)
         at = u * (1.0 - (hi[own] - lo[own]))
         at = np.where(at >= lo[own], at + (hi[own] - lo[own]), at)
@@ -78,9 +79,8 @@ def _draw_words(cdf, batches):
         same = drawn == own  # only by rounding at an interval border
         drawn[same] = np.where(own[same] < last, own[same] + 1, own[same] - 1)
         inner = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * n, pa.int32()), pa.array(drawn))
-        lengths = batch.column("ids").value_lengths().to_numpy()
         outer = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), inner)
-        columns = [c for c in batch.schema.names if c != "u"]
+        columns = [c for c in batch.schema.names if c not in ("_first", "_second")]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], outer], names=[*columns, "neg_ids"])
 
 
@@ -90,9 +90,9 @@ def negatives_in_memory(encoded: DataFrame, unigram: DataFrame, n: int, seed: in
     spark = encoded.sparkSession
     hi = unigram.select("word_id", "hi").toArrow().sort_by("word_id")["hi"].to_numpy()
     cdf = spark.sparkContext.broadcast(hi.tobytes())
-    drawn = encoded.withColumn("u", F.transform("ids", lambda w, pos: _draws(n, seed, purpose, pos)))
+    drawn = encoded.withColumns(_draw_keys(seed, purpose))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return drawn.mapInArrow(lambda batches: _draw_words(cdf, batches), f"{fields}, neg_ids array<array<int>>")
+    return drawn.mapInArrow(lambda batches: _draw_words(cdf, n, batches), f"{fields}, neg_ids array<array<int>>")
 
 
 def negatives_by_join(
@@ -118,11 +118,13 @@ def negatives_by_join(
         F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"),
     )
     tokens = encoded.select("doc_id", "line", F.posexplode("ids").alias("pos", "word_id"))
+    draw = lambda j: counter_draw(F.col("_first"), F.col("_second"), F.col("pos").cast("bigint"), j.cast("bigint"))
     p = F.col("own_hi") - F.col("own_lo")
     scaled = F.col("u") * (1 - p)
     draws = (
         lookup_join(tokens, own, ["word_id"], vocab_rows, 40)
-        .withColumn("us", _draws(n, seed, purpose, F.col("pos")))
+        .withColumns(_draw_keys(seed, purpose))
+        .withColumn("us", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw))
         .select("doc_id", "line", "pos", "word_id", "own_lo", "own_hi", F.posexplode("us").alias("j", "u"))
         .withColumn("at", F.when(scaled >= F.col("own_lo"), scaled + p).otherwise(scaled))
         .withColumn("cell", cell(F.col("at")))

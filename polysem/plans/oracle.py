@@ -15,9 +15,8 @@ def u(*keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13))::bigint / 4503599627370496.0)"
 
 
-def u_at(j: str, *keys: str) -> str:
-    hexes = f"md5(concat_ws('|', {', '.join(keys)}, {j} // 2))"
-    return f"(('0x' || substr({hexes}, 1 + 13 * ({j} % 2), 13))::bigint / 4503599627370496.0)"
+def fifth(x: str) -> str:
+    return f"(({x} * {x} % 2147483647) * ({x} * {x} % 2147483647) % 2147483647 * {x} % 2147483647)"
 
 
 def vec_at(v: str) -> str:
@@ -81,9 +80,11 @@ PARTS = {
         SELECT word_id, pow(cn, 0.75) / sum(pow(cn, 0.75)) OVER () AS p,
                sum(pow(cn, 0.75)) OVER (ORDER BY word_id) / sum(pow(cn, 0.75)) OVER () AS hi FROM vocab)""",
     "draws": f"""SELECT doc_id, line, pos, word_id, j, CASE WHEN s >= lo THEN s + (hi - lo) ELSE s END AS at FROM (
-        SELECT doc_id, line, pos, e.word_id, j, lo, hi,
-               {u_at('j', '42', "'neg'", 'doc_id', 'line', 'pos')} * (1 - (hi - lo)) AS s
-        FROM enc e JOIN cdf USING (word_id), range({P['n_neg']}) r(j))""",
+        SELECT doc_id, line, pos, word_id, j, lo, hi, {fifth('z')} / 2147483647::double * (1 - (hi - lo)) AS s FROM (
+          SELECT *, ({fifth('x')} * 48271 + ('0x' || substr(h, 8, 7))::bigint + pos) % 2147483647 AS z FROM (
+            SELECT *, (('0x' || substr(h, 1, 7))::bigint + pos::bigint * 1664525 + j::bigint * 1013904223) % 2147483647 AS x FROM (
+              SELECT doc_id, line, pos, e.word_id, j, lo, hi, md5(concat_ws('|', 42, 'neg', doc_id, line)) AS h
+              FROM enc e JOIN cdf USING (word_id), range({P['n_neg']}) r(j)))))""",
     "negs": "SELECT doc_id, line, pos, j::int AS j, c.word_id AS neg_id FROM draws d ASOF JOIN cdf c ON d.at >= c.lo",
     "senses": "SELECT word_id, unnest(range(n_senses))::int AS sense FROM vocab",
     "model": f"""SELECT mat, word_id, sense, list_transform(range({P['dim']}),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from polysem.functions.hashing import counter_draw, series_keys
 from polysem.functions.hashing import uniform
 from polysem.operators import corpus, ordering, sampling, vocabulary
 from polysem.session import cut
@@ -109,3 +110,21 @@ def test_categorical_sample_follows_weights(spark):
     got = sampling.categorical_sample(weights, "id", "k", "w", uniform(1, F.col("id")))
     share = got.groupBy("k").count().toPandas().set_index("k")["count"] / 2000
     assert np.abs(share.sort_index().to_numpy() - np.array([1, 3, 5]) / 9).max() < 0.04
+
+
+def test_draws_by_counter_are_even_and_uncorrelated(spark):
+    """Equal on columns and arrays; 16 even cells; neighbours in place, draw and line do not follow each other."""
+    keys = spark.range(200).select("id", *series_keys(42, "neg", F.col("id"), F.lit(0))).toDF("id", "a", "b")
+    places = keys.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(49)).cast("array<bigint>")))
+    rows = places.withColumn("u", counter_draw(F.col("a"), F.col("b"), F.col("p"), F.lit(3).cast("bigint"))).toPandas()
+    a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+    assert (rows["u"].to_numpy() == counter_draw(a, b, rows["p"].to_numpy(), 3)).all()
+    first, second = (keys.toPandas()[c].to_numpy()[:, None, None] for c in "ab")
+    u = counter_draw(first, second, np.arange(80)[None, :, None], np.arange(10)[None, None, :])
+    assert u.min() >= 0 and u.max() < 1
+    cells = np.bincount((u.ravel() * 16).astype(int), minlength=16) / u.size
+    assert np.abs(cells - 1 / 16).max() < 0.002
+    for x, y in ((u[1:], u[:-1]), (u[:, 1:], u[:, :-1]), (u[:, :, 1:], u[:, :, :-1]), (u[:, 2:], u[:, :-2])):
+        assert abs(np.corrcoef(x.ravel(), y.ravel())[0, 1]) < 0.01
+    pairs = np.bincount((u[:, :, 1:].ravel() * 8).astype(int) * 8 + (u[:, :, :-1].ravel() * 8).astype(int), minlength=64) / u[:, :, 1:].size
+    assert np.abs(pairs - 1 / 64).max() < 0.002
