@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest table, in bytes, that this package lets Spark broadcast. Every
-# broadcast in the package goes through `fits` first.
+# Largest table, in bytes, that this package lets Spark broadcast. What grows
+# with the data goes through `fits` first; tables of a row per partition, block
+# or language, and those bounded by a parameter, say so where they are made.
 BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
