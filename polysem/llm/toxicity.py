@@ -14,7 +14,7 @@ Two indexes hold the examples as TF-IDF vectors of length 1:
 
 An index has postings (example, weight) by term, cut into blocks of `BLOCK`
 examples of similar length, and for each term and block the largest weight. A document
-adds up its shorter lists; its longest lists, up to a norm of `TAIL`, are only bounded: an example
+adds up most of its lists; those longest for their weight, up to a norm of `TAIL`, are only bounded: an example
 can gain no more than that norm (Cauchy-Schwarz), and no more than the sum of weight times
 the maxima of its block. Blocks whose largest partial sum and bound reach what is asked for are
 scored whole and exactly, from the largest bound down, until no bound reaches the
@@ -56,7 +56,7 @@ NEIGHBOURS = 25
 CLOSE, NEAR_EQUAL = 0.05, 0.5
 MIN_LIFT = 3.0
 # Examples in a block, blocks that are scored at first, norm of the lists that are bounded.
-BLOCK, AT_ONCE, TAIL = 32, 8, 0.4
+BLOCK, AT_ONCE, TAIL = 32, 8, 0.43
 ROUNDING = 1e-6
 
 
@@ -250,7 +250,7 @@ class Index:
         """Numbers and cosines of the k nearest (ties: the first) of at least `least` and above
         0, leaving one out. `trace` is told the blocks that were scored."""
         low, size = self.lists[cols].astype(np.int64), self.lists[cols + 1] - self.lists[cols]
-        long = np.argsort(-size, kind="stable")
+        long = np.argsort(-size / weight**2, kind="stable")  # most postings for their norm first
         norms = np.cumsum(weight[long] ** 2)
         tail, head = np.split(long, [int(np.searchsorted(norms, TAIL**2))])
         rest = float(np.sqrt(norms[len(tail) - 1])) if len(tail) else 0.0
