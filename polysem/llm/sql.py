@@ -26,8 +26,8 @@ WITH p AS (
               lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))) AS params
   FROM p
 ), c AS (
-  SELECT page_id, body, tag, digest, host || CASE WHEN path = '' THEN '/' ELSE path END
-         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url
+  SELECT page_id, body, tag, digest, CASE WHEN rest <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS url
   FROM q
 ), s AS (
   SELECT page_id * 4 AS record_id, url, (page_id * 7919) % 1000000 AS ts, tag, digest, octet_length(encode(body)) AS size

@@ -13,8 +13,8 @@ responses of the same time, each task carries the last full response along, and
 the last one of each partition (one row each) is handed to the partitions after
 it. A URL with a third of all captures is spread over many partitions.
 
-Header names are expected in lower case. A revisit without URL or time is an
-orphan; null headers are no headers; null record ids sort first. Repeated
+Header names are expected in lower case. A revisit without URL (null, or
+empty but for a scheme or fragment) or time is an orphan; null headers are no headers; null record ids sort first. Repeated
 records are resolved each on its own.
 """
 
@@ -38,7 +38,7 @@ TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid)="
 
 def canonical_url(url: Column) -> Column:
     """Without scheme, user, default port, leading www, fragment and tracking
-    parameters; host in lower case, parameters sorted."""
+    parameters; host in lower case, parameters sorted. Null if nothing is left."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":(80|443)$", ""), "^www[0-9]*[.]", "")
@@ -46,7 +46,7 @@ def canonical_url(url: Column) -> Column:
     split = F.split(F.regexp_extract(rest, "[?](.*)$", 1), "&")
     params = F.array_sort(F.filter(split, lambda p: (p != "") & ~p.rlike(TRACKING)))
     query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
-    return F.concat(host, F.when(path == "", "/").otherwise(path), query)
+    return F.when(rest != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
 
 
 HEADERS = "map<string,string>"

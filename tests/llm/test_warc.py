@@ -71,7 +71,17 @@ def test_outcomes_and_headers(spark):
 
 def test_canonical_urls(spark):
     same = ["http://www.A.com/x?b=2&a=1#f", "https://a.com:443/x?a=1&b=2&utm_source=q&ref=z", "HTTP://user:pw@a.com:80/x?a=1&&b=2"]
-    other = ["http://a.com", "http://a.com/X", "a.com/x?a=1", "", None]
+    other = ["http://a.com", "http://a.com/X", "a.com/x?a=1", "", " ", "http://", "#top", None]
     df = spark.createDataFrame([(u,) for u in same + other], "url string")
     found = [r[0] for r in df.select(warc.canonical_url(F.col("url"))).collect()]
-    assert found == ["a.com/x?a=1&b=2"] * 3 + ["a.com/", "a.com/X", "a.com/x?a=1", "/", None]
+    assert found == ["a.com/x?a=1&b=2"] * 3 + ["a.com/", "a.com/X", "a.com/x?a=1"] + [None] * 5
+
+
+def test_empty_urls_and_long_headers(spark):
+    """Captures without a URL do not resolve to each other; header values of any length are carried."""
+    long = "x" * 300_000
+    rows = [(1, "", 1, "response", 200, {"etag": "a"}, "", ""), (2, "", 5, "revisit", 304, {"etag": "a"}, "", "")]
+    rows += [(3, "a.com/l", 1, "response", 200, {"etag": "a", "server": long}, "", ""), (4, "a.com/l", 5, "revisit", 304, {"etag": "a", "vary": long}, "", "")]
+    got = {r["record_id"]: r for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[2]["outcome"], got[2]["target_id"]) == ("orphan", None)
+    assert got[4]["merged"] == {"etag": "a", "server": long, "vary": long}
