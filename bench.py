@@ -88,6 +88,8 @@ def main() -> None:
     # one pass over the corpus in two iterations of the multi-sense stage
     fitted = timed("fit_multi_sense_pass", lambda: training.fit(t.lines, small, False))
     rates["fit_multi_sense_iteration_s"] = round(times["fit_multi_sense_pass"] / len(fitted.history), 2)
+    # a hundredth of the corpus at the documented training setting; not part of the total
+    rates["sgd_window_5_negatives_10_dim_200_tokens_per_s"] = documented_rate(t)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total wall time of the headline queries",
@@ -102,5 +104,17 @@ def main() -> None:
     spark.stop()
 
 
+def documented_rate(t: catalog.Inputs) -> float:
+    """Tokens per second of an SGD pass at window 5, 10 negatives, 200 dimensions."""
+    part = t.coded.where(sampling.chunk_of(100, catalog.SEED) == 0)
+    noisy = cut(sampling.with_negatives(part, t.unigram, t.vocab_rows, 10, t.cuts, True, catalog.SEED))
+    start = cut(model.init_random(t.vocab, 200, catalog.SEED))
+    tokens = noisy.agg(F.sum(F.size("codes"))).first()[0] or 0
+    buckets = max(8, training.bucket_count(tokens, training.Settings()))
+    begin = time.perf_counter()
+    cut(objective.sgd_epoch(noisy, start, Objective(5, 10, tuple(t.cuts)), buckets, catalog.SEED, 0.05, BATCH))
+    return round(tokens / (time.perf_counter() - begin), 1)
+
+
 if __name__ == "__main__":
     main()
