@@ -128,3 +128,15 @@ def test_draws_by_counter_are_even_and_uncorrelated(spark):
         assert abs(np.corrcoef(x.ravel(), y.ravel())[0, 1]) < 0.01
     pairs = np.bincount((u[:, :, 1:].ravel() * 8).astype(int) * 8 + (u[:, :, :-1].ravel() * 8).astype(int), minlength=64) / u[:, :, 1:].size
     assert np.abs(pairs - 1 / 64).max() < 0.002
+
+
+def test_words_of_cells_are_those_of_a_search():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 1000):
+        weight = 1.0 / np.arange(1, n + 1) ** 0.75
+        hi = np.cumsum(weight) / weight.sum()
+        borders = sampling.word_cells(hi)
+        near = np.concatenate([hi, np.nextafter(hi, 0), np.nextafter(hi, 2), np.arange(len(borders)) / (len(borders) - 1), rng.random(5000)])
+        near = near[(near >= 0) & (near <= 1)]
+        assert (sampling.words_at(hi, borders, near) == np.searchsorted(hi, near, side="right")).all()
+        assert (np.diff(borders) == 0).mean() > 0.4
