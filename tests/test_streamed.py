@@ -101,3 +101,37 @@ def test_text_and_windows_need_no_shuffle(setting, lines, spark):
     assert read(plain) == read(corpus._tagged_by_join(coded, vocab, n))
     twice, repeated = coded.unionAll(coded.where("doc_id = 3")), spark.createDataFrame([(3,)], "doc_id bigint")
     assert read(corpus.tagged(twice, vocab, n, repeated)) == read(corpus._tagged_by_join(twice, vocab, n))
+
+
+def test_a_model_of_floats_is_held_as_floats(setting, monkeypatch):
+    noisy, params, cuts = setting
+    rows = objective.held(params).value
+    assert {r.vectors.dtype for r in rows} == {np.dtype(np.float32)} and all(r.first is not None for r in rows)
+    n = params.count()
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", n * (4 * DIM + 12))
+    o = K.Objective(2, 2, cuts)
+    assert "Exchange" not in score_table.assign_senses(noisy, params, o, n, DIM)._jdf.queryExecution().executedPlan().toString()
+    wide = params.withColumn("vec", F.col("vec").cast("array<double>"))
+    assert objective.fits_in_memory(n, DIM, params) and not objective.fits_in_memory(n, DIM, wide)
+    got = {(r["mat"], r["code"]): r["vec"] for r in objective.sgns_gradient(noisy, params, o, n, DIM).collect()}
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 1 << 28)
+    want = {(r["mat"], r["code"]): r["vec"] for r in objective.sgns_gradient(noisy, wide, o, n, DIM).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+
+
+def test_rows_are_found_with_and_without_gaps():
+    for codes in ([0, 1, 100, 200, 201, 202], [0, 100, 102, 300], [100, 101]):
+        rows = K.Rows(np.array(codes[::-1]), np.arange(len(codes))[:, None])
+        assert rows.index(np.array([codes, codes])).tolist() == [list(range(len(codes)))] * 2
+        for wrong in {-1, 2, 99, 101, 203, 300, 10_000} - set(codes):
+            with pytest.raises(ValueError, match=str(wrong)):
+                rows.index(np.array([codes[0], wrong]))
+
+
+def test_words_are_looked_up_without_a_shuffle_or_a_table_of_all(spark, monkeypatch):
+    words = spark.createDataFrame([(1, 0, ["a", "zz", "b", "a"]), (2, 0, []), (3, 0, ["zz"]), (4, 1, ["c"])], "doc_id bigint, line int, words array<string>")
+    vocab = spark.createDataFrame([("c", 0), ("a", 1), ("b", 2), ("unused", 3)], "word string, word_id int")
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 4 * 100)
+    encoded = corpus.encode(words, vocab, 4)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in encoded.selectExpr("doc_id", "concat_ws(' ', ids)").collect()} == {(1, "1 2 1"), (4, "0")}
