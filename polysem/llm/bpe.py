@@ -32,10 +32,10 @@ from polysem.llm.chars import release, small, text_slices
 # The rank file is sent to the workers; a larger one is refused.
 MAX_FILE_BYTES = 64 * 1024 * 1024
 # Characters cut into pieces at a time, pieces in one input of the library, and pieces and their characters kept from slice
-# to slice (beyond either the table is begun anew).
+# to slice (beyond either the table is begun anew, and the one before serves until then).
 SLICE_CHARS = 300_000
 INPUT_PIECES = 500
-KEPT_PIECES, KEPT_CHARS = 50_000, 1_000_000
+KEPT_PIECES, KEPT_CHARS = 50_000, 500_000
 
 
 def byte_characters() -> list[str]:
@@ -102,7 +102,9 @@ class Codec:
         self.width = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.width[i] = len(b)
+        self.shown = {i: str(i) for i in self.bytes_of}
         self.kept: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.kept_chars = 0
 
     def _ids(self, pieces: list[str]) -> Iterator[list[int]]:
@@ -112,12 +114,9 @@ class Codec:
         found = self.tokenizer.encode_batch_fast(inputs, is_pretokenized=True, add_special_tokens=False)
         for words, encoding in zip(inputs, found, strict=True):
             ids = encoding.ids
-            ends = np.cumsum([len(w.encode()) for w in words])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            start = 0
-            for cut in cuts.tolist():
-                yield ids[start:cut]
-                start = cut
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+            cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()
+            yield from map(ids.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
 
     def pieces_of(self, texts: list[str], entry: Callable) -> Iterator[tuple[list[str], dict]]:
         """For each text its pieces, and a table that gives `entry(piece, ids)`
@@ -125,18 +124,20 @@ class Codec:
         for _, some in text_slices(texts, SLICE_CHARS):
             cut = [self.pieces(t) for t in some]
             if len(self.kept) > KEPT_PIECES or self.kept_chars > KEPT_CHARS:
-                self.forget()
-            new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.kept]
-            for piece, ids in zip(new, self._ids(new), strict=True):
-                self.kept[piece] = entry(piece, ids)
-                self.kept_chars += len(piece)
+                # what is met again is taken over, so frequent pieces stay
+                self.kept, self.older, self.kept_chars = {}, self.kept, 0
+            kept, older = self.kept, self.older
+            missing = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in kept]
+            new = [p for p in missing if p not in older]
+            kept.update((p, older[p]) for p in missing if p in older)
+            kept.update(zip(new, map(entry, new, self._ids(new)), strict=True))
+            self.kept_chars += sum(map(len, missing))
             for pieces in cut:
-                yield pieces, self.kept
+                yield pieces, kept
 
     def forget(self) -> None:
         """Workers outlive their tasks; what a task kept need not."""
-        self.kept.clear()
-        self.kept_chars = 0
+        self.kept, self.older, self.kept_chars = {}, {}, 0
 
     def forgetting(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The batches; in the end, also of a failed task, nothing is kept."""
@@ -157,6 +158,10 @@ class Codec:
         starts = ends - self.width[ids]
         return ids, [char_at[b] for b in starts], [char_at[b - 1] + 1 for b in ends]
 
+    def alone(self, piece: str, ids: list[int]) -> tuple[int, ...]:
+        """The ids."""
+        return tuple(ids)
+
     def summary(self, piece: str, ids: list[int]) -> tuple[list[int], str, bytes]:
         """The ids, the ids as text, and the bytes to which they decode."""
         return ids, ",".join(map(str, ids)), self.decode(ids)
@@ -237,13 +242,13 @@ def digests(
         for batch in coder.forgetting(small(batches)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes, codes, backs, flat = [], [], [], []
-            for pieces, kept in coder.pieces_of(texts, coder.summary):
-                found = [kept[p] for p in pieces]
-                sizes.append(sum(len(i) for i, _, _ in found))
-                codes.append(hashlib.sha256(",".join([c for _, c, _ in found]).encode()).hexdigest())
-                backs.append(hashlib.sha256(b"".join([b for _, _, b in found])).hexdigest())
+            for pieces, kept in coder.pieces_of(texts, coder.alone):
+                ids = list(chain.from_iterable(map(kept.__getitem__, pieces)))
+                sizes.append(len(ids))
+                codes.append(hashlib.sha256(",".join(map(coder.shown.__getitem__, ids)).encode()).hexdigest())
+                backs.append(hashlib.sha256(coder.decode(ids)).hexdigest())
                 if with_ids:
-                    flat.append(np.fromiter(chain.from_iterable([i for i, _, _ in found]), np.int32, sizes[-1]))
+                    flat.append(np.array(ids, np.int32))
             arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.string()), pa.array(backs, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

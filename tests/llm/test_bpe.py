@@ -82,3 +82,17 @@ def test_kept_pieces_are_begun_anew(monkeypatch, plain):
     texts = ["one two three", "two three four", "", "one one one five"] * 3
     found = [[i for p in pieces for i in kept[p][0]] for pieces, kept in coder.pieces_of(texts, coder.summary)]
     assert found == [plain(t) for t in texts]
+
+
+def test_frequent_pieces_are_encoded_once(plain, monkeypatch):
+    """A full table is begun anew, but what is met again is taken over."""
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 20)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 80)
+    texts = [f"the of and rare{i}word some{i} other{i}s the" for i in range(200)]
+    coder, seen = bpe.Codec(bpe.read_ranks(PATH), PATTERN), []
+    ids_of = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda pieces: seen.extend(pieces) or ids_of(pieces))
+    for text, (pieces, kept) in zip(texts, coder.pieces_of(texts, coder.summary), strict=True):
+        assert [i for p in pieces for i in kept[p][0]] == plain(text)
+        assert len(kept) < 60
+    assert seen.count(" of") == seen.count(" the") == 1
