@@ -21,6 +21,12 @@ scored whole and exactly, from the largest bound down, until no bound reaches th
 `NEIGHBOURS`-th cosine found. So the nearest are exact (ties after rounding to 9 digits: the
 first example), and most blocks of the long lists are never looked at.
 
+Lists that are short together are scored whole. Where a cosine of `HIGH` or more is asked for, terms are put into `CELLS`
+cells of equal weight, those of the longest
+lists for their weight first. The first cells of a document, up to a norm of `LOOSE`, are only bounded: by that norm times
+the norm which an example has in the same cells. Examples that can reach the cosine are scored whole from their own
+vectors, from the largest bound down, until no bound reaches the `NEIGHBOURS`-th cosine found; the nearest are as exact.
+
 Neighbours of both indexes vote with 1 / (`CLOSE` + distance), times what an example
 stands for (the labelled documents of its class per example), and one vote at
 full distance for the base rate. An isotonic fit over the examples, each
@@ -57,6 +63,9 @@ CLOSE, NEAR_EQUAL = 0.05, 0.5
 MIN_LIFT = 3.0
 # Examples in a block, blocks that are scored at first, norm of the lists that are bounded.
 BLOCK, AT_ONCE, TAIL = 32, 8, 0.43
+# Cosines from which examples are bounded by their own norms, cells of terms, norm of the cells that are bounded, and
+# examples scored at a time.
+HIGH, CELLS, LOOSE, SCORED = 0.3, 64, 0.57, 128
 ROUNDING = 1e-6
 
 
@@ -221,7 +230,24 @@ class Index:
     def __init__(self, term: np.ndarray, number: np.ndarray, weight: np.ndarray, n_terms: int, n: int, block: int = BLOCK) -> None:
         self.number, self.weight, self.n, self.block = number.astype(np.uint16 if n <= 1 << 16 else np.int32), weight, n, block
         self.lists = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
-        self.cut()
+
+    def turn(self) -> None:
+        """The vector of each example, the cell of each term, and the norm of each example up to each cell."""
+        many = np.diff(self.lists)
+        term = np.repeat(np.arange(len(many), dtype=np.int32), many)
+        square = self.weight.astype(float) ** 2
+        mass = np.bincount(term, square, len(many))
+        order = np.argsort(-(many.astype(float) ** 2) / np.maximum(mass, 1e-12), kind="stable")
+        so_far = np.cumsum(mass[order])
+        self.cell = np.empty(len(many), np.uint8)
+        self.cell[order] = np.minimum(so_far * CELLS / so_far[-1], CELLS - 1) if len(many) else 0
+        place = self.cell[term].astype(np.int64) * self.n + self.number
+        parts = np.bincount(place, square, CELLS * self.n).reshape(CELLS, self.n)
+        self.norms = np.sqrt(np.cumsum(parts, axis=0)).astype(np.float32)
+        order = np.argsort(self.number, kind="stable")
+        self.terms_of, self.weights_of = term[order], self.weight[order]
+        self.begin = np.searchsorted(self.number[order], np.arange(self.n + 1))
+        self.asked = np.zeros(len(many))
 
     def cut(self) -> None:
         """The blocks and their maxima, which follow from the postings."""
@@ -237,19 +263,24 @@ class Index:
         self.start = np.searchsorted(first, self.lists).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        """Only postings travel; a worker cuts them into blocks again."""
+        """Only postings travel; a worker cuts or turns them again."""
         return {c: getattr(self, c) for c in ("number", "weight", "n", "block", "lists")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.cut()
 
     def nearest(
         self, cols: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0, without: int = -1, trace: list | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest (ties: the first) of at least `least` and above
-        0, leaving one out. `trace` is told the blocks that were scored."""
+        0, leaving one out. `trace` is told the blocks (from `HIGH` on: the examples) that were scored."""
+        if least >= HIGH:
+            return self._reaching(cols, weight, k, least, without, trace)
         low, size = self.lists[cols].astype(np.int64), self.lists[cols + 1] - self.lists[cols]
+        if size.sum() <= self.n:
+            return self._all(low, size, weight, k, least, without, trace)
+        if not hasattr(self, "first"):
+            self.cut()
         long = np.argsort(-size / weight**2, kind="stable")  # most postings for their norm first
         norms = np.cumsum(weight[long] ** 2)
         tail, head = np.split(long, [int(np.searchsorted(norms, TAIL**2))])
@@ -291,6 +322,58 @@ class Index:
             trace.append((min(at, len(order)), self.n_blocks))
         return near, np.minimum(cosine, 1.0)
 
+    def _all(
+        self, low: np.ndarray, size: np.ndarray, weight: np.ndarray, k: int, least: float, without: int, trace: list | None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """`nearest` where the lists are short: every example in them is scored."""
+        place = spans(low, size)
+        scores = np.bincount(self.number[place], np.repeat(weight, size) * self.weight[place], self.n)
+        if without >= 0:
+            scores[without] = 0
+        found = np.flatnonzero(scores)
+        cosine = np.round(scores[found], 9)
+        found, cosine = found[cosine >= max(least, 2e-9)], cosine[cosine >= max(least, 2e-9)]
+        best = np.lexsort((found, -cosine))[:k]
+        if trace is not None:
+            trace.append((len(np.unique(found // self.block)), -(-self.n // self.block)))
+        return found[best], np.minimum(cosine[best], 1.0)
+
+    def _reaching(
+        self, cols: np.ndarray, weight: np.ndarray, k: int, least: float, without: int, trace: list | None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """`nearest` where few examples reach `least`."""
+        if not hasattr(self, "norms"):
+            self.turn()
+        cell = self.cell[cols]
+        norms = np.sqrt(np.cumsum(np.bincount(cell, weight**2, CELLS)))
+        tail = int(np.searchsorted(norms, LOOSE))
+        head = np.flatnonzero(cell >= tail)
+        low, size = self.lists[cols[head]].astype(np.int64), self.lists[cols[head] + 1] - self.lists[cols[head]]
+        place = spans(low, size)
+        bound = np.bincount(self.number[place], np.repeat(weight[head], size) * self.weight[place], self.n) + ROUNDING
+        if tail:
+            bound += norms[tail - 1] * self.norms[tail - 1]
+        if without >= 0:
+            bound[without] = 0
+        order = np.flatnonzero(bound >= least)
+        order = order[np.argsort(-bound[order], kind="stable")]
+        near, cosine, at = np.zeros(0, np.int64), np.zeros(0), 0
+        self.asked[cols] = weight
+        while at < len(order) and (len(near) < k or bound[order[at]] >= cosine[-1]):
+            some = order[at : at + SCORED]
+            many = self.begin[some + 1] - self.begin[some]
+            place = spans(self.begin[some], many)
+            products = self.asked[self.terms_of[place]] * self.weights_of[place]
+            scores = np.round(np.bincount(np.repeat(np.arange(len(some)), many), products, len(some)), 9)
+            near, cosine = np.concatenate([near, some[scores >= least]]), np.concatenate([cosine, scores[scores >= least]])
+            best = np.lexsort((near, -cosine))[:k]
+            near, cosine = near[best], cosine[best]
+            at += SCORED
+        self.asked[cols] = 0
+        if trace is not None:
+            trace.append((min(at, len(order)), self.n))
+        return near, np.minimum(cosine, 1.0)
+
 
 def isotonic(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising step means of `toxic` over sorted `votes` (pool adjacent violators),
@@ -372,7 +455,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, lim
                     votes[start + at] = vote
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes)], names=["number", "vote"])
 
-    own = examples.select("text", "number").mapInArrow(work, "number bigint, vote double").orderBy("number").toArrow()
+    # sorted here: a sort in Spark computes the votes once more to see their range
+    own = examples.select("text", "number").mapInArrow(work, "number bigint, vote double").toArrow().sort_by("number")
     return shared, *isotonic(own["vote"].to_numpy(), toxic.astype(float), model.stands_for)
 
 

@@ -87,6 +87,31 @@ def test_blocks_are_skipped():
     assert sum(a for a, _ in trace) < 0.5 * sum(b for _, b in trace)
 
 
+def test_few_postings_are_read(monkeypatch):
+    """Most examples share the frequent words of a text; their own norms rule them out."""
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 2001)
+    texts = [" ".join(f"w{j}x" for j in rng.choice(2000, 80, p=share / share.sum())) for _ in range(1200)]
+    texts += [t + " more words" for t in texts[::40]]
+    terms = np.unique(toxicity.features(texts)[1])
+    owner, cols, counts = toxicity.counted(texts, terms)
+    idf = np.log(len(texts) / np.bincount(cols, minlength=len(terms))) + 1
+    weight = np.concatenate([toxicity.vector_of(cols[i:j], counts[i:j], idf) for i, j in toxicity.runs_of(owner)]).astype(np.float32)
+    order = np.lexsort((owner, cols))
+    index = toxicity.Index(cols[order], owner[order], weight[order], len(terms), len(texts))
+    dense = np.zeros((len(texts), len(terms)))
+    dense[owner, cols] = weight
+    read, every, spans = [], 0, toxicity.spans
+    monkeypatch.setattr(toxicity, "spans", lambda start, count: read.append(count.sum()) or spans(start, count))
+    for i, j in list(toxicity.runs_of(owner))[::31]:
+        every += (index.lists[cols[i:j] + 1] - index.lists[cols[i:j]]).sum()
+        near, found = index.nearest(cols[i:j], weight[i:j].astype(float), 25, 0.5)
+        cosine = np.round(dense @ dense[owner[i]], 9)
+        best = [x for x in np.lexsort((np.arange(len(texts)), -cosine)) if cosine[x] >= 0.5][:25]
+        assert near.tolist() == best and np.allclose(found, np.minimum(cosine[best], 1), atol=2e-9)
+    assert sum(read) < 0.15 * every
+
+
 def test_marks_follow_the_examples(spark, frame):
     """The bar rises with the number of terms tested, and chance finds pass at no size."""
     for n in (200, 700):
