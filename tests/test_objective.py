@@ -304,3 +304,24 @@ def test_average_of_changes_equals_average_of_models(setting):
     assert all(np.allclose(got[k], sums[k]) for k in sums)
     tokens = updates.where("mat = -1").agg(F.sum("n_tokens")).first()[0]
     assert tokens == noisy.agg(F.sum(F.size("codes"))).first()[0]
+
+
+def test_negatives_are_drawn_after_the_shuffle(setting):
+    """Only codes are shuffled, and nothing is sorted to find a group."""
+    noisy, params, o, vocab = setting
+    unigram, rows = vocabulary.unigram_distribution(vocab), vocab.count()
+
+    def draw(coded):
+        return sampling.with_negatives(coded, unigram, rows, 2, list(o.cuts), True, 42)
+
+    def changes(updates):
+        rows = objective.sum_vectors(updates.where("mat >= 0"), ["mat", "code"], "vec", DIM).collect()
+        return {(r["mat"], r["code"]): r["vec"] for r in rows}, updates.where("mat < 0").agg(F.sum("n_pred")).first()[0]
+
+    late = objective.sgd_epoch(cut(noisy.drop("negs")), params, o, 20, 42, 0.1, draw=draw)
+    (found, n), (wanted, m) = changes(late), changes(objective.sgd_epoch(noisy, params, o, 20, 42, 0.1))
+    assert n == m and found.keys() == wanted.keys()
+    assert all(np.allclose(found[k], wanted[k]) for k in found)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and plan.index("neg") < plan.index("Exchange")
+    assert "negs" not in plan[plan.index("Exchange") :]
