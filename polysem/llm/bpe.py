@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library.
 
-A rank file (base64 token, rank per line) becomes a `tokenizers` model: the
-256 bytes are mapped to printable characters, every way in which a token falls
+A rank file (base64 token, rank per line) becomes a `tokenizers` model: each
+byte is the Latin-1 character of its number, every way in which a token falls
 into two shorter tokens becomes a merge, in the order of the ranks. Texts are
 encoded in Arrow batches, slice by slice, so that memory does not follow the
 size of the batch. Decoding looks the bytes of each id up in the reversed table;
@@ -19,10 +19,11 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,19 +37,17 @@ MAX_FILE_BYTES = 64 * 1024 * 1024
 SLICE_CHARS = 300_000
 INPUT_PIECES = 500
 KEPT_PIECES, KEPT_CHARS = 50_000, 500_000
+# The same of the table of `digests`, which goes on with the pieces that were met most.
+TABLE_PIECES, TABLE_CHARS = 120_000, 1_200_000
 
 
-def byte_characters() -> list[str]:
-    """The printable stand-in of each of the 256 bytes: printable Latin-1
-    characters stand for themselves, the others get the code points from 256."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    table = {b: chr(b) for b in plain}
-    spare = 256
-    for b in range(256):
-        if b not in table:
-            table[b] = chr(spare)
-            spare += 1
-    return [table[b] for b in range(256)]
+def shown(token: bytes) -> str:
+    """A character for each byte; ASCII stands for itself."""
+    return token.decode("latin-1")
+
+
+def shown_text(text: str) -> str:
+    return text if text.isascii() else shown(text.encode())
 
 
 def read_ranks(path: str) -> bytes:
@@ -72,6 +71,69 @@ def merges(ranks: dict[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
                 yield token[:i], token[i:]
 
 
+def _joined(items: pa.Array, starts: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of the items from each of `starts` to the next, which stand side by side."""
+    ends = np.frombuffer(items.buffers()[1], np.int64, len(items) + 1)[starts].tolist()
+    raw = memoryview(items.buffers()[2] or b"")
+    return (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+class Numbers(dict):
+    """Pieces, numbered in the order in which they are met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
+class Table:
+    """The ids of the pieces met so far, one after the other, and how often each was met."""
+
+    def __init__(self) -> None:
+        self.numbers, self.chars = Numbers(), 0
+        self.ids, self.ends, self.times = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def full(self) -> bool:
+        return len(self.numbers) > TABLE_PIECES or self.chars > TABLE_CHARS
+
+    def often(self) -> Table:
+        """A table of the pieces that were met most, at most half of what this may hold."""
+        new, room = Table(), TABLE_CHARS // 2
+        order = np.argsort(-self.times, kind="stable")[: TABLE_PIECES // 2]
+        order = order[self.times[order] > 1]
+        names = list(self.numbers)
+        order = order[np.cumsum([len(names[i]) for i in order.tolist()], dtype=np.int64) <= room]
+        kept = [names[i] for i in order.tolist()]
+        new.numbers.update(zip(kept, range(len(kept)), strict=True))
+        new.chars, new.times = sum(map(len, kept)), np.zeros(len(kept), np.int64)
+        new.ids, ends = self._gathered(order)
+        new.ends = np.concatenate(([0], ends))
+        return new
+
+    def look_up(self, cut: list[list[str]], encoded: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces of all texts, and for every number of pieces how many ids
+        these have; `encoded` gives those of pieces that were not met before."""
+        known = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64)
+        if len(self.numbers) > known:
+            new = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+            self.chars += sum(map(len, new))
+            ids, ends = [self.ids], [self.ends]
+            for more, cuts in encoded(new):
+                ids.append(more)
+                ends.append(cuts + ends[-1][-1])
+            self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
+            self.times = np.append(self.times, np.zeros(len(new), np.int64))
+        self.times += np.bincount(at, minlength=len(self.times))
+        ids, ends = self._gathered(at)
+        return ids, np.concatenate(([0], ends))
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.ends[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Codec:
     """Encoder and decoder of one vocabulary. Texts are cut into the matches of
     the pattern; the library encodes each distinct match of a slice once, many
@@ -79,11 +141,9 @@ class Codec:
 
     def __init__(self, raw: bytes, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         ranks = parse_ranks(raw)
-        char = byte_characters()
-        shown = lambda token: "".join([char[b] for b in token])
         model = models.BPE(
             vocab={shown(t): r for t, r in ranks.items()},
             merges=[(shown(a), shown(b)) for a, b in merges(ranks)],
@@ -91,33 +151,55 @@ class Codec:
             cache_capacity=0,
         )
         self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(
-            add_prefix_space=False, use_regex=False, trim_offsets=False
-        )
         self.pieces = regex.compile(pattern).findall
-        byte_of = {c: b for b, c in enumerate(char)}
-        self.bytes_of = {
-            i: bytes(byte_of[c] for c in token) for token, i in self.tokenizer.get_vocab().items()
-        }
+        self.bytes_of = {i: token.encode("latin-1") for token, i in self.tokenizer.get_vocab().items()}
         self.width = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.width[i] = len(b)
-        self.shown = {i: str(i) for i in self.bytes_of}
+        every = range(len(self.width))
+        self.token_bytes = pa.array([self.bytes_of.get(i, b"") for i in every], pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in every], pa.large_binary())
+        self.table = Table()
         self.kept: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.kept_chars = 0
 
-    def _ids(self, pieces: list[str]) -> Iterator[list[int]]:
-        """The ids of each piece, encoded on its own: many pieces go to the
-        library as words of one input, whose ids are dealt out by their bytes."""
-        inputs = [pieces[i : i + INPUT_PIECES] for i in range(0, len(pieces), INPUT_PIECES)]
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of the pieces, each encoded on its own, and where those of each end:
+        many pieces go to the library as words of one input, whose ids are dealt out by
+        their bytes."""
+        words = [shown_text(p) for p in pieces]
+        inputs = [words[i : i + INPUT_PIECES] for i in range(0, len(words), INPUT_PIECES)]
         found = self.tokenizer.encode_batch_fast(inputs, is_pretokenized=True, add_special_tokens=False)
-        for words, encoding in zip(inputs, found, strict=True):
-            ids = encoding.ids
-            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
-            cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()
+        for some, encoding in zip(inputs, found, strict=True):
+            ids = np.array(encoding.ids, np.int32)
+            yield ids, np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in some])) + 1
+
+    def _ids(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The ids of each piece."""
+        for found, ends in self._encoded(pieces):
+            ids, cuts = found.tolist(), ends.tolist()
             yield from map(ids.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
 
+    def ids_of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice of the texts the ids of all its texts, one after the other, and
+        the places at which the texts begin, with the end of all."""
+        for _, some in text_slices(texts, SLICE_CHARS):
+            cut = [self.pieces(t) for t in some]
+            if self.table.full():
+                self.table = self.table.often()
+            ids, ends = self.table.look_up(cut, self._encoded)
+            yield ids, np.concatenate(([0], ends[np.cumsum(list(map(len, cut)))]))
+
+    def hashes(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[str, str]]:
+        """Of each text, whose ids begin at `starts`, the SHA-256 of the ids (decimal, joined
+        by commas) and of the bytes to which they decode."""
+        at = pa.array(ids)
+        ends = starts[1:].tolist()
+        listed, decoded = (_joined(pc.take(t, at), starts) for t in (self.decimals, self.token_bytes))
+        for begin, end, numbers, back in zip(starts.tolist(), ends, listed, decoded, strict=False):
+            yield hashlib.sha256(numbers[:-1] if end > begin else b"").hexdigest(), hashlib.sha256(back).hexdigest()
+
     def pieces_of(self, texts: list[str], entry: Callable) -> Iterator[tuple[list[str], dict]]:
         """For each text its pieces, and a table that gives `entry(piece, ids)`
         of each of them."""
@@ -138,6 +220,7 @@ class Codec:
     def forget(self) -> None:
         """Workers outlive their tasks; what a task kept need not."""
         self.kept, self.older, self.kept_chars = {}, {}, 0
+        self.table = Table()
 
     def forgetting(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The batches; in the end, also of a failed task, nothing is kept."""
@@ -158,10 +241,6 @@ class Codec:
         starts = ends - self.width[ids]
         return ids, [char_at[b] for b in starts], [char_at[b - 1] + 1 for b in ends]
 
-    def alone(self, piece: str, ids: list[int]) -> tuple[int, ...]:
-        """The ids."""
-        return tuple(ids)
-
     def summary(self, piece: str, ids: list[int]) -> tuple[list[int], str, bytes]:
         """The ids, the ids as text, and the bytes to which they decode."""
         return ids, ",".join(map(str, ids)), self.decode(ids)
@@ -242,13 +321,13 @@ def digests(
         for batch in coder.forgetting(small(batches)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes, codes, backs, flat = [], [], [], []
-            for pieces, kept in coder.pieces_of(texts, coder.alone):
-                ids = list(chain.from_iterable(map(kept.__getitem__, pieces)))
-                sizes.append(len(ids))
-                codes.append(hashlib.sha256(",".join(map(coder.shown.__getitem__, ids)).encode()).hexdigest())
-                backs.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            for ids, starts in coder.ids_of(texts):
+                sizes.extend(np.diff(starts).tolist())
+                for listed, decoded in coder.hashes(ids, starts):
+                    codes.append(listed)
+                    backs.append(decoded)
                 if with_ids:
-                    flat.append(np.array(ids, np.int32))
+                    flat.append(ids)
             arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.string()), pa.array(backs, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

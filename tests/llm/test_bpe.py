@@ -96,3 +96,24 @@ def test_frequent_pieces_are_encoded_once(plain, monkeypatch):
         assert [i for p in pieces for i in kept[p][0]] == plain(text)
         assert len(kept) < 60
     assert seen.count(" of") == seen.count(" the") == 1
+
+
+def test_ids_of_whole_slices(plain, monkeypatch):
+    """Slices are looked up, listed and decoded as a whole; what is met most outlives a full table."""
+    monkeypatch.setattr(bpe, "TABLE_PIECES", 30)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 80)
+    texts = ["", "x", "", *[f"the of and rare{i}word some{i} é日🙂{i} the" for i in range(150)], "y" * 300, ""]
+    coder, seen = bpe.Codec(bpe.read_ranks(PATH), PATTERN), []
+    encoded = coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda pieces: seen.extend(pieces) or encoded(pieces))
+    found = []
+    for ids, starts in coder.ids_of(texts):
+        each = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        found += zip(each, coder.hashes(ids, starts), strict=True)
+        assert len(coder.table.numbers) < 90
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert found == [(plain(t), (sha(",".join(map(str, plain(t))).encode()), sha(t.encode()))) for t in texts]
+    assert seen.count(" of") == seen.count(" the") == 1
+    assert list(coder.ids_of([])) == []
+    assert [s.tolist() for _, s in coder.ids_of(["", ""])] == [[0, 0, 0]]
+    assert len(list(coder.hashes(*next(coder.ids_of(["", ""]))))) == 2
