@@ -325,3 +325,24 @@ def test_negatives_are_drawn_after_the_shuffle(setting):
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and plan.index("neg") < plan.index("Exchange")
     assert "negs" not in plan[plan.index("Exchange") :]
+
+
+@pytest.mark.parametrize("one_sense_output", [True, False])
+def test_every_output_row_is_fetched_once_for_all_distances(monkeypatch, one_sense_output):
+    o = K.Objective(window=3, n_neg=4, cuts=(4, 2), one_sense_output=one_sense_output)
+    b = make_bucket(o, lengths=(9, 1, 14, 30, 2, 25))
+    V, U = make_rows(o), make_rows(o, seed=2, output=True)
+    works = (
+        lambda: K.position_losses(b, V, U, np.arange(b.n), b.codes),
+        lambda: [K.best_senses(b, V, U)],
+        lambda: K.gradients(b, V, U),
+    )
+    whole = [work() for work in works]
+    monkeypatch.setattr(K, "BLOCK", 40)
+    taken, take = [], U.take
+    U.take = lambda at: taken.append(at.size) or take(at)
+    at_most = (b.n + 2 * o.window * -(-b.n // K.BLOCK)) * (1 + o.n_neg)
+    for work, want in zip(works, whole, strict=True):
+        taken.clear()
+        assert all(np.allclose(x, y) for x, y in zip(work(), want, strict=True))
+        assert 0 < sum(taken) <= at_most
