@@ -135,3 +135,14 @@ def test_words_are_looked_up_without_a_shuffle_or_a_table_of_all(spark, monkeypa
     encoded = corpus.encode(words, vocab, 4)
     assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in encoded.selectExpr("doc_id", "concat_ws(' ', ids)").collect()} == {(1, "1 2 1"), (4, "0")}
+
+
+def test_gradients_leave_in_no_more_parts_than_tasks_run(setting, spark):
+    noisy, params, cuts = setting
+    o, cores = K.Objective(2, 2, cuts), spark.sparkContext.defaultParallelism
+    many = noisy.repartition(5 * cores, "doc_id", "line")
+    parts = objective.bucket_gradients(many, params, o, 5, 42)
+    assert parts.where(F.col("mat") == objective.SUMMARY).count() <= cores
+    few = objective.bucket_gradients(noisy.coalesce(1), params, o, 5, 42)
+    total = lambda df: df.groupBy("mat", "code").agg(F.sum("loss"), F.sum(F.get("vec", F.lit(0)))).orderBy("mat", "code").toPandas()
+    assert np.allclose(total(parts).fillna(0.0), total(few).fillna(0.0))
