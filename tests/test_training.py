@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from polysem.functions import vectors as fv
 from polysem.operators import model, objective, senses
+from polysem.plans import catalog
 from polysem.plans import training as tr
 from polysem.session import cut, fresh_path
 from polysem.sources import readers, writers
@@ -236,3 +237,15 @@ def test_flat_and_w2v_files(spark):
     index, flat = fresh_path(spark, "flat"), fresh_path(spark, "flat")
     writers.write_flat_model(rows, index, flat)
     assert sorted(r["value"] for r in spark.read.text(index).collect()) == ["a_0 0", "a_1 1", "b_0 2"]
+
+
+def test_the_mean_is_of_eight_models_however_many_tokens(spark, tmp_path):
+    rows = [(i, " ".join("abcdefgh"[(i * i + 3 * p) % 8] for p in range(12))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = catalog.Inputs(spark, str(tmp_path))
+    key = ["mat", "word_id", "sense", "k"]
+    read = lambda df: {tuple(r[c] for c in key): r[-1] for r in df.collect()}
+    got, grads = read(catalog.QUERIES["average_parameters"](t)), read(catalog.QUERIES["sgns_gradient"](t))
+    start = read(catalog._dims(t.model, "mat", "word_id", "sense", digits=9))
+    assert got.keys() == start.keys() and len(grads) and t.buckets == 1
+    assert all(np.isclose(got[k], start[k] + grads.get(k, 0.0) / 8, atol=1e-4) for k in got)
