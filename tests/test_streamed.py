@@ -146,3 +146,25 @@ def test_gradients_leave_in_no_more_parts_than_tasks_run(setting, spark):
     few = objective.bucket_gradients(noisy.coalesce(1), params, o, 5, 42)
     total = lambda df: df.groupBy("mat", "code").agg(F.sum("loss"), F.sum(F.get("vec", F.lit(0)))).orderBy("mat", "code").toPandas()
     assert np.allclose(total(parts).fillna(0.0), total(few).fillna(0.0))
+
+
+def test_a_task_adds_up_the_changes_of_all_its_groups(setting, spark, monkeypatch):
+    """More groups than tasks run at a time: updates do not grow with the groups."""
+    noisy, params, cuts = setting
+    o, cores = K.Objective(2, 2, cuts), spark.sparkContext.defaultParallelism
+    total = lambda df: df.groupBy("mat", "code").agg(F.sum("loss"), F.sum("n_pred"), F.sum("n_tokens"), F.sum(F.get("vec", F.lit(0)))).orderBy("mat", "code").toPandas()
+    want = total(objective.sgd_epoch(noisy, params, o, 40, 42, 0.1))
+    monkeypatch.setattr(objective, "GROUP", 2)
+    monkeypatch.setattr(objective, "LEAST_GROUP", 2)
+    updates = cut(objective.sgd_epoch(noisy.repartition(3, "doc_id"), params, o, 40, 42, 0.1))
+    assert objective.group_count(40, cores) == 20
+    assert updates.where(F.col("mat") == objective.SUMMARY).count() <= cores
+    assert updates.where("mat >= 0").groupBy("mat", "code").count().agg(F.max("count")).first()[0] <= cores
+    assert np.allclose(total(updates).fillna(0.0), want.fillna(0.0))
+
+
+def test_groups_that_cross_batches_are_whole():
+    group = [3, 3, 3, 1, 1, 7, 7, 7, 7]
+    batches = pa.table({"group": group, "k": range(9)}).to_batches(max_chunksize=2)
+    found = [(t["group"].to_pylist(), t["k"].to_pylist()) for t in objective._groups([pa.RecordBatch.from_pydict({"group": pa.array([], pa.int64()), "k": pa.array([], pa.int64())}), *batches])]
+    assert found == [([3] * 3, [0, 1, 2]), ([1, 1], [3, 4]), ([7] * 4, [5, 6, 7, 8])]
